@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, secrets, token_counts, toxicity, url_filter
+from . import bpe, secrets, simhash, token_counts, toxicity, url_filter
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -36,6 +36,11 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(table(spark, sf_dir, "pages"), rules)
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
@@ -54,6 +59,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_bpe": op3_bpe,
     "op6_url_filter": op6_url_filter,
+    "op7_simhash": op7_simhash,
     "op8_toxicity": op8_toxicity,
     "op9_token_counts": op9_token_counts,
     "op10_secrets": op10_secrets,
