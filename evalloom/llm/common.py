@@ -91,8 +91,8 @@ def flat(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return raw, ends - (ends[0] if len(ends) else 0)
 
 
-def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of about ``most`` bytes each; a longer text is a range of its own. No text is cut."""
+def slices(texts: pa.Array, most: int = SLICE_BYTES, rows: int = 1 << 16) -> Iterator[tuple[int, int]]:
+    """Ranges of at most ``rows`` rows and about ``most`` bytes each; a longer text is a range of its own. No text is cut."""
     n = len(texts)
     if not n:
         return
@@ -100,7 +100,7 @@ def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]
     ends = np.cumsum(sizes)
     start = 0
     while start < n:
-        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, side="right")))
+        stop = min(start + rows, max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, side="right"))))
         yield start, stop
         start = stop
 

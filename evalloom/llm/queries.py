@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, secrets, simhash, token_counts, toxicity, url_filter
+from . import bpe, decontaminate, minhash, secrets, simhash, token_counts, toxicity, url_filter
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -35,6 +35,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_round_trip(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.edited_likeness(table(spark, sf_dir, "documents"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filter.url_filter(table(spark, sf_dir, "pages"), rules)
@@ -63,6 +67,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op3_bpe": op3_bpe,
+    "op5_minhash": op5_minhash,
     "op6_url_filter": op6_url_filter,
     "op7_simhash": op7_simhash,
     "op8_toxicity": op8_toxicity,
