@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, minhash, secrets, simhash, token_counts, toxicity, url_filter
+from . import bpe, decontaminate, minhash, secrets, simhash, token_counts, toxicity, url_filter, warc_zip
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -35,6 +35,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_round_trip(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_zip.read_archives(warc_zip.write_archives(table(spark, sf_dir, "pages")))
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.edited_likeness(table(spark, sf_dir, "documents"))
 
@@ -67,6 +71,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op3_bpe": op3_bpe,
+    "op4_warc": op4_warc,
     "op5_minhash": op5_minhash,
     "op6_url_filter": op6_url_filter,
     "op7_simhash": op7_simhash,
