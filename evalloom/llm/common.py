@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -69,15 +70,15 @@ def write_bytes(uri: str, *parts: bytes) -> None:
 
 
 def map_array(uri: str, dtype) -> np.ndarray:
-    """A flat array file, memory-mapped if the shared folder is mounted, else read once."""
+    """A flat array file, memory-mapped. Where the shared folder isn't mounted, a copy is mapped that leaves no file behind."""
     parsed = urlparse(uri)
     if parsed.scheme in ("", "file"):
-        if not os.path.getsize(parsed.path):
-            return np.zeros(0, dtype)
-        return np.memmap(parsed.path, dtype=dtype, mode="r")
+        return np.memmap(parsed.path, dtype=dtype, mode="r") if os.path.getsize(parsed.path) else np.zeros(0, dtype)
     system, path = filesystem(uri)
-    with system.open_input_stream(path) as f:
-        return np.frombuffer(f.read(), dtype=dtype)
+    with system.open_input_stream(path) as f, tempfile.TemporaryFile() as copy:
+        shutil.copyfileobj(f, copy)
+        copy.flush()
+        return np.memmap(copy, dtype=dtype, mode="r") if copy.tell() else np.zeros(0, dtype)
 
 
 def flat(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

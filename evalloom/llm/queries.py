@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, minhash, secrets, simhash, token_counts, toxicity, url_filter, warc_zip
+from . import bpe, decontaminate, minhash, ngram_lm, secrets, simhash, token_counts, toxicity, url_filter, warc_zip
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -31,6 +31,13 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("_text")
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = toxicity.held_out("doc_id", 5, 1)
+    model = ngram_lm.train(docs.where(~held))
+    return ngram_lm.score(docs, model).select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_round_trip(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -70,6 +77,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_bpe": op3_bpe,
     "op4_warc": op4_warc,
     "op5_minhash": op5_minhash,
