@@ -247,13 +247,14 @@ def bpe_encode(df: DataFrame, vocabulary: str, text: str = "text", column: str =
     return df.mapInArrow(run, fields)
 
 
-def bpe_round_trip(df: DataFrame, vocabulary: str, text: str = "text", key: str = "doc_id", decoded: bool = False) -> DataFrame:
-    """``key, n_tokens, ids_sha256, decoded_sha256`` of every row, and ``decoded`` text if asked for.
+def bpe_round_trip(df: DataFrame, vocabulary: str, text: str = "text", key: str = "doc_id", with_text: bool = False) -> DataFrame:
+    """``key, n_tokens, ids_sha256, decoded_sha256`` of every row, and ``text`` as it came if asked for.
 
     Hashes are those of the ids as little-endian 32-bit integers and of the decoded text's UTF-8. Null and empty texts have no
     ids and the empty text's hash; repeated rows give repeated results; null keys stay.
     """
     kind = df.schema[key].dataType.simpleString()
+    names = [key, "n_tokens", "ids_sha256", "decoded_sha256", *[text] * with_text]
 
     def run(batches):
         c = codec(vocabulary)
@@ -261,8 +262,8 @@ def bpe_round_trip(df: DataFrame, vocabulary: str, text: str = "text", key: str
             for a, b in slices(batch.column(1)):
                 part = batch.slice(a, b - a)
                 ids = c.encode(part.column(1))
-                texts = [c.decode(i) for i in ids]
-                columns = [part.column(0), pa.array([len(i) for i in ids], pa.int64()), pa.array([hashlib.sha256(i.astype("<u4").tobytes()).hexdigest() for i in ids]), pa.array([hashlib.sha256(t).hexdigest() for t in texts])]
-                yield pa.RecordBatch.from_arrays([*columns, *([pa.array([t.decode() for t in texts], pa.string())] if decoded else [])], [key, "n_tokens", "ids_sha256", "decoded_sha256", *["decoded"] * decoded])
+                hashes = [[hashlib.sha256(i.astype("<u4").tobytes()).hexdigest() for i in ids], [hashlib.sha256(c.decode(i)).hexdigest() for i in ids]]
+                columns = [part.column(0), pa.array([len(i) for i in ids], pa.int64()), *(pa.array(h, pa.string()) for h in hashes), *[part.column(1)] * with_text]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", decoded string" * decoded)
+    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + f", `{text}` string" * with_text)
