@@ -47,9 +47,10 @@ def resolve(citations: DataFrame, pages: DataFrame) -> DataFrame:
     """
     files = pages.groupBy("file").agg(F.max("page").alias("last"), F.max(F.when(F.col("page").isNull(), F.col("text"))).alias("whole"))
     heads = first_pages(pages.where("page IS NOT NULL")).select("file", F.col("text").alias("head"))
-    single = pages.where("page IS NOT NULL").select("file", F.col("page").alias("_page"), F.col("text").alias("one"))
+    single = pages.where("page IS NOT NULL").select(F.col("file").alias("_file"), F.col("page").alias("_page"), F.col("text").alias("one"))
     c = citations.withColumn("file", F.coalesce(normalise_path(F.coalesce("raw_file", F.lit(""))), F.lit("")))
-    c = c.join(files.withColumn("known", F.lit(True)), "file", "left").join(heads, "file", "left").join(single, (c["file"] == single["file"]) & (c["page"] == F.col("_page")), "left").drop(single["file"])
+    c = c.join(files.withColumn("known", F.lit(True)), "file", "left").join(heads, "file", "left")
+    c = c.join(single, (F.col("file") == F.col("_file")) & (F.col("page") == F.col("_page")), "left")
     end = suffix(F.col("file"))
     error = (
         F.when(F.col("file") == "", "missing file path")
@@ -67,7 +68,7 @@ def resolve(citations: DataFrame, pages: DataFrame) -> DataFrame:
     out = c.withColumn("error", error).withColumn("text", F.when(F.col("error").isNull(), F.substring(text, 1, MAX_CHARS)))
     shown = F.when(F.col("error") == "missing file path", F.col("raw_file")).otherwise(F.col("file"))
     out = out.withColumn("file", shown).withColumn("ok", F.col("error").isNull() & ~blank(F.col("text")))
-    return out.drop("raw_file", "known", "last", "whole", "head", "_page", "one")
+    return out.drop("raw_file", "known", "last", "whole", "head", "_file", "_page", "one")
 
 
 def score(answers: DataFrame, resolved: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
