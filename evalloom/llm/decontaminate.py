@@ -26,41 +26,59 @@ UNITS = (
 )
 
 _NUMBERS = r"(?<![\p{L}\p{N}])[\p{Sc}]?\p{N}[\p{N}.,:/]*(?:(?<=\p{N})(?:%|°|\p{L}{1,3}(?!\p{L})))?"
-_NAMES = r"(?<=[\p{L}\p{N},;›]\s)\p{Lu}[\p{L}\p{M}'’-]*"
-_PUNCTUATION = r"""(?<=\S)[.,;:!?"')\]]+(?=\s|$)|(?<![^\s])["'(\[]+(?=\S)"""
+# the rare letter comes first and what stands before it is looked at afterwards, so most places are passed at one glance
+_NAMES = r"\p{Lu}(?<=[\p{L}\p{N},;›]\s.)[\p{L}\p{M}'’-]*"
+_PUNCTUATION = r"""[.,;:!?"'()\[\]]"""
 
 
-def _tokens(text: Column) -> Column:
-    return F.split(F.regexp_replace(text, r"^\s+|\s+$", ""), r"\s+")
+def _split(text: Column) -> Column:
+    """Parts between white space (ASCII's). Simple patterns one after the other are faster than one that does it all."""
+    spaced = F.trim(F.regexp_replace(text, r"[\n\t\r\x0b\f]", " "))
+    return F.split(F.when(F.contains(spaced, F.lit("  ")), F.regexp_replace(spaced, " +", " ")).otherwise(spaced), " ")
 
 
 def templates(df: DataFrame, text: str) -> DataFrame:
-    """``df`` with ``_raw`` and ``_tok``, arrays of equal length: the tokens of ``text`` as they are, and as a template.
+    """``df`` with ``_tok``: the tokens of ``text`` as a template. They are as many as ``raw_tokens`` gives, and in the same places.
 
     A capitalised word that doesn't begin a sentence is a name; digits, with currency sign, percent or a short unit attached,
-    are a number; a unit's word after a number is a unit. All else is lower-cased and loses the punctuation at its ends.
-    Replacements stay within a token, so both arrays go together. Null, empty and blank texts have empty arrays.
+    are a number; a unit's word after a number is a unit. All else is lower-cased and loses its punctuation; tokens of
+    punctuation alone are none. Replacements stay within a token. Texts without any token have an empty array.
     """
     plain = F.coalesce(F.col(text), F.lit(""))
     named = F.regexp_replace(plain, _NAMES, NAME)
     units = "|".join(sorted(UNITS.split(), key=len, reverse=True))
     counted = F.regexp_replace(F.regexp_replace(named, _NUMBERS, NUMBER), rf"(?i)(?<={NUMBER}\s)(?:{units})(?![\p{{L}}\p{{N}}])", UNIT)
     typed = F.when(plain.rlike(r"\p{N}"), counted).otherwise(named)
-    form = F.regexp_replace(F.lower(typed), _PUNCTUATION, "")
-    blank = F.array().cast("array<string>")
-    some = plain.rlike(r"\S")
-    return df.withColumns({"_raw": F.when(some, _tokens(plain)).otherwise(blank), "_tok": F.when(some, _tokens(form)).otherwise(blank)})
+    form = _split(F.regexp_replace(F.lower(typed), _PUNCTUATION + "+", ""))
+    return df.withColumn("_tok", F.when(form[0] != "", form).otherwise(F.array().cast("array<string>")))
+
+
+def raw_tokens(text: str) -> Column:
+    """The tokens of a text as they are."""
+    return F.filter(_split(F.coalesce(F.col(text), F.lit(""))), lambda w: F.regexp_replace(w, _PUNCTUATION, "") != "")
+
+
+def _bound(value: Column, body) -> Column:
+    """``body`` of a value that is computed once: written in place, it would be computed anew for every element of a loop."""
+    return F.transform(F.array(value), body)[0]
 
 
 def _windows(tokens: str, size: int) -> Column:
-    """Hashes of all windows of ``size`` tokens, from the tokens' hashes.
+    """Hashes of all windows of ``size`` tokens; windows of other sizes have other hashes.
 
-    The array of hashes is bound to a lambda's variable: written in place it would be computed anew for every window.
+    Hashes of twice the width come from two neighbours, so eight tokens take three steps and no window is cut out as an array.
     """
-    hashes = F.transform(tokens, lambda w: F.xxhash64(w))
+    far = 1 << 30
+
+    def wider(h: Column, width: int) -> Column:
+        if width == size:
+            return h
+        more = width if 2 * width <= size else size - width
+        return _bound(F.zip_with(h, F.slice(h, more + 1, far), lambda a, b: F.xxhash64(a, b)), lambda x: wider(x, width + more))
+
     last = F.size(tokens) - size + 1
-    rolled = F.transform(F.array(hashes), lambda h: F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.slice(h, i, size))))[0]
-    return F.when(last >= 1, rolled).otherwise(F.array().cast("array<bigint>"))
+    hashes = _bound(F.transform(tokens, lambda w: F.xxhash64(w)), lambda h: wider(h, 1))
+    return F.when(last >= 1, F.slice(hashes, 1, last)).otherwise(F.array().cast("array<bigint>"))
 
 
 def _is_slot(token: Column) -> Column:
@@ -74,15 +92,15 @@ def benchmark_windows(items: DataFrame, text: str = "text", key: str = "item_id"
     Items of fewer than ``WINDOW`` tokens are one window. Windows with fewer than ``WORDS`` plain words would fit anything and are
     left out, so items without any other are never found; null and empty items neither.
     """
-    forms = templates(items.where(F.col(key).isNotNull()), text).where(F.size("_tok") >= WORDS)
+    forms = templates(items.where(F.col(key).isNotNull()), text).withColumn("_raw", raw_tokens(text)).where(F.size("_tok") >= WORDS)
     forms = forms.groupBy("_tok").agg(F.min(key).alias("item_id"), F.array_sort(F.collect_set(key)).alias("item_ids"), F.min_by("_raw", key).alias("_raw"))
-    forms = forms.withColumn("size", F.least(F.size("_tok"), F.lit(WINDOW)))
-    rows = forms.select("item_id", "item_ids", "size", "_tok", "_raw", F.explode(F.sequence(F.lit(1), F.size("_tok") - F.col("size") + 1)).alias("q"))
-    rows = rows.select("item_id", "item_ids", "size", "q", F.slice("_tok", F.col("q"), F.col("size")).alias("i_tok"), F.slice("_raw", F.col("q"), F.col("size")).alias("i_raw"))
+    sizes = F.least(F.size("_tok"), F.lit(WINDOW))
+    hashes = F.coalesce(*[F.when(sizes == n, _windows("_tok", n)) for n in range(WORDS, WINDOW + 1)])
+    rows = forms.withColumn("size", sizes).select("item_id", "item_ids", "size", "_tok", "_raw", F.posexplode(hashes).alias("q", "hash"))
+    rows = rows.select("item_id", "item_ids", "size", "q", "hash", F.slice("_tok", F.col("q") + 1, F.col("size")).alias("i_tok"), F.slice("_raw", F.col("q") + 1, F.col("size")).alias("i_raw"))
     rows = rows.where(F.size(F.filter("i_tok", lambda w: ~_is_slot(w))) >= WORDS)
     totals = rows.groupBy("item_id").agg(F.count("*").alias("n_item_windows"))
-    hashed = rows.withColumn("hash", F.xxhash64(F.transform("i_tok", lambda w: F.xxhash64(w))))
-    return hashed.join(totals, "item_id")
+    return rows.join(totals, "item_id")
 
 
 def leaks(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id", coverage: float = COVERAGE) -> DataFrame:
@@ -96,22 +114,22 @@ def leaks(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc
     """
     bench = materialize(benchmark_windows(items, item_text, item_key), "benchmark")
     n, sizes = bench.agg(F.count("*"), F.collect_set("size")).first()
-    base = templates(docs.select(F.col(key).alias("_key"), F.col(text).alias("_body")), "_body").withColumn("_text", F.xxhash64("_body")).drop("_body")
-    # one pass over the documents for all sizes: a window's size goes with its position
-
-    def placed(size: int) -> Column:
-        return F.transform(_windows("_tok", size), lambda h, i: F.struct(h.alias("h"), (i + 1).alias("p"), F.lit(size).alias("s")))
-
-    parts = [placed(s) for s in sorted(sizes)]
-    if not parts:
-        parts = [F.array().cast("array<struct<h:bigint,p:int,s:int>>")]
-    windows = base.select("_key", "_text", "_tok", "_raw", F.explode(F.concat(*parts) if len(parts) > 1 else parts[0]).alias("w"))
+    sizes = sorted(sizes, reverse=True)
+    base = templates(docs.select(F.col(key).alias("_key"), F.col(text).alias("_body")), "_body")
+    # one pass over the documents: windows of all sizes follow each other
+    windows = F.concat(*[_windows("_tok", s) for s in sizes]) if len(sizes) > 1 else _windows("_tok", sizes[0] if sizes else WINDOW)
+    begin, before = F.lit(0), F.lit(0)
+    for s in sizes:
+        begin = F.when(F.col("size") == s, before).otherwise(begin)
+        before = before + F.greatest(F.size("_tok") - s + 1, F.lit(0))
     table = F.broadcast(bench) if n <= BROADCAST_WINDOWS else bench
-    hits = windows.join(table, (F.col("w.h") == F.col("hash")) & (F.col("w.s") == F.col("size")))
-    hits = hits.withColumn("d_raw", F.slice("_raw", F.col("w.p"), F.col("size"))).where(F.slice("_tok", F.col("w.p"), F.col("size")) == F.col("i_tok"))
+    hits = base.select("_key", "_body", "_tok", F.posexplode(windows).alias("_at", "_hash")).join(table, F.col("_hash") == F.col("hash"))
+    hits = hits.withColumn("_p", F.col("_at") - begin).where(F.slice("_tok", F.col("_p") + 1, F.col("size")) == F.col("i_tok"))
+    # only what was met needs the text's own tokens and its hash
+    hits = hits.select("*", F.slice(raw_tokens("_body"), F.col("_p") + 1, F.col("size")).alias("d_raw"), F.xxhash64("_body").alias("_text"))
     strip = lambda x: F.regexp_replace(F.lower(x), _PUNCTUATION, "")
     values = F.transform(F.arrays_zip("i_tok", "i_raw", "d_raw"), lambda z: F.when(_is_slot(z["i_tok"]), F.struct(strip(z["i_raw"]).alias("i"), strip(z["d_raw"]).alias("d"))))
-    hits = hits.select("_key", "_text", "item_id", "item_ids", "n_item_windows", "q", (F.col("w.p") - F.col("q")).alias("offset"), F.array_compact(values).alias("slots"))
+    hits = hits.select("_key", "_text", "item_id", "item_ids", "n_item_windows", "q", (F.col("_p") - F.col("q")).alias("offset"), F.array_compact(values).alias("slots"))
     # windows at one offset: as many as the item has at most
     runs = hits.groupBy("_key", "_text", "item_id", "item_ids", "n_item_windows", "offset").agg(F.collect_set("q").alias("qs"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
     agrees = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: s["i"])))
