@@ -60,7 +60,8 @@ def sketch(texts: pa.Array, words: int = WORDS, bins: int = BINS, bits: int = BI
         low = np.full(len(count) * bins, _EMPTY, np.uint64)
         np.minimum.at(low, cell, h & np.uint64(0xFFFFFFFF))
         full = densify(low.reshape(-1, bins))
-        out.append((mix(full) & np.uint64((1 << bits) - 1)).astype(np.uint8))
+        # a bin's number goes into its bits, so a value that fills many bins agrees by chance in each of them apart
+        out.append((mix(full ^ mix(np.arange(1, bins + 1, dtype=np.uint64))) & np.uint64((1 << bits) - 1)).astype(np.uint8))
     return np.concatenate(out)
 
 
