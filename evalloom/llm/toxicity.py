@@ -26,13 +26,15 @@ EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "sore loser",
 
 _FOLD = str.maketrans(HOMOGLYPHS | SUBSTITUTES | {c: "" for c in "​‌‍­⁠﻿"})
 _EDGES = re.compile(r"[\W_]+")
+#: Signs behind a word are punctuation or junk, not letters.
+_TAIL = re.compile(r"[@$!]+(?!\w)")
 #: Lengths of the word beginnings that can stand for all their words.
 STEMS = range(4, 9)
 
 
 def fold(text: str) -> str:
     """Lower case, look-alikes and substitutes replaced, all else but letters one space; a space at either end."""
-    return f" {_EDGES.sub(' ', text.lower().translate(_FOLD)).strip()} "
+    return f" {_EDGES.sub(' ', _TAIL.sub(' ', text.lower()).translate(_FOLD)).strip()} "
 
 
 @dataclass
