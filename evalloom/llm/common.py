@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
+import json
 import os
 import shutil
 import tempfile
@@ -16,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass handles at a time; bounds the memory of the temporary arrays.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -33,11 +37,16 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 
     It lies under ``spark.checkpoint.dir``; only where that is unset (as in tests on one machine) a local one is made.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="evalloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    # a path without a scheme belongs to the cluster's file system, which only Hadoop's configuration knows
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    whole = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return f"{whole.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@functools.cache
+def _own_folder() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="evalloom-")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -48,6 +57,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidied(run):
+    """A function of Arrow batches that gives freed memory back to the system when its task ends: workers live on."""
+
+    def inner(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(AttributeError, OSError):  # not every C library has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return inner
+
+
 def filesystem(uri: str):
     """(file system, path) of pyarrow for a URI of the shared folder; used inside tasks."""
     from pyarrow import fs
@@ -139,14 +160,22 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
-    """64-bit hash of each word, from a prefix sum of a polynomial over random byte values; A-Z lower-cased if asked."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    up, down = _power(len(data))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_TABLE[_LOWER[data] if lower else data] * up, out=sums[1:])
-    h = (sums[ends] - sums[starts]) * down[starts]
-    return mix(h + (ends - starts).astype(np.uint64))
+    """64-bit hash of each word, from a prefix sum of a polynomial over random byte values; A-Z lower-cased if asked.
+
+    Goes through the words about ``SLICE_BYTES`` at a time, so a very long text takes no more memory than a short one.
+    """
+    out = np.zeros(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + SLICE_BYTES, side="right")))
+        part = data[starts[i] : ends[j - 1]]
+        a, b = starts[i:j] - starts[i], ends[i:j] - starts[i]
+        up, down = _power(len(part))
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_TABLE[_LOWER[part] if lower else part] * up, out=sums[1:])
+        out[i:j] = mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64))
+        i = j
+    return out
 
 
 def words_array(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
@@ -172,3 +201,32 @@ def hot_lookup(left: DataFrame, right: DataFrame, key: str, rows: int, how: str
     a = marked.where(F.col("_hot")).drop("_hot").join(F.broadcast(hot.drop("n_rows")), key, "inner")
     b = marked.where(F.col("_hot").isNull()).drop("_hot").join(rest.drop("n_rows"), key, how)
     return a.unionByName(b)
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays byte plane by byte plane, compressed: sorted keys as differences have mostly zero planes."""
+    codec, out, sizes = pa.Codec("zstd", 1), [], []
+    for a in arrays:
+        raw = np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T).tobytes()
+        part = codec.compress(raw, asbytes=True)
+        sizes.append((a.dtype.str, len(a), len(part)))
+        out.append(part)
+    head = json.dumps(sizes).encode()
+    return b"".join([len(head).to_bytes(4, "little"), head, *out])
+
+
+def unpack(blob: bytes) -> list[np.ndarray]:
+    n = int.from_bytes(blob[:4], "little")
+    at, out, codec = 4 + n, [], pa.Codec("zstd")
+    for kind, count, size in json.loads(blob[4 : 4 + n]):
+        dtype = np.dtype(kind)
+        raw = codec.decompress(blob[at : at + size], count * dtype.itemsize, asbytes=True)
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(dtype.itemsize, count).T).reshape(-1).view(dtype))
+        at += size
+    return out
+
+
+def differences(keys: np.ndarray) -> np.ndarray:
+    out = keys.copy()
+    out[1:] -= keys[:-1]
+    return out

@@ -19,13 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, map_array, shared_dir, slices, word_bounds, word_hashes, write_bytes
+from .common import differences, flat, map_array, pack, shared_dir, slices, tidied, unpack, word_bounds, word_hashes, write_bytes
 
 #: Tokens that a task counts or scores at a time, and tokens of the training text for each shard of the trie.
-UNIT, SHARD = 2_500_000, 4_000_000
+UNIT, SHARD = 400_000, 2_000_000
 #: The end of a text, as a word's hash (no word hashes to it but by a chance of 2^-64).
 END = np.uint64(0)
-_PACK = ("zstd", 1)
 
 
 # -- Elias-Fano -------------------------------------------------------------------------------------------------------
@@ -111,36 +110,7 @@ def find(words: np.ndarray, width: int, start: np.ndarray, end: np.ndarray, word
     return out
 
 
-# -- packing ----------------------------------------------------------------------------------------------------------
-
-
-def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays byte plane by byte plane, compressed: sorted keys as differences have mostly zero planes."""
-    codec, out, sizes = pa.Codec(*_PACK), [], []
-    for a in arrays:
-        raw = np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes()
-        part = codec.compress(raw, asbytes=True)
-        sizes.append((a.dtype.str, len(a), len(part)))
-        out.append(part)
-    head = json.dumps(sizes).encode()
-    return b"".join([len(head).to_bytes(4, "little"), head, *out])
-
-
-def unpack(blob: bytes) -> list[np.ndarray]:
-    n = int.from_bytes(blob[:4], "little")
-    at, out, codec = 4 + n, [], pa.Codec(_PACK[0])
-    for kind, count, size in json.loads(blob[4 : 4 + n]):
-        dtype = np.dtype(kind)
-        raw = codec.decompress(blob[at : at + size], count * dtype.itemsize, asbytes=True)
-        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(dtype.itemsize, count).T).reshape(-1).view(dtype))
-        at += size
-    return out
-
-
-def differences(keys: np.ndarray) -> np.ndarray:
-    out = keys.copy()
-    out[1:] -= keys[:-1]
-    return out
+# -- files and counts -------------------------------------------------------------------------------------------------
 
 
 def layout(arrays: dict[str, np.ndarray], more: dict) -> list[bytes]:
@@ -157,7 +127,7 @@ def layout(arrays: dict[str, np.ndarray], more: dict) -> list[bytes]:
 
 
 def mapped(uri: str) -> tuple[dict, dict[str, np.ndarray]]:
-    raw = map_array(uri, np.uint8)
+    raw = map_array(uri, np.uint8).view(np.ndarray)
     n = int.from_bytes(raw[:8].tobytes(), "little")
     head = json.loads(raw[8 : 8 + n].tobytes())
     return head, {k: raw[8 + n + a : 8 + n + a + size].view(kind) for k, (a, size, kind) in head["arrays"].items()}
@@ -333,6 +303,7 @@ def train(df: DataFrame, text: str = "text") -> Model:
     parts = min(width, 4096)
     texts = df.select(F.lit(0).alias("_k"), text)
 
+    @tidied
     def count_words(batches):
         for held, hashes, counts in units(batches):
             keys, n = np.unique(hashes, return_counts=True)
@@ -374,6 +345,7 @@ def train(df: DataFrame, text: str = "text") -> Model:
     if not tokens:
         return model
 
+    @tidied
     def count_ngrams(batches):
         reader = Reader(model)
         for held, hashes, counts in units(batches):
@@ -432,6 +404,7 @@ def train(df: DataFrame, text: str = "text") -> Model:
         model.weights[word] = sum(a * b for a, b in zip(d2, s)) / max(s[3], 1)
     context_counts = {w: sum(r["sums"][3] for r in grams if a <= r["shard"] < a + k) for w, a, k in model.hot}
 
+    @tidied
     def weigh(batches):
         from .common import filesystem
 
@@ -577,6 +550,7 @@ def score(df: DataFrame, model: Model, text: str = "text", key: str = "doc_id")
     kind = df.schema[key].dataType.simpleString()
     names = [key, "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
+    @tidied
     def run(batches):
         for held, hashes, counts in units(batches):
             n, known, base, s = score_unit(model, hashes, counts)
