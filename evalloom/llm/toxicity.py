@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices, tidied
+
 #: Letters of other scripts that look like Latin ones.
 HOMOGLYPHS = {
     "а": "a", "в": "b", "с": "c", "ԁ": "d", "е": "e", "ɡ": "g", "һ": "h", "і": "i", "ј": "j", "к": "k", "ӏ": "l", "м": "m", "п": "n", "о": "o",
@@ -29,7 +31,7 @@ _EDGES = re.compile(r"[\W_]+")
 #: Signs behind a word are punctuation or junk, not letters.
 _TAIL = re.compile(r"[@$!]+(?!\w)")
 #: Lengths of the word beginnings that can stand for all their words.
-STEMS = range(4, 9)
+STEMS = range(3, 9)
 
 
 def fold(text: str) -> str:
@@ -107,11 +109,11 @@ def _evidence(t: float, tn: float, c: float, cn: float) -> float:
     return g
 
 
-def fit(toxic: list[str], clean: list[str], base_rate: float, least: float = 25.0, ratio: float = 6.0, size: int = 2000) -> Model:
+def fit(toxic: list[str], clean: list[str], base_rate: float, least: float = 15.0, ratio: float = 6.0, size: int = 2000) -> Model:
     """Lexicon, exceptions and coefficients from labelled texts.
 
     Units (words, and word beginnings that stand for all their words) are taken one by one: each time the one with the
-    strongest evidence on what the units taken so far explain least. A text's weight falls to six tenths with each unit
+    strongest evidence on what the units taken so far explain least. A text's weight falls to eight tenths with each unit
     found in it, so words that merely come with copies of a toxic text rarely enter. No toxic or no clean texts give an empty
     lexicon and the base rate as every score.
     """
@@ -129,18 +131,21 @@ def fit(toxic: list[str], clean: list[str], base_rate: float, least: float = 25.
     tn, cn = len(toxic), len(clean)
     held = {u: np.array(ix) for u, ix in where.items() if _evidence(len(ix), tn, in_clean[u], cn) >= least and len(ix) / tn >= ratio * (in_clean[u] + 0.1) / cn}
     weight, lexicon, first = np.ones(tn), {}, {u: float(len(ix)) for u, ix in held.items()}
+    odds = lambda u: math.log((first[u] + 0.5) / (tn + 1)) - math.log((in_clean[u] + 0.5) / (cn + 1))
     while held and len(lexicon) < size:
         ranked = {}
         for u, ix in held.items():
             left = float(weight[ix].sum())
             ranked[u] = (_evidence(left, max(left, float(tn)), in_clean[u], cn) - 0.5 * (not u.endswith(" ")), left)
-        unit = max(ranked, key=lambda u: (ranked[u][0], u))
-        if ranked[unit][0] < least or ranked[unit][1] / tn < ratio * (in_clean[unit] + 0.1) / cn:
+        ranked_well = [u for u, (g, left) in ranked.items() if g >= least and left / tn >= ratio * (in_clean[u] + 0.1) / cn]
+        if not ranked_well:
             break
-        lexicon[unit] = math.log((first[unit] + 0.5) / (tn + 1)) - math.log((in_clean[unit] + 0.5) / (cn + 1))
+        unit = max(ranked_well, key=lambda u: (ranked[u][0], u))
+        lexicon[unit] = odds(unit)
         mine = held.pop(unit)
-        weight[mine] *= 0.6
-        held = {u: ix for u, ix in held.items() if ranked[u][0] >= least and not u.startswith(unit) and not (unit.startswith(u) and len(mine) >= 0.9 * len(ix))}
+        weight[mine] *= 0.8
+        # a longer unit inside a chosen one is worth having only if it tells much more; a shorter one only if it reaches further
+        held = {u: ix for u, ix in held.items() if ranked[u][0] >= least and not (u.startswith(unit) and odds(u) < odds(unit) + 1) and not (unit.startswith(u) and len(mine) >= 0.9 * len(ix))}
     phrases: dict[str, list[int]] = defaultdict(lambda: [0, 0])
     words = {u.strip() for u in lexicon if u.endswith(" ")}
     for kind, texts in enumerate((toxic, clean)):
@@ -198,9 +203,12 @@ def score_texts(df: DataFrame, model: Model, text: str = "text", column: str = "
     at, names = df.columns.index(text), [*df.columns, column]
     fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), f"`{column}` double"])
 
+    @tidied
     def run(batches):
         for batch in batches:
-            scores = pa.array([model.score(t) for t in batch.column(at).to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, scores], names)
+            for a, b in slices(batch.column(at)):
+                part = batch.slice(a, b - a)
+                scores = pa.array([model.score(t) for t in part.column(at).to_pylist()], pa.float64())
+                yield pa.RecordBatch.from_arrays([*part.columns, scores], names)
 
     return df.mapInArrow(run, fields)
