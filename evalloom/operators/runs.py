@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import with_sources
-from ..sources.constants import PAGE_WORD, PRESET_EXAMPLES, SOURCES_HEADING
+from ..sources.constants import PAGE_WORD, SOURCES_HEADING
 
 
 def pending(questions: DataFrame, done: DataFrame) -> DataFrame:
@@ -48,9 +48,11 @@ def failed_record(question: DataFrame, error: Column) -> DataFrame:
     return question.select("id", F.lit("").alias("answer"), error.alias("endpoint_error"))
 
 
-def prompt_specs(presets: dict[str, str], runner: str) -> list[dict]:
-    """Name, prompt, examples and number of messages for each preset; a few driver-side values."""
-    return [{"preset": k, "runner": runner, "prompt": v, "examples_file": PRESET_EXAMPLES.get(k)} for k, v in presets.items()]
+def prompt_specs(presets: dict[str, str], runner: str, examples: dict[str, str], shots: dict[str, int] | None = None) -> list[dict]:
+    """Prompt, examples' file and number of messages (system, two for each example, question) for each preset; presets
+    without examples have none. A few driver-side values."""
+    size = lambda k: 2 + 2 * (shots or {}).get(k, 0)
+    return [{"preset": k, "runner": runner, "prompt": v, "examples_file": examples.get(k), "message_count": size(k)} for k, v in presets.items()]
 
 
 def model_name(model: str, provider: str) -> str:

@@ -37,9 +37,8 @@ DIFFICULTIES = ("easy", "medium", "hard")
 ESTABLISHES = {"fully": 1.0, "partially": 0.5, "not_at_all": 0.0}
 #: US dollars per million prompt and completion tokens.
 PRICES = (0.5, 2.0)
-#: Presets, the examples each takes, and the heading and page word of cited sources.
+#: Presets, and the heading and page word of cited sources.
 PRESETS = ("default", "concise", "no-cite")
-PRESET_EXAMPLES = {"default": "few_shot_examples.json", "concise": "few_shot_examples.json", "no-cite": "few_shot_examples_no_cite.json"}
 SOURCES_HEADING, PAGE_WORD = "מקורות:", "עמוד"
 
 
