@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, mix, slices, word_bounds, word_hashes
+from .common import flat, mix, slices, tidied, word_bounds, word_hashes
 from .simhash import shingle_spans
 
 #: Words of a shingle, bins of a fingerprint, bits kept of each bin.
@@ -82,6 +82,7 @@ def likeness(a: np.ndarray, b: np.ndarray, bits: int = BITS) -> np.ndarray:
 def fingerprints(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``key, fingerprint`` of every row; equal texts have equal ones, null, empty and blank texts one of their own. No shuffle."""
 
+    @tidied
     def run(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pack(sketch(batch.column(1))), pa.string())], [key, "fingerprint"])
@@ -126,6 +127,7 @@ def edited_likeness(df: DataFrame, text: str = "text", key: str = "doc_id") -> D
     kind = df.schema[key].dataType.simpleString()
     names = [key, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
+    @tidied
     def walk(batches):
         held = None  # (range, key, text, sketch) of the last row, which waits for its next
         for whole in batches:
