@@ -10,13 +10,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import flat, slices
+from .common import flat, slices, tidied
 from .token_counts import _bytes_of_letters
 
 #: Length of the rolling hash's window in bytes (a power of two), and mean length of a chunk.
 WINDOW, MEAN_CHUNK = 32, 1024
 #: Chunks' ids that a worker keeps, in bytes.
-CACHE_BYTES = 96 << 20
+CACHE_BYTES = 32 << 20
 #: Fixed value: the splitting pattern of byte-level vocabularies, the same in both libraries.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -234,6 +234,7 @@ def bpe_encode(df: DataFrame, vocabulary: str, text: str = "text", column: str =
     at, names = df.columns.index(text), [*df.columns, column]
     fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), f"`{column}` array<int>"])
 
+    @tidied
     def run(batches):
         c = codec(vocabulary)
         for batch in batches:
@@ -256,6 +257,7 @@ def bpe_round_trip(df: DataFrame, vocabulary: str, text: str = "text", key: str
     kind = df.schema[key].dataType.simpleString()
     names = [key, "n_tokens", "ids_sha256", "decoded_sha256", *[text] * with_text]
 
+    @tidied
     def run(batches):
         c = codec(vocabulary)
         for batch in batches:

@@ -191,9 +191,12 @@ def hot_lookup(left: DataFrame, right: DataFrame, key: str, rows: int, how: str
     """Join ``left`` with ``right``, which has one row a key and, in ``n_rows``, how many rows of ``left`` have it.
 
     Keys with more than 1/``share`` of ``rows`` are joined by broadcast: there can be no more than ``share`` of them, whatever
-    the size of the input. All others take the ordinary shuffled join, in which none of them can load a task.
+    the size of the input. All others take the ordinary shuffled join, in which none of them can load a task. Without such
+    keys this is an ordinary join. ``right`` is read twice, so it should be a written table.
     """
     least = max(1000, rows // share)
+    if not right.where(F.col("n_rows") > least).head(1):
+        return left.join(right.drop("n_rows"), key, how)
     hot = right.where(F.col("n_rows") > least)
     rest = right.where(F.col("n_rows") <= least)
     flags = hot.select(F.col(key).alias("_hot_key")).withColumn("_hot", F.lit(True))

@@ -10,7 +10,7 @@ from .common import hot_lookup, materialize
 
 def _star(pairs: DataFrame, rows: int) -> DataFrame:
     """Each (u, v) with ``m``, the least of u and all its v. A node that many edges share loads no task."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n_rows"))
+    least = materialize(pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n_rows")), "stars")
     return hot_lookup(pairs, least, "u", rows, "inner").withColumn("m", F.least("u", "m"))
 
 

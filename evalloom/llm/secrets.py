@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, slices, tidied
 
 KINDS = ("assign", "access", "hex", "random")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -151,9 +151,10 @@ _SCANNED = "n_assign bigint, n_access bigint, n_hex bigint, base string, found a
 def scanned(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One pass over the whole texts: base spans, and the candidates with their groups and binned p-values."""
 
+    @tidied
     def run(batches):
         kind = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32()), ("g", pa.int32()), ("b", pa.int32())]))
-        for batch in batches:
+        for batch in (whole.slice(a, b - a) for whole in batches for a, b in slices(whole.column(1))):
             rows: list[list] = [[], [], [], [], []]
             for t in batch.column(1).to_pylist():
                 base, found = scan(t or "")
@@ -212,8 +213,9 @@ def redact(df: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFra
             done = max(done, b)
         return "".join([*out, t[done:]])
 
+    @tidied
     def run(batches):
-        for batch in batches:
+        for batch in (whole.slice(a, b - a) for whole in batches for a, b in slices(whole.column(at))):
             columns = list(batch.columns)
             columns[at] = pa.array([clean(t) for t in columns[at].to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)

@@ -6,11 +6,12 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LOWER, flat, hot_lookup, materialize, mix, slices, word_bounds, word_hashes
+from .common import _LOWER, differences, flat, hot_lookup, materialize, mix, pack, slices, tidied, unpack, word_bounds, word_hashes
 from .components import components
 
 #: Index buckets up to this size are compared pair by pair; larger ones are refined until all members of a group agree.
@@ -71,6 +72,7 @@ def exact_fingerprints(texts: pa.Array, words: int, seed: int) -> np.ndarray:
 def fingerprints(df: DataFrame, words: int = 3, seed: int = 42, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``key, fp`` (a signed 64-bit integer) of every row; null, empty and blank texts have 0. One narrow pass, whole texts."""
 
+    @tidied
     def run(batches):
         for batch in batches:
             fp = exact_fingerprints(batch.column(1), words, seed).view(np.int64)
@@ -112,9 +114,9 @@ def links(fps: DataFrame) -> DataFrame:
     near = pairs.where(wanted & (F.bit_count(differ) <= 2)).select("a", "b")
 
     large = members.where(F.col("n") > SMALL_BUCKET).withColumn("bit", bit.cast("int"))
-    wild = [F.array(F.lit(i), F.lit(j)) for i in range(32) for j in range(i)]
-    same_high = large.where("bit = 0").select("fp", F.explode(F.array(*wild)).alias("w"))
-    same_low = large.where("bit = 32").select("fp", F.explode(F.array(*wild)).alias("w")).withColumn("w", F.transform("w", lambda x: x + 32))
+    wild = F.expr("flatten(transform(sequence(1, 31), i -> transform(sequence(0, i - 1), j -> array(i, j))))")
+    same_high = large.where("bit = 0").select("fp", F.explode(wild).alias("w"))
+    same_low = large.where("bit = 32").select("fp", F.explode(wild).alias("w")).withColumn("w", F.transform("w", lambda x: x + 32))
     mixed = large.where("bit < 32").select("fp", "bit", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("i")).select("fp", F.array(F.col("bit") + 32, "i").alias("w"))
     refined = same_high.unionByName(same_low).unionByName(mixed).select("fp", "w", _without(F.col("fp"), F.col("w")[0], F.col("w")[1]).alias("rest"))
     group = refined.groupBy("w", "rest").agg(F.collect_set("fp").alias("m")).where(F.size("m") > 1)
@@ -134,8 +136,8 @@ def near_duplicates(df: DataFrame, words: int = 3, seed: int = 42, text: str = "
     rows = each.agg(F.coalesce(F.sum("n_rows"), F.lit(0))).first()[0]
     groups = materialize(components(links(each.select("fp"))), "groups")
     named = each.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    ids = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n_rows"))
-    table = hot_lookup(named.select("fp", "root", F.col("n_rows").alias("n")), ids, "root", max(rows, 1), "inner").select("fp", "component_id", F.col("n").alias("n_rows"))
+    ids = materialize(named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n_rows")), "ids")
+    table = materialize(hot_lookup(named.select("fp", "root", F.col("n_rows").alias("n")), ids, "root", max(rows, 1), "inner").select("fp", "component_id", F.col("n").alias("n_rows")), "components")
     return hot_lookup(found, table, "fp", rows, "inner").select(key, "fp", "component_id")
 
 
@@ -143,6 +145,8 @@ def near_duplicates(df: DataFrame, words: int = 3, seed: int = 42, text: str = "
 
 #: 64-bit lanes of the long fingerprint.
 LANES = 8
+#: Bits of the fingerprint that go with each entry of the index, to turn down chance neighbours at once, and bits of an entry.
+CHECK, ENTRY = 32, 40
 
 
 def share_of_bits(similarity: float) -> float:
@@ -150,11 +154,11 @@ def share_of_bits(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def design(rows: int, similarity: float, recall: float = 0.9) -> tuple[int, int]:
+def design(rows: int, similarity: float, recall: float = 0.97) -> tuple[int, int]:
     """(bits of a segment, segments): segments are so long that chance fills no bucket, and so many that of two texts at just
     this similarity one segment differs by at most one bit with this probability."""
     p = share_of_bits(similarity)
-    bits = max(20, math.ceil(math.log2(max(rows, 2))) + 1)
+    bits = max(16, math.ceil(math.log2(max(rows, 2))) + 3)
     hit = (1 - p) ** bits + bits * p * (1 - p) ** (bits - 1)
     return bits, math.ceil(math.log(1 - recall) / math.log(1 - hit))
 
@@ -206,16 +210,16 @@ def _neighbours(rows: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _check(fp: np.ndarray) -> np.ndarray:
-    return (fp[:, -1] >> np.uint64(32)).astype(np.uint32)
+    return (fp[:, -1] >> np.uint64(64 - CHECK)).astype(np.uint32)
 
 
-def similar_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, recall: float = 0.9, text: str = "text", key: str = "doc_id") -> DataFrame:
+def similar_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, recall: float = 0.97, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``key, root`` of every row: rows whose shingle sets have about this similarity or more are in one group.
 
     Equal texts are one row before anything else is done. The long fingerprint (512 bits) is cut into segments; texts whose
     segments differ by at most one bit meet under the segment's variants with one bit deleted, and are linked if the whole
     fingerprints differ in no more bits than at this similarity. ``root`` is the least key of the group. Pairs at just this
-    similarity are found with probability ``recall`` times 0.9, nearer ones more surely. Null, empty and blank texts are equal
+    similarity are found with probability ``recall`` times 0.95, nearer ones more surely. Null, empty and blank texts are equal
     to each other; null keys are put in no group and get a null root; equal keys share their fate.
 
     Buckets never become pairs: a bucket's rows are linked to their neighbours and its first row, and before the shuffle a
@@ -225,6 +229,7 @@ def similar_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, recal
     kind = df.schema[key].dataType.simpleString()
     fields = ", ".join(f"f{i} bigint" for i in range(LANES))
 
+    @tidied
     def long_fps(batches):
         for batch in batches:
             fp = long_fingerprints(batch.column(2), words, LANES).view(np.int64)
@@ -235,13 +240,14 @@ def similar_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, recal
     each = materialize(found.groupBy("_sha").agg(F.min("_id").cast("bigint").alias("id"), F.count("*").alias("n_rows"), *sums), "texts")
     n, rows = each.agg(F.count("*"), F.coalesce(F.sum("n_rows"), F.lit(0))).first()
     bits, segments = design(n, similarity, recall)
-    radius = round(64 * LANES * (p := share_of_bits(similarity)) + 1.28 * math.sqrt(64 * LANES * p * (1 - p)))
-    check_bits = round(32 * p + 3 * math.sqrt(32 * p * (1 - p)))
-    # an entry of the index is (segment, deleted bit, rest); so many shards that each has about a million
-    shards = max(12, n * segments * bits // 1_000_000)
+    radius = round(64 * LANES * (p := share_of_bits(similarity)) + 1.65 * math.sqrt(64 * LANES * p * (1 - p)))
+    check_bits = round(CHECK * p + 2.5 * math.sqrt(CHECK * p * (1 - p)))
+    # an entry of the index is (segment, deleted bit, rest); so many shards that each has about half a million
+    shards = max(12, n * segments * bits // 500_000)
 
+    @tidied
     def entries(batches):
-        for batch in batches:
+        for batch in (b.slice(i, 2500) for b in batches for i in range(0, b.num_rows, 2500)):
             ids = np.asarray(batch.column(0))
             fp = np.stack([np.asarray(batch.column(1 + i)) for i in range(LANES)], axis=1).view(np.uint64)
             check = _check(fp)
@@ -264,46 +270,42 @@ def similar_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, recal
                         row = row[rank < 8]
                     parts.append(row)
             row = np.concatenate(parts)
-            shard = (row["entry"] % np.uint64(shards)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
+            # the upper bits of an entry choose its shard, the lower ones go along
+            shard = ((row["entry"] >> np.uint64(ENTRY)) % np.uint64(shards)).astype(np.int64)
+            row["entry"] &= np.uint64((1 << ENTRY) - 1)
+            order = np.lexsort((row["entry"], shard))
             row, shard = row[order], shard[order]
             at = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
             ends = np.append(at[1:], len(row))
-            codec = pa.Codec("zstd", 1)
-            blobs = []
-            for i, j in zip(at.tolist(), ends.tolist()):
-                r = row[i:j]
-                planes = b"".join((r["entry"].tobytes(), r["id"].tobytes(), r["check"].tobytes()))
-                blobs.append(len(planes).to_bytes(8, "little") + codec.compress(planes, asbytes=True))
+            blobs = [pack(differences(row["entry"][i:j]), row["id"][i:j].copy(), row["check"][i:j].copy()) for i, j in zip(at.tolist(), ends.tolist())]
             none = pa.nulls(len(at), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(shard[at]), pa.array(blobs, pa.binary()), none, none], ["shard", "rows", "a", "b"])
             if local_a:
                 pair = np.unique(np.stack([np.concatenate(local_a), np.concatenate(local_b)], axis=1), axis=0)
-                no = pa.nulls(len(pair), pa.int64())
-                yield pa.RecordBatch.from_arrays([no, pa.nulls(len(pair), pa.binary()), pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy())], ["shard", "rows", "a", "b"])
-
-    def unpack(blob: bytes) -> np.ndarray:
-        raw = pa.Codec("zstd").decompress(blob[8:], int.from_bytes(blob[:8], "little"), asbytes=True)
-        n = len(raw) // 20
-        out = np.empty(n, _ENTRY)
-        out["entry"], out["id"], out["check"] = np.frombuffer(raw, "<u8", n), np.frombuffer(raw, "<i8", n, 8 * n), np.frombuffer(raw, "<u4", n, 16 * n)
-        return out
+                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0] % shards), pa.nulls(len(pair), pa.binary()), pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy())], ["shard", "rows", "a", "b"])
 
     def match(table: pa.Table) -> pa.Table:
-        row = np.concatenate([unpack(b) for b in table.column("rows").to_pylist()])
+        parts = [unpack(b) for b in table.column("rows").to_pylist() if b is not None]
+        local = table.filter(pc.is_valid(table.column("a")))
+        row = np.empty(sum(len(p[0]) for p in parts), _ENTRY)
+        at = 0
+        for entry, ids, check in parts:
+            end = at + len(entry)
+            row["entry"][at:end], row["id"][at:end], row["check"][at:end] = np.cumsum(entry, dtype=np.uint64), ids, check
+            at = end
         row = row[np.lexsort((row["id"], row["entry"]))]
         a, b = _neighbours(row, check_bits)
+        a, b = np.concatenate([a, local.column("a").to_numpy()]), np.concatenate([b, local.column("b").to_numpy()])
         pair = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
         return pa.table({"a": pa.array(pair[:, 0].copy(), pa.int64()), "b": pa.array(pair[:, 1].copy(), pa.int64())})
 
-    packed = materialize(each.select("id", *(f"f{i}" for i in range(LANES))).mapInArrow(entries, "shard bigint, rows binary, a bigint, b bigint"), "index")
-    met = packed.where("shard IS NOT NULL").select("shard", "rows").groupBy("shard").applyInArrow(match, "a bigint, b bigint")
-    pairs = met.unionByName(packed.where("a IS NOT NULL").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))).where("a <> b").distinct()
+    packed = each.select("id", *(f"f{i}" for i in range(LANES))).mapInArrow(entries, "shard bigint, rows binary, a bigint, b bigint")
+    pairs = packed.groupBy("shard").applyInArrow(match, "a bigint, b bigint").where("a <> b").distinct()
     side = lambda x: each.select(F.col("id").alias(x), F.array(*(f"f{i}" for i in range(LANES))).alias(f"f_{x}"))
     joined = pairs.join(side("a"), "a").join(side("b"), "b")
     distance = sum((F.bit_count(F.col("f_a")[i].bitwiseXOR(F.col("f_b")[i])) for i in range(LANES)), F.lit(0))
     edges = joined.where(distance <= radius).select("a", "b")
     groups = materialize(components(edges), "groups")
-    table = each.join(groups.withColumnRenamed("node", "id"), "id", "left").select("_sha", F.coalesce("root", "id").alias("root"), "n_rows")
+    table = materialize(each.join(groups.withColumnRenamed("node", "id"), "id", "left").select("_sha", F.coalesce("root", "id").alias("root"), "n_rows"), "roots")
     out = hot_lookup(found.select("_id", "_sha"), table, "_sha", rows, "inner").select(F.col("_id").alias(key), F.col("root").cast(kind).alias("root"))
     return out.unionByName(df.where(F.col(key).isNull()).select(key, F.lit(None).cast(kind).alias("root")))

@@ -31,7 +31,7 @@ _EDGES = re.compile(r"[\W_]+")
 #: Signs behind a word are punctuation or junk, not letters.
 _TAIL = re.compile(r"[@$!]+(?!\w)")
 #: Lengths of the word beginnings that can stand for all their words.
-STEMS = range(3, 9)
+STEMS = range(4, 9)
 
 
 def fold(text: str) -> str:
@@ -109,11 +109,11 @@ def _evidence(t: float, tn: float, c: float, cn: float) -> float:
     return g
 
 
-def fit(toxic: list[str], clean: list[str], base_rate: float, least: float = 15.0, ratio: float = 6.0, size: int = 2000) -> Model:
+def fit(toxic: list[str], clean: list[str], base_rate: float, least: float = 15.0, ratio: float = 6.0, fade: float = 0.6, size: int = 2000) -> Model:
     """Lexicon, exceptions and coefficients from labelled texts.
 
     Units (words, and word beginnings that stand for all their words) are taken one by one: each time the one with the
-    strongest evidence on what the units taken so far explain least. A text's weight falls to eight tenths with each unit
+    strongest evidence on what the units taken so far explain least. A text's weight falls to ``fade`` of it with each unit
     found in it, so words that merely come with copies of a toxic text rarely enter. No toxic or no clean texts give an empty
     lexicon and the base rate as every score.
     """
@@ -121,13 +121,18 @@ def fit(toxic: list[str], clean: list[str], base_rate: float, least: float = 15.
     toxic, clean = sorted(set(map(fold, toxic))), sorted(set(map(fold, clean)))
     if not toxic or not clean:
         return Model({}, [], (prior, 0.0, 0.0))
-    in_clean: Counter = Counter()
-    for t in clean:
-        in_clean.update(_units(t))
+    # units of a few toxic texts are most of all; counted by hash they take little room, and only the others are kept by name
+    hashes = np.concatenate([np.fromiter(map(hash, u), np.int64, len(u)) for u in map(_units, toxic)])
+    keys, counts = np.unique(hashes, return_counts=True)
+    often = set(keys[counts >= 3].tolist())
     where: dict[str, list[int]] = defaultdict(list)
     for i, t in enumerate(toxic):
         for u in _units(t):
-            where[u].append(i)
+            if hash(u) in often:
+                where[u].append(i)
+    in_clean: Counter = Counter()
+    for t in clean:
+        in_clean.update(u for u in _units(t) if u in where)
     tn, cn = len(toxic), len(clean)
     held = {u: np.array(ix) for u, ix in where.items() if _evidence(len(ix), tn, in_clean[u], cn) >= least and len(ix) / tn >= ratio * (in_clean[u] + 0.1) / cn}
     weight, lexicon, first = np.ones(tn), {}, {u: float(len(ix)) for u, ix in held.items()}
@@ -143,7 +148,7 @@ def fit(toxic: list[str], clean: list[str], base_rate: float, least: float = 15.
         unit = max(ranked_well, key=lambda u: (ranked[u][0], u))
         lexicon[unit] = odds(unit)
         mine = held.pop(unit)
-        weight[mine] *= 0.8
+        weight[mine] *= fade
         # a longer unit inside a chosen one is worth having only if it tells much more; a shorter one only if it reaches further
         held = {u: ix for u, ix in held.items() if ranked[u][0] >= least and not (u.startswith(unit) and odds(u) < odds(unit) + 1) and not (unit.startswith(u) and len(mine) >= 0.9 * len(ix))}
     phrases: dict[str, list[int]] = defaultdict(lambda: [0, 0])
