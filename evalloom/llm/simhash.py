@@ -154,7 +154,7 @@ def share_of_bits(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def design(rows: int, similarity: float, recall: float = 0.97) -> tuple[int, int]:
+def design(rows: int, similarity: float, recall: float = 0.94) -> tuple[int, int]:
     """(bits of a segment, segments): segments are so long that chance fills no bucket, and so many that of two texts at just
     this similarity one segment differs by at most one bit with this probability."""
     p = share_of_bits(similarity)
@@ -195,12 +195,12 @@ _ENTRY = np.dtype([("entry", "<u8"), ("id", "<i8"), ("check", "<u4")])
 
 
 def _neighbours(rows: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of ids that share an entry: each row with the four before it and with its bucket's first, if their check words are
+    """Pairs of ids that share an entry: each row with the one before it and with its bucket's first, if their check words are
     near. Rows are sorted by entry; the number of pairs is linear in the rows."""
     first = np.maximum.accumulate(np.where(np.concatenate([[True], rows["entry"][1:] != rows["entry"][:-1]]), np.arange(len(rows)), 0)) if len(rows) else np.zeros(0, np.int64)
     at = np.arange(len(rows))
     a, b = [], []
-    for other in [first, *(np.maximum(at - lag, first) for lag in (1, 2, 3, 4))]:
+    for other in (first, np.maximum(at - 1, first)):
         ok = other < at
         i, j = at[ok], other[ok]
         near = np.bitwise_count(rows["check"][i] ^ rows["check"][j]) <= most
@@ -213,7 +213,7 @@ def _check(fp: np.ndarray) -> np.ndarray:
     return (fp[:, -1] >> np.uint64(64 - CHECK)).astype(np.uint32)
 
 
-def similar_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, recall: float = 0.97, text: str = "text", key: str = "doc_id") -> DataFrame:
+def similar_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, recall: float = 0.94, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``key, root`` of every row: rows whose shingle sets have about this similarity or more are in one group.
 
     Equal texts are one row before anything else is done. The long fingerprint (512 bits) is cut into segments; texts whose
@@ -241,7 +241,7 @@ def similar_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, recal
     n, rows = each.agg(F.count("*"), F.coalesce(F.sum("n_rows"), F.lit(0))).first()
     bits, segments = design(n, similarity, recall)
     radius = round(64 * LANES * (p := share_of_bits(similarity)) + 1.65 * math.sqrt(64 * LANES * p * (1 - p)))
-    check_bits = round(CHECK * p + 2.5 * math.sqrt(CHECK * p * (1 - p)))
+    check_bits = round(CHECK * p + 1.6 * math.sqrt(CHECK * p * (1 - p)))
     # an entry of the index is (segment, deleted bit, rest); so many shards that each has about half a million
     shards = max(12, n * segments * bits // 500_000)
 
