@@ -1,17 +1,14 @@
-"""SimHash near-duplicates: fingerprints, deletion-variant signatures of their segments, links and groups."""
+"""SimHash near-duplicates: fingerprints, deletion-variant signatures of their segments, links; groups of similar texts by their shingles."""
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LOWER, differences, flat, hot_lookup, materialize, mix, pack, slices, tidied, unpack, word_bounds, word_hashes
+from .common import _LOWER, differences, flat, hot_lookup, map_array, materialize, mix, pack, shared_dir, slices, tidied, unpack, word_bounds, word_hashes, write_bytes
 from .components import components
 
 #: Index buckets up to this size are compared pair by pair; larger ones are refined until all members of a group agree.
@@ -143,169 +140,270 @@ def near_duplicates(df: DataFrame, words: int = 3, seed: int = 42, text: str = "
 
 # -- groups of similar texts ------------------------------------------------------------------------------------------
 
-#: 64-bit lanes of the long fingerprint.
-LANES = 8
-#: Bits of the fingerprint that go with each entry of the index, to turn down chance neighbours at once, and bits of an entry.
-CHECK, ENTRY = 32, 40
-
-
-def share_of_bits(similarity: float) -> float:
-    """Expected share of differing bits of two texts whose shingle sets have this Jaccard similarity."""
-    return math.acos(2 * similarity / (1 + similarity)) / math.pi
-
-
-def design(rows: int, similarity: float, recall: float = 0.94) -> tuple[int, int]:
-    """(bits of a segment, segments): segments are so long that chance fills no bucket, and so many that of two texts at just
-    this similarity one segment differs by at most one bit with this probability."""
-    p = share_of_bits(similarity)
-    bits = max(16, math.ceil(math.log2(max(rows, 2))) + 3)
-    hit = (1 - p) ** bits + bits * p * (1 - p) ** (bits - 1)
-    return bits, math.ceil(math.log(1 - recall) / math.log(1 - hit))
-
-
-def long_fingerprints(texts: pa.Array, words: int, lanes: int) -> np.ndarray:
-    """SimHash of ``lanes`` x 64 bits for each text, over hashes of shingles of lower-cased words."""
-    out = [np.zeros((0, lanes), np.uint64)]
-    for a, b in slices(texts):
-        data, offsets = flat(texts.slice(a, b - a))
-        starts, ends, first = word_bounds(data, offsets)
-        w = word_hashes(data, starts, ends)
-        lo, hi, count = shingle_spans(starts, ends, first, words)
-        h = np.zeros(len(lo), np.uint64)
-        for k in range(words):
-            at = lo + k
-            h = np.where(at <= hi, mix(h * np.uint64(0x9E3779B97F4A7C15) + w[np.minimum(at, len(w) - 1)]), h) if len(lo) else h
-        out.append(np.stack([majority(mix(h + np.uint64((0xD1B54A32D192ED03 * (k + 1)) % (1 << 64))), count) for k in range(lanes)], axis=1))
-    return np.concatenate(out)
-
-
-def _segment(fp: np.ndarray, s: int, bits: int) -> np.ndarray:
-    """Segment ``s`` of ``bits`` bits; segments follow each other through all lanes, and start over with a shift when these end."""
-    total = 64 * fp.shape[1]
-    per = total // bits
-    start = (s % per) * bits + (s // per) * (bits // 2 + 3)
-    out = np.zeros(len(fp), np.uint64)
-    for k in range(bits):
-        at = (start + k) % total
-        out |= ((fp[:, at // 64] >> np.uint64(at % 64)) & np.uint64(1)) << np.uint64(k)
-    return out
-
-
-_ENTRY = np.dtype([("entry", "<u8"), ("id", "<i8"), ("check", "<u4")])
-
-
-def _neighbours(rows: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of ids that share an entry: each row with the one before it and with its bucket's first, if their check words are
-    near. Rows are sorted by entry; the number of pairs is linear in the rows."""
-    first = np.maximum.accumulate(np.where(np.concatenate([[True], rows["entry"][1:] != rows["entry"][:-1]]), np.arange(len(rows)), 0)) if len(rows) else np.zeros(0, np.int64)
-    at = np.arange(len(rows))
+#: Bits of a shingle's hash; the eight above them hold its rank in the order of the index.
+HASH = 56
+#: Shingles are counted in this many slots (as a power of two), cut into parts of which each is one file.
+SLOTS, PARTS = 24, 16
+#: Bits of an entry of the index; what is above them chooses its shard.
+ENTRY = 40
+#: Index entries that so many texts share at most are compared pair by pair at once.
+SMALL_ENTRY = 8
+
+
+def text_hash(text: str) -> Column:
+    """64 bits of the SHA-256 of a text; null is as empty."""
+    digest = F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)
+    return F.conv(F.substring(digest, 1, 16), 16, -10).cast("bigint")
+
+
+def shingle_hashes(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of all shingles of lower-cased words, repeats included; a text without words has one shingle of its own kind."""
+    data, offsets = flat(texts)
+    starts, ends, first = word_bounds(data, offsets)
+    w = word_hashes(data, starts, ends)
+    lo, hi, count = shingle_spans(starts, ends, first, words)
+    h = np.zeros(len(lo), np.uint64)
+    for k in range(words):
+        at = lo + k
+        h = np.where(at <= hi, mix(h * np.uint64(0x9E3779B97F4A7C15) + w[np.minimum(at, len(w) - 1)]), h) if len(lo) else h
+    none = np.flatnonzero(count == 0)
+    row = np.concatenate([np.repeat(np.arange(len(count)), count), none])
+    return row, np.concatenate([h, np.zeros(len(none), np.uint64)]) >> np.uint64(64 - HASH)
+
+
+def shingle_sets(texts: pa.Array, words: int, ranks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, hashes, sizes): the different shingles of each text one after the other, by rank and hash, and how many each has."""
+    row, h = shingle_hashes(texts, words)
+    key = h if ranks is None else (ranks[(h >> np.uint64(HASH - SLOTS)).astype(np.int64)].astype(np.uint64) << np.uint64(HASH)) | h
+    order = np.lexsort((key, row))
+    row, key = row[order], key[order]
+    fresh = np.ones(len(row), bool)
+    fresh[1:] = (row[1:] != row[:-1]) | (key[1:] != key[:-1])
+    row, key = row[fresh], key[fresh]
+    return row, key, np.bincount(row, minlength=len(texts))
+
+
+def _overlap(n: np.ndarray, m: np.ndarray, similarity: float) -> np.ndarray:
+    """Shingles that two sets of these sizes must share to be similar."""
+    return np.ceil(similarity / (1 + similarity) * (n + m) - 1e-6).astype(np.int64)
+
+
+_ENTRY = np.dtype([("entry", "<u8"), ("id", "<i8"), ("at", "<i4"), ("n", "<i4")])
+
+
+def _possible(x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether two texts can be similar if this entry is the first that they share. Holds for each similar pair at its first
+    common entry, so no pair is lost."""
+    n, m = x["n"].astype(np.int64), y["n"].astype(np.int64)
+    return 1 + np.minimum(n - x["at"] - 1, m - y["at"] - 1) >= np.maximum(_overlap(n, m, similarity), np.ceil(similarity * np.maximum(n, m) - 1e-6))
+
+
+def _unique_pairs(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    a, b = np.concatenate([np.zeros(0, np.int64), *a]), np.concatenate([np.zeros(0, np.int64), *b])
+    return np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+
+
+def _first_pairs(rows: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(pairs, rows left over) of rows sorted by entry and place: all possible pairs of small entries. In large ones each row goes
+    with the first and the one before; those rows are left over for ``_last_pairs``."""
+    if not len(rows):
+        return np.zeros((0, 2), np.int64), rows
+    fresh = np.concatenate([[True], rows["entry"][1:] != rows["entry"][:-1]])
+    first = np.maximum.accumulate(np.where(fresh, np.arange(len(rows)), 0))
+    size = np.diff(np.append(np.flatnonzero(fresh), len(rows)))
+    large = np.repeat(size > SMALL_ENTRY, size)
+    at, a, b = np.arange(len(rows)), [], []
+    others = [(np.where(large, first, -1)), *(np.where((large & (d > 1)) | (at - d < first), -1, at - d) for d in range(1, SMALL_ENTRY))]
+    for other in others:
+        i = np.flatnonzero((other >= 0) & (other < at))
+        j = other[i]
+        ok = _possible(rows[i], rows[j], similarity)
+        a.append(rows["id"][i[ok]])
+        b.append(rows["id"][j[ok]])
+    return _unique_pairs(a, b), rows[large]
+
+
+def _last_pairs(rows: np.ndarray, root: np.ndarray, similarity: float) -> np.ndarray:
+    """All possible pairs within each entry whose texts are not yet in one group. Those in the entry's largest group need
+    no comparison with each other, so a crowd of copies costs nothing."""
+    cut = np.flatnonzero(np.concatenate([[True], rows["entry"][1:] != rows["entry"][:-1]])) if len(rows) else np.zeros(0, np.int64)
     a, b = [], []
-    for other in (first, np.maximum(at - 1, first)):
-        ok = other < at
-        i, j = at[ok], other[ok]
-        near = np.bitwise_count(rows["check"][i] ^ rows["check"][j]) <= most
-        a.append(rows["id"][i[near]])
-        b.append(rows["id"][j[near]])
-    return np.concatenate(a), np.concatenate(b)
-
-
-def _check(fp: np.ndarray) -> np.ndarray:
-    return (fp[:, -1] >> np.uint64(64 - CHECK)).astype(np.uint32)
-
-
-def similar_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, recall: float = 0.94, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``key, root`` of every row: rows whose shingle sets have about this similarity or more are in one group.
+    for i, j in zip(cut.tolist(), np.append(cut[1:], len(rows)).tolist()):
+        part, group = rows[i:j], root[i:j]
+        names, inverse, count = np.unique(group, return_inverse=True, return_counts=True)
+        if len(names) == 1:
+            continue
+        inside = inverse == count.argmax()
+        for k in np.flatnonzero(~inside).tolist():
+            ok = (group != group[k]) & (inside | (np.arange(j - i) < k))
+            other = part[ok]
+            other = other[_possible(other, np.broadcast_to(part[k], len(other)), similarity)]
+            a.append(np.full(len(other), part["id"][k]))
+            b.append(other["id"])
+    return _unique_pairs(a, b)
+
+
+def _pack_rows(rows: np.ndarray) -> bytes:
+    return pack(differences(rows["entry"]), *(rows[k].copy() for k in ("id", "at", "n")))
+
+
+def _unpack_rows(blobs: list[bytes]) -> np.ndarray:
+    parts = [unpack(b) for b in blobs]
+    rows = np.empty(sum(len(p[0]) for p in parts), _ENTRY)
+    at = 0
+    for entry, *rest in parts:
+        end = at + len(entry)
+        rows["entry"][at:end] = np.cumsum(entry, dtype=np.uint64)
+        for k, v in zip(("id", "at", "n"), rest):
+            rows[k][at:end] = v
+        at = end
+    return rows
+
+
+def shingle_ranks(rows: DataFrame, words: int) -> str:
+    """Folder of ``PARTS`` files: the rank of each slot of shingle hashes, eight times the logarithm of how many shingles fall into it.
+
+    The ranks only order the index, rare shingles first; whatever they are, no pair is lost by them. Their size is fixed.
+    """
+    folder = shared_dir(rows.sparkSession, "ranks")
+    width = 1 << (SLOTS - PARTS.bit_length() + 1)
 
-    Equal texts are one row before anything else is done. The long fingerprint (512 bits) is cut into segments; texts whose
-    segments differ by at most one bit meet under the segment's variants with one bit deleted, and are linked if the whole
-    fingerprints differ in no more bits than at this similarity. ``root`` is the least key of the group. Pairs at just this
-    similarity are found with probability ``recall`` times 0.95, nearer ones more surely. Null, empty and blank texts are equal
-    to each other; null keys are put in no group and get a null root; equal keys share their fate.
+    @tidied
+    def count(batches):
+        for batch in (whole.slice(a, b - a) for whole in batches for a, b in slices(whole.column(1))):
+            _, h, _ = shingle_sets(batch.column(1), words)
+            slot, n = np.unique((h >> np.uint64(HASH - SLOTS)).astype(np.uint32), return_counts=True)
+            cut = np.searchsorted(slot, np.arange(PARTS + 1) * width)
+            parts = [p for p in range(PARTS) if cut[p] < cut[p + 1]]
+            blobs = [pack(differences(slot[cut[p] : cut[p + 1]] - np.uint32(p * width)), n[cut[p] : cut[p + 1]].astype(np.uint32)) for p in parts]
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array(blobs, pa.binary())], ["part", "counts"])
+
+    def rank(table: pa.Table) -> pa.Table:
+        total = np.zeros(width, np.int64)
+        for slot, n in map(unpack, table.column("counts").drop_null().to_pylist()):
+            total[np.cumsum(slot, dtype=np.uint32)] += n
+        part = table.column("part")[0].as_py()
+        write_bytes(f"{folder}/{part}", np.minimum(255, np.round(8 * np.log2(np.maximum(total, 1)))).astype(np.uint8).tobytes())
+        return pa.table({"part": pa.array([part], pa.int64())})
+
+    # a file for each part, also where no shingle falls into it
+    every = rows.sparkSession.range(PARTS).select(F.col("id").alias("part"), F.lit(None).cast("binary").alias("counts"))
+    made = rows.select("_node", "_text").mapInArrow(count, "part bigint, counts binary").unionByName(every)
+    made.groupBy("part").applyInArrow(rank, "part bigint").count()
+    return folder
+
+
+def similar_pairs(pairs: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those of the pairs ``a, b`` of nodes whose sets of shingles have this Jaccard similarity or more, counted in full."""
 
-    Buckets never become pairs: a bucket's rows are linked to their neighbours and its first row, and before the shuffle a
-    task passes on only the first rows of a bucket in which it has many, so a hot bucket stays small in its only task.
-    """
-    rows_in = df.where(F.col(key).isNotNull()).select(F.col(key).alias("_id"), F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256).alias("_sha"), text)
-    kind = df.schema[key].dataType.simpleString()
-    fields = ", ".join(f"f{i} bigint" for i in range(LANES))
+    @tidied
+    def sets(batches):
+        for batch in (whole.slice(a, b - a) for whole in batches for a, b in slices(whole.column(1))):
+            _, h, size = shingle_sets(batch.column(1), words)
+            ends = np.cumsum(size)
+            blobs = [h[e - n : e].tobytes() for e, n in zip(ends.tolist(), size.tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], ["node", "set"])
 
     @tidied
-    def long_fps(batches):
+    def verify(batches):
         for batch in batches:
-            fp = long_fingerprints(batch.column(2), words, LANES).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(fp[:, i].copy()) for i in range(LANES))], ["_id", "_sha", *(f"f{i}" for i in range(LANES))])
-
-    found = materialize(rows_in.mapInArrow(long_fps, f"_id {kind}, _sha string, {fields}"), "long")
-    sums = [F.first(f"f{i}").alias(f"f{i}") for i in range(LANES)]
-    each = materialize(found.groupBy("_sha").agg(F.min("_id").cast("bigint").alias("id"), F.count("*").alias("n_rows"), *sums), "texts")
-    n, rows = each.agg(F.count("*"), F.coalesce(F.sum("n_rows"), F.lit(0))).first()
-    bits, segments = design(n, similarity, recall)
-    radius = round(64 * LANES * (p := share_of_bits(similarity)) + 1.65 * math.sqrt(64 * LANES * p * (1 - p)))
-    check_bits = round(CHECK * p + 1.6 * math.sqrt(CHECK * p * (1 - p)))
-    # an entry of the index is (segment, deleted bit, rest); so many shards that each has about half a million
-    shards = max(12, n * segments * bits // 500_000)
+            ok = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = np.concatenate([x, y])
+                both.sort(kind="stable")
+                common = int((both[1:] == both[:-1]).sum())
+                ok.append(common >= similarity * (len(x) + len(y) - common) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    met = pairs.select(F.explode(F.array("a", "b")).alias("_node")).distinct()
+    known = materialize(rows.select("_node", "_text").join(met, "_node", "left_semi").dropDuplicates(["_node"]).mapInArrow(sets, "node bigint, set binary"), "sets")
+    side = lambda x: known.select(F.col("node").alias(x), F.col("set").alias(f"s_{x}"))
+    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "s_a", "s_b")
+    return joined.mapInArrow(verify, "a bigint, b bigint")
+
+
+def similar_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``key, root, text_hash, component`` of every row: rows whose sets of shingles have this Jaccard similarity or more are
+    linked, and linked rows are one ``component``. ``root`` is its least key.
+
+    Nodes are different texts, by hash, so equal texts are one and rows that share a key without being similar stay apart.
+    Of the shingles of a text, ordered from rare to frequent, as many go into the index as one must be shared by any
+    similar text (a fifth of them, at 0.8). Texts that meet there and can be similar by their sizes and places are compared by
+    their whole sets: no similar pair is lost and no other is linked. Passages that many texts share are frequent, come last
+    and fill no entry. Null, empty and blank texts are equal to each other; null keys are put in no group and get a null root.
+
+    An entry that many texts share never becomes all its pairs: its texts are first compared with the one that has the fewest
+    rarer shingles (as the original of edited copies) and with the one before; then only texts that are not yet in one group.
+    """
+    kind = df.schema[key].dataType.simpleString()
+    rows_in = df.where(F.col(key).isNotNull()).select(F.col(key).alias("_id"), text_hash(text).alias("_node"), F.col(text).alias("_text"))
+    found = materialize(rows_in.select("_id", "_node", F.length("_text").alias("_size")), "texts")
+    rows, size = found.agg(F.count("*"), F.coalesce(F.sum("_size"), F.lit(0))).first()
+    ranks = shingle_ranks(rows_in, words)
+    # a word has about six letters, a fifth of the shingles are indexed: about a million entries a shard
+    shards = max(12, size // 30_000_000)
 
     @tidied
     def entries(batches):
-        for batch in (b.slice(i, 2500) for b in batches for i in range(0, b.num_rows, 2500)):
-            ids = np.asarray(batch.column(0))
-            fp = np.stack([np.asarray(batch.column(1 + i)) for i in range(LANES)], axis=1).view(np.uint64)
-            check = _check(fp)
-            local_a, local_b = [], []
-            parts = []
-            for s in range(segments):
-                seg = _segment(fp, s, bits)
-                for j in range(bits):
-                    row = np.empty(len(ids), _ENTRY)
-                    tag = np.uint64(s * 64 + j)
-                    row["entry"] = mix((tag << np.uint64(48)) ^ (seg & ~np.uint64(1 << j)))
-                    row["id"], row["check"] = ids, check
-                    row = row[np.lexsort((row["id"], row["entry"]))]
-                    fresh = np.concatenate([[True], row["entry"][1:] != row["entry"][:-1]])
-                    rank = np.arange(len(row)) - np.maximum.accumulate(np.where(fresh, np.arange(len(row)), 0))
-                    if (rank >= 8).any():
-                        a, b = _neighbours(row, check_bits)
-                        local_a.append(a)
-                        local_b.append(b)
-                        row = row[rank < 8]
-                    parts.append(row)
-            row = np.concatenate(parts)
-            # the upper bits of an entry choose its shard, the lower ones go along
-            shard = ((row["entry"] >> np.uint64(ENTRY)) % np.uint64(shards)).astype(np.int64)
-            row["entry"] &= np.uint64((1 << ENTRY) - 1)
-            order = np.lexsort((row["entry"], shard))
-            row, shard = row[order], shard[order]
-            at = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
-            ends = np.append(at[1:], len(row))
-            blobs = [pack(differences(row["entry"][i:j]), row["id"][i:j].copy(), row["check"][i:j].copy()) for i, j in zip(at.tolist(), ends.tolist())]
-            none = pa.nulls(len(at), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(shard[at]), pa.array(blobs, pa.binary()), none, none], ["shard", "rows", "a", "b"])
-            if local_a:
-                pair = np.unique(np.stack([np.concatenate(local_a), np.concatenate(local_b)], axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0] % shards), pa.nulls(len(pair), pa.binary()), pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy())], ["shard", "rows", "a", "b"])
+        order = np.concatenate([map_array(f"{ranks}/{p}", np.uint8) for p in range(PARTS)])
+        for batch in (whole.slice(a, b - a) for whole in batches for a, b in slices(whole.column(1), 8 << 20)):
+            node, once = np.unique(np.asarray(batch.column(0)), return_index=True)
+            row, h, n = shingle_sets(batch.column(1).take(pa.array(once)), words, order)
+            at = np.arange(len(row)) - (np.cumsum(n) - n)[row]
+            # rank 0: no other text has a shingle of that slot
+            keep = (at <= n[row] - np.ceil(similarity * n[row] - 1e-6)) & (h >> np.uint64(HASH) > 0)
+            row, h, at = row[keep], h[keep] & np.uint64((1 << HASH) - 1), at[keep]
+            shard = ((mix(h) >> np.uint64(ENTRY)) % np.uint64(shards)).astype(np.int64)
+            out = np.empty(len(row), _ENTRY)
+            out["entry"], out["id"], out["at"], out["n"] = mix(h) & np.uint64((1 << ENTRY) - 1), node[row], at, n[row]
+            sort = np.lexsort((out["entry"], shard))
+            out, shard = out[sort], shard[sort]
+            cut = np.searchsorted(shard, np.arange(shards + 1))
+            full = [s for s in range(shards) if cut[s] < cut[s + 1]]
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array([_pack_rows(out[cut[s] : cut[s + 1]]) for s in full], pa.binary())], ["shard", "rows"])
 
     def match(table: pa.Table) -> pa.Table:
-        parts = [unpack(b) for b in table.column("rows").to_pylist() if b is not None]
-        local = table.filter(pc.is_valid(table.column("a")))
-        row = np.empty(sum(len(p[0]) for p in parts), _ENTRY)
-        at = 0
-        for entry, ids, check in parts:
-            end = at + len(entry)
-            row["entry"][at:end], row["id"][at:end], row["check"][at:end] = np.cumsum(entry, dtype=np.uint64), ids, check
-            at = end
-        row = row[np.lexsort((row["id"], row["entry"]))]
-        a, b = _neighbours(row, check_bits)
-        a, b = np.concatenate([a, local.column("a").to_numpy()]), np.concatenate([b, local.column("b").to_numpy()])
-        pair = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+        row = _unpack_rows(table.column("rows").to_pylist())
+        row = row[np.lexsort((row["id"], row["at"], row["entry"]))]
+        fresh = np.ones(len(row), bool)
+        fresh[1:] = (row["entry"][1:] != row["entry"][:-1]) | (row["id"][1:] != row["id"][:-1])
+        pair, left = _first_pairs(row[fresh], similarity)
+        shard = table.column("shard")[0].as_py()
+        a = pa.array([*pair[:, 0].tolist(), None], pa.int64())
+        b = pa.array([*pair[:, 1].tolist(), None], pa.int64())
+        return pa.table({"shard": pa.array(np.full(len(a), shard), pa.int64()), "a": a, "b": b, "rest": pa.array([None] * len(pair) + [_pack_rows(left) if len(left) else None], pa.binary())})
+
+    @tidied
+    def spread(batches):
+        for batch in batches:
+            for shard, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                r = _unpack_rows([blob])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(r), shard), pa.int64()), pa.array(r["entry"].astype(np.int64)), *(pa.array(r[k].copy()) for k in ("id", "at", "n"))], ["shard", "entry", "id", "at", "n"])
+
+    def rest_pairs(table: pa.Table) -> pa.Table:
+        row = np.empty(table.num_rows, _ENTRY)
+        for k in ("entry", "id", "at", "n"):
+            row[k] = table.column(k).to_numpy()
+        order = np.lexsort((row["at"], row["entry"]))
+        pair = _last_pairs(row[order], table.column("root").to_numpy()[order], similarity)
         return pa.table({"a": pa.array(pair[:, 0].copy(), pa.int64()), "b": pa.array(pair[:, 1].copy(), pa.int64())})
 
-    packed = each.select("id", *(f"f{i}" for i in range(LANES))).mapInArrow(entries, "shard bigint, rows binary, a bigint, b bigint")
-    pairs = packed.groupBy("shard").applyInArrow(match, "a bigint, b bigint").where("a <> b").distinct()
-    side = lambda x: each.select(F.col("id").alias(x), F.array(*(f"f{i}" for i in range(LANES))).alias(f"f_{x}"))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b")
-    distance = sum((F.bit_count(F.col("f_a")[i].bitwiseXOR(F.col("f_b")[i])) for i in range(LANES)), F.lit(0))
-    edges = joined.where(distance <= radius).select("a", "b")
+    packed = rows_in.select("_node", "_text").mapInArrow(entries, "shard bigint, rows binary")
+    met = materialize(packed.groupBy("shard").applyInArrow(match, "shard bigint, a bigint, b bigint, rest binary"), "met")
+    edges = materialize(similar_pairs(materialize(met.where("a IS NOT NULL").select("a", "b").distinct(), "pairs"), rows_in, words, similarity), "similar")
     groups = materialize(components(edges), "groups")
-    table = materialize(each.join(groups.withColumnRenamed("node", "id"), "id", "left").select("_sha", F.coalesce("root", "id").alias("root"), "n_rows"), "roots")
-    out = hot_lookup(found.select("_id", "_sha"), table, "_sha", rows, "inner").select(F.col("_id").alias(key), F.col("root").cast(kind).alias("root"))
-    return out.unionByName(df.where(F.col(key).isNull()).select(key, F.lit(None).cast(kind).alias("root")))
+    rest = met.where("rest IS NOT NULL").select("shard", "rest")
+    if rest.head(1):
+        left = rest.mapInArrow(spread, "shard bigint, entry bigint, id bigint, at int, n int")
+        left = left.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        more = materialize(left.groupBy("shard").applyInArrow(rest_pairs, "a bigint, b bigint").distinct(), "pairs")
+        if more.head(1):
+            groups = materialize(components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(similar_pairs(more, rows_in, words, similarity))), "groups")
+    each = found.groupBy("_node").agg(F.min("_id").alias("least"), F.count("*").alias("n_rows"))
+    each = materialize(each.join(groups.withColumnRenamed("node", "_node"), "_node", "left").withColumn("component", F.coalesce("root", "_node")).drop("root"), "nodes")
+    names = materialize(each.groupBy("component").agg(F.min("least").alias("root"), F.count("*").alias("n_rows")), "names")
+    table = materialize(hot_lookup(each.select("_node", "component", F.col("n_rows").alias("n")), names, "component", max(rows, 1), "inner").select("_node", "component", "root", F.col("n").alias("n_rows")), "roots")
+    out = hot_lookup(found.select("_id", "_node"), table, "_node", rows, "inner").select(F.col("_id").alias(key), "root", F.col("_node").alias("text_hash"), "component")
+    none = df.where(F.col(key).isNull()).select(key, F.lit(None).cast(kind).alias("root"), text_hash(text).alias("text_hash"), F.lit(None).cast("bigint").alias("component"))
+    return out.unionByName(none)

@@ -313,6 +313,23 @@ def test_similar_groups(spark):
     assert simhash.similar_groups(table(spark, [])).count() == 0
 
 
+def jaccard(x, y):
+    x, y = set(shingles(x, 5)), set(shingles(y, 5))
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def fresh_words(n):
+    return " ".join(f"x{random.getrandbits(40)}" for _ in range(n))
+
+
+def test_similar_below_the_threshold_stays(spark):
+    shared = fresh_words(170)
+    texts = [f"{shared} {fresh_words(30)}" for _ in range(150)]
+    assert 0.6 < jaccard(texts[0], texts[1]) < 0.8
+    got = simhash.similar_groups(table(spark, texts)).collect()
+    assert len({r["root"] for r in got}) == len(texts)
+
+
 def test_crowds_stay_linear(spark):
     crowd = [near(BASE[3] + f" t{i}", 380) for i in range(300)]
     got = simhash.similar_groups(table(spark, crowd)).collect()
