@@ -330,6 +330,26 @@ def test_similar_below_the_threshold_stays(spark):
     assert len({r["root"] for r in got}) == len(texts)
 
 
+def test_crowded_entries_lose_no_partner(spark):
+    shared = fresh_words(100)
+    texts = [f"{shared} {fresh_words(40)}" for _ in range(200)]
+    texts += [texts[i] + " " + fresh_words(8) for i in range(0, 200, 7)]
+    assert jaccard(texts[0], texts[1]) < 0.6 and 0.8 < jaccard(texts[7], texts[201]) < 1
+    got = {r["doc_id"]: r["root"] for r in simhash.similar_groups(table(spark, texts)).collect()}
+    assert got == {**{i: i for i in range(200)}, **{200 + k: i for k, i in enumerate(range(0, 200, 7))}}
+
+
+def test_last_pairs_are_all_between_groups():
+    rng = np.random.default_rng(8)
+    rows = np.zeros(120, simhash._ENTRY)
+    rows["entry"], rows["id"], rows["at"], rows["n"] = np.repeat([1, 2, 3], [60, 3, 57]), np.arange(120), rng.integers(0, 20, 120), rng.integers(90, 110, 120)
+    root = np.where(rng.random(120) < 0.5, 7, rng.integers(0, 6, 120))
+    pairs = [(i, j) for i in range(120) for j in range(i) if rows["entry"][i] == rows["entry"][j] and simhash._possible(rows[i : i + 1], rows[j : j + 1], 0.8)[0]]
+    assert {tuple(p) for p in simhash._last_pairs(rows, root, 0.8).tolist()} == {(i, j) for i, j in pairs if root[i] != root[j]}
+    first, left = simhash._first_pairs(rows, 0.8)
+    assert len(left) == 117 and {(i, j) for i, j in pairs if 60 <= i < 63} <= {tuple(p) for p in first.tolist()} <= set(pairs)
+
+
 def test_crowds_stay_linear(spark):
     crowd = [near(BASE[3] + f" t{i}", 380) for i in range(300)]
     got = simhash.similar_groups(table(spark, crowd)).collect()
