@@ -37,20 +37,25 @@ def _split(text: Column) -> Column:
     return F.split(F.when(F.contains(spaced, F.lit("  ")), F.regexp_replace(spaced, " +", " ")).otherwise(spaced), " ")
 
 
-def templates(df: DataFrame, text: str) -> DataFrame:
+def templates(df: DataFrame, text: str, names: bool = True, column: str = "_tok") -> DataFrame:
     """``df`` with ``_tok``: the tokens of ``text`` as a template. They are as many as ``raw_tokens`` gives, and in the same places.
 
     A capitalised word that doesn't begin a sentence is a name; digits, with currency sign, percent or a short unit attached,
     are a number; a unit's word after a number is a unit. All else is lower-cased and loses its punctuation; tokens of
-    punctuation alone are none. Replacements stay within a token. Texts without any token have an empty array.
+    punctuation alone are none. Replacements stay within a token. Texts without any token have an empty array. Without ``names``
+    capitals mean nothing: names are words like others.
     """
     plain = F.coalesce(F.col(text), F.lit(""))
-    named = F.regexp_replace(plain, _NAMES, NAME)
+    named = F.regexp_replace(plain, _NAMES, NAME) if names else plain
     units = "|".join(sorted(UNITS.split(), key=len, reverse=True))
     counted = F.regexp_replace(F.regexp_replace(named, _NUMBERS, NUMBER), rf"(?i)(?<={NUMBER}\s)(?:{units})(?![\p{{L}}\p{{N}}])", UNIT)
     typed = F.when(plain.rlike(r"\p{N}"), counted).otherwise(named)
     form = _split(F.regexp_replace(F.lower(typed), _PUNCTUATION + "+", ""))
-    return df.withColumn("_tok", F.when(form[0] != "", form).otherwise(F.array().cast("array<string>")))
+    return df.withColumn(column, F.when(form[0] != "", form).otherwise(F.array().cast("array<string>")))
+
+
+def _has_names(tokens: str) -> Column:
+    return F.exists(tokens, lambda w: F.contains(w, F.lit(NAME)))
 
 
 def raw_tokens(text: str) -> Column:
@@ -89,18 +94,24 @@ def benchmark_windows(items: DataFrame, text: str = "text", key: str = "item_id"
     """A row for each window of each different template: ``item_id`` (the least with that template), ``item_ids`` (all), the
     position, hash, tokens and raw tokens of the window, its size, and how many windows the item has.
 
+    Capitals tell names only where a text has them as usual, so items with names have their windows once more with names as
+    words, for each different wording: ``form`` is the least item of the wording, null for the template.
+
     Items of fewer than ``WINDOW`` tokens are one window. Windows with fewer than ``WORDS`` plain words would fit anything and are
     left out, so items without any other are never found; null and empty items neither.
     """
-    forms = templates(items.where(F.col(key).isNotNull()), text).withColumn("_raw", raw_tokens(text)).where(F.size("_tok") >= WORDS)
-    forms = forms.groupBy("_tok").agg(F.min(key).alias("item_id"), F.array_sort(F.collect_set(key)).alias("item_ids"), F.min_by("_raw", key).alias("_raw"))
+    both = templates(templates(items.where(F.col(key).isNotNull()), text), text, names=False, column="_words").withColumn("_raw", raw_tokens(text)).where(F.size("_tok") >= WORDS)
+    forms = both.groupBy("_tok").agg(F.min(key).alias("item_id"), F.array_sort(F.collect_set(key)).alias("item_ids"), F.min_by("_raw", key).alias("_raw"))
+    worded = both.where(_has_names("_tok")).groupBy("_tok", "_words").agg(F.min(key).alias("form"), F.min_by("_raw", key).alias("_raw"))
+    worded = worded.join(forms.select("_tok", "item_id", "item_ids"), "_tok").drop("_tok").withColumnRenamed("_words", "_tok")
+    forms = forms.withColumn("form", F.lit(None).cast(items.schema[key].dataType)).unionByName(worded)
     sizes = F.least(F.size("_tok"), F.lit(WINDOW))
     hashes = F.coalesce(*[F.when(sizes == n, _windows("_tok", n)) for n in range(WORDS, WINDOW + 1)])
-    rows = forms.withColumn("size", sizes).select("item_id", "item_ids", "size", "_tok", "_raw", F.posexplode(hashes).alias("q", "hash"))
-    rows = rows.select("item_id", "item_ids", "size", "q", "hash", F.slice("_tok", F.col("q") + 1, F.col("size")).alias("i_tok"), F.slice("_raw", F.col("q") + 1, F.col("size")).alias("i_raw"))
+    rows = forms.withColumn("size", sizes).select("item_id", "item_ids", "form", "size", "_tok", "_raw", F.posexplode(hashes).alias("q", "hash"))
+    rows = rows.select("item_id", "item_ids", "form", "size", "q", "hash", F.slice("_tok", F.col("q") + 1, F.col("size")).alias("i_tok"), F.slice("_raw", F.col("q") + 1, F.col("size")).alias("i_raw"))
     rows = rows.where(F.size(F.filter("i_tok", lambda w: ~_is_slot(w))) >= WORDS)
-    totals = rows.groupBy("item_id").agg(F.count("*").alias("n_item_windows"))
-    return rows.join(totals, "item_id")
+    totals = rows.groupBy(F.col("item_id").alias("_item"), F.col("form").alias("_form")).agg(F.count("*").alias("n_item_windows"))
+    return rows.join(totals, (F.col("item_id") == F.col("_item")) & F.col("form").eqNullSafe(F.col("_form"))).drop("_item", "_form")
 
 
 def leaks(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id", coverage: float = COVERAGE) -> DataFrame:
@@ -110,33 +121,38 @@ def leaks(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc
     Windows of the document's template meet equal ones of the items by hash and are compared token by token. Windows at one
     offset count together, and only if their slots agree: each value of the item stands for one value in the document
     throughout. A document holds an item if it has at least ``coverage`` of its windows; ``verbatim`` says that all values are
-    the same. Items with equal templates are one, and documents without any item have no row; equal rows have one in common.
+    the same. Texts with names are also read with names as words, so copies in other capitals are found; of an item's two forms
+    the one that covers more counts. Items with equal templates are one, and documents without any item have no row; equal rows have one in common.
     """
     bench = materialize(benchmark_windows(items, item_text, item_key), "benchmark")
     n, sizes = bench.agg(F.count("*"), F.collect_set("size")).first()
     sizes = sorted(sizes, reverse=True)
     base = templates(docs.select(F.col(key).alias("_key"), F.col(text).alias("_body")), "_body")
-    # one pass over the documents: windows of all sizes follow each other
-    windows = F.concat(*[_windows("_tok", s) for s in sizes]) if len(sizes) > 1 else _windows("_tok", sizes[0] if sizes else WINDOW)
+    base = templates(base.withColumn("_named", F.when(_has_names("_tok"), F.col("_body"))), "_named", names=False, column="_words")
+    # one pass over the documents: windows of all sizes follow each other, then those with names as words
+    windows = F.concat(*[_windows(t, s) for t in ("_tok", "_words") for s in sizes or [WINDOW]])
     begin, before = F.lit(0), F.lit(0)
     for s in sizes:
         begin = F.when(F.col("size") == s, before).otherwise(begin)
         before = before + F.greatest(F.size("_tok") - s + 1, F.lit(0))
+    at = F.when(F.col("_at") < before, F.col("_at")).otherwise(F.col("_at") - before)
     table = F.broadcast(bench) if n <= BROADCAST_WINDOWS else bench
-    hits = base.select("_key", "_body", "_tok", F.posexplode(windows).alias("_at", "_hash")).join(table, F.col("_hash") == F.col("hash"))
-    hits = hits.withColumn("_p", F.col("_at") - begin).where(F.slice("_tok", F.col("_p") + 1, F.col("size")) == F.col("i_tok"))
+    hits = base.select("_key", "_body", "_tok", "_words", F.posexplode(windows).alias("_at", "_hash")).join(table, F.col("_hash") == F.col("hash"))
+    hits = hits.withColumn("_p", at - begin).withColumn("_met", F.when(F.col("_at") < before, F.col("_tok")).otherwise(F.col("_words")))
+    hits = hits.where(F.slice("_met", F.col("_p") + 1, F.col("size")) == F.col("i_tok"))
     # only what was met needs the text's own tokens and its hash
     hits = hits.select("*", F.slice(raw_tokens("_body"), F.col("_p") + 1, F.col("size")).alias("d_raw"), F.xxhash64("_body").alias("_text"))
     strip = lambda x: F.regexp_replace(F.lower(x), _PUNCTUATION, "")
     values = F.transform(F.arrays_zip("i_tok", "i_raw", "d_raw"), lambda z: F.when(_is_slot(z["i_tok"]), F.struct(strip(z["i_raw"]).alias("i"), strip(z["d_raw"]).alias("d"))))
-    hits = hits.select("_key", "_text", "item_id", "item_ids", "n_item_windows", "q", (F.col("_p") - F.col("q")).alias("offset"), F.array_compact(values).alias("slots"))
+    hits = hits.select("_key", "_text", "item_id", "item_ids", "form", "n_item_windows", "q", (F.col("_p") - F.col("q")).alias("offset"), F.array_compact(values).alias("slots"))
     # windows at one offset: as many as the item has at most
-    runs = hits.groupBy("_key", "_text", "item_id", "item_ids", "n_item_windows", "offset").agg(F.collect_set("q").alias("qs"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
+    runs = hits.groupBy("_key", "_text", "item_id", "item_ids", "form", "n_item_windows", "offset").agg(F.collect_set("q").alias("qs"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
     agrees = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: s["i"])))
     same = F.forall("slots", lambda s: s["i"] == s["d"])
     covered = F.size(F.array_distinct(F.flatten(F.collect_set("qs"))))
-    found = runs.where(agrees).groupBy("_key", "_text", "item_id", "item_ids", "n_item_windows").agg(covered.alias("n_windows"), F.bool_and(same).alias("verbatim"))
+    found = runs.where(agrees).groupBy("_key", "_text", "item_id", "item_ids", "form", "n_item_windows").agg(covered.alias("n_windows"), F.bool_and(same).alias("verbatim"))
     found = found.withColumn("coverage", F.col("n_windows").cast("double") / F.col("n_item_windows")).where(F.col("coverage") >= coverage)
+    found = found.groupBy("_key", "_text", "item_id", "item_ids").agg(F.max(F.struct("coverage", "n_windows", "verbatim")).alias("best")).select("_key", "_text", "item_id", "item_ids", "best.*")
     return found.select(F.col("_key").alias(key), "item_id", "item_ids", "n_windows", "coverage", "verbatim", "_text")
 
 

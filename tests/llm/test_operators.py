@@ -550,6 +550,17 @@ def test_decontamination(spark):
     assert decontaminate.decontaminated(docs, items.where("false")).count() == docs.count()
 
 
+def test_decontamination_in_other_capitals(spark):
+    texts = [f"{t(DOCS[9])} {t(ITEM)} {t(DOCS[9])}" for t in (str.upper, str.lower, str.title, str)] + [t.replace("9", "8") for t in (ITEM.upper(), ITEM.lower())]
+    other = ITEM.replace("Mary", "Anna").replace("Tom", "Tim")
+    items = spark.createDataFrame([(7, ITEM), (8, other), (9, "it is told to the men who live here by the sea")], "item_id bigint, text string")
+    rows = decontaminate.leaks(table(spark, [*texts, "IT IS TOLD TO THE MEN WHO LIVE HERE BY THE SEA", DOCS[2].upper()]), items).collect()
+    out = {(r["doc_id"], r["item_id"]): r for r in rows}
+    assert set(out) == {*((i, 7) for i in range(6)), (6, 9)} and len(rows) == 7
+    assert all(out[i, 7]["coverage"] == 1 and out[i, 7]["item_ids"] == [7, 8] for i in range(6))
+    assert [out[i, 7]["verbatim"] for i in range(6)] == [True] * 4 + [False] * 2
+
+
 def test_templates_go_with_raw_tokens(spark):
     texts = [*DOCS.values(), *[t for t in TEXTS if t is not LONG], "a  b\n\n(c) ... 'd' 3.5, $1,000.50 and 5km; 7 % of Bob's x", 'He said "Hi Bob" .']
     df = decontaminate.templates(table(spark, texts), "text").withColumn("_raw", decontaminate.raw_tokens("text"))
