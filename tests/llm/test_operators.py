@@ -350,6 +350,21 @@ def test_last_pairs_are_all_between_groups():
     assert len(left) == 117 and {(i, j) for i, j in pairs if 60 <= i < 63} <= {tuple(p) for p in first.tolist()} <= set(pairs)
 
 
+def test_every_pair_at_the_threshold_is_found(spark):
+    texts = []
+    for _ in range(150):
+        w = fresh_words(200).split(" ")
+        texts.append(" ".join(w))
+        # 20 of 196 shingles change: 176 / 216
+        for at in (10, 60, 110, 160):
+            w[at] = f"changed{at}"
+        texts.append(" ".join(w))
+    likes = [jaccard(a, b) for a, b in zip(texts[::2], texts[1::2])]
+    assert 0.8 <= min(likes) and max(likes) < 0.83
+    got = {r["doc_id"]: r["root"] for r in simhash.similar_groups(table(spark, texts)).collect()}
+    assert got == {i: i - i % 2 for i in range(len(texts))}
+
+
 def test_crowds_stay_linear(spark):
     crowd = [near(BASE[3] + f" t{i}", 380) for i in range(300)]
     got = simhash.similar_groups(table(spark, crowd)).collect()
