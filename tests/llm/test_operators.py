@@ -163,6 +163,15 @@ def test_secret_base_spans(spark):
     assert secrets.secret_scan(table(spark, [])).count() == 0
 
 
+def test_values_behind_equals_signs(spark):
+    made = ["Zx81kLmP0qRsT9uVwXyZ12", "q7RtY2mNb8VcX4zLkJ9hGf3D"]
+    texts = [f"key={made[0]} x", f"PRIVATE_KEY={made[1]}", f"https://a.b/?id=3&sig={made[0]}&x=1", f"a=={made[1]}=="]
+    out = {r["doc_id"]: r["spans"] for r in secrets.secret_scan(table(spark, texts)).collect()}
+    at = [texts[i].index(made[i % 2]) for i in range(4)]
+    assert out == {i: f"random:{at[i]}:{at[i] + len(made[i % 2]) + 2 * (i == 3)}" for i in range(4)}
+    assert {r["doc_id"]: r["text"] for r in secrets.redact(table(spark, texts)).collect()} == {0: "key=[SECRET] x", 1: "PRIVATE_KEY=[SECRET]", 2: "https://a.b/?id=3&sig=[SECRET]&x=1", 3: "a==[SECRET]"}
+
+
 def test_random_strings_are_told_from_words(spark):
     letters = secrets.ALPHABETS["base62"]
     made = ["".join(random.choice(letters) for _ in range(40)) for _ in range(60)]
