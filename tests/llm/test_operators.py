@@ -374,6 +374,13 @@ def test_every_pair_at_the_threshold_is_found(spark):
     assert got == {i: i - i % 2 for i in range(len(texts))}
 
 
+def test_similar_groups_with_shared_keys(spark):
+    texts = [BASE[2], BASE[2] + " tail", fresh_words(50), fresh_words(60), fresh_words(70)]
+    got = {r["text_hash"]: r for r in simhash.similar_groups(table(spark, texts, [3, 5, 5, 5, 3])).collect()}
+    assert len(got) == 5 and len({r["component"] for r in got.values()}) == 4
+    assert sorted((r["doc_id"], r["root"]) for r in got.values()) == [(3, 3), (3, 3), (5, 3), (5, 5), (5, 5)]
+
+
 def test_crowds_stay_linear(spark):
     crowd = [near(BASE[3] + f" t{i}", 380) for i in range(300)]
     got = simhash.similar_groups(table(spark, crowd)).collect()

@@ -58,6 +58,16 @@ def test_stages(spark, sf_dir):
     assert final == {i: hashlib.sha256((r["text"] or "").encode()).hexdigest() for i, r in masked.items()}
 
 
+def test_near_copies_with_shared_ids(spark):
+    a, b, c, d = (prose(80) for _ in range(4))
+    rows = [(3, a), (5, a + " more"), (5, b), (5, c), (5, c), (7, d), (7, d + " more"), (None, d)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()]
+    seven = [t for i, t in kept if i == 7]
+    assert len(seven) == 1 and seven[0] in (d, d + " more")
+    assert sorted((str(i), t) for i, t in kept if i != 7) == sorted([("3", a), ("5", b), ("5", c), ("None", d)])
+
+
 def test_empty_pipeline(spark, sf_dir, tmp_path):
     for t in ("labels", "benchmark", "documents"):
         queries.table(spark, sf_dir, t).where("false").write.parquet(f"{tmp_path}/{t}.parquet")
