@@ -29,11 +29,13 @@ ALPHABETS = {
 }
 _NAMES = list(ALPHABETS)
 _INDEX = {name: {c: i for i, c in enumerate(a)} for name, a in ALPHABETS.items()}
+#: The letters of which words have most: small ones, or capitals where an encoding has no small ones.
+_PLAIN = {name: frozenset(a) & frozenset(_LOWER if "a" in a else _UPPER) for name, a in ALPHABETS.items()}
 _SETS = {name: frozenset(a) for name, a in ALPHABETS.items()}
-#: Bounds of the length bands in which false discoveries are controlled apart, and the rate in each: short strings carry less
-#: evidence, so more of them are given up.
+#: Bounds of the length bands in which false discoveries are controlled apart, and the rate in each: of random strings no more
+#: than this share is taken for text and lost.
 BANDS = (20, 28, 40, 64, 128)
-RATES = (0.20, 0.15, 0.10, 0.05, 0.05)
+RATES = (0.01, 0.01, 0.01, 0.01, 0.01)
 #: p-values are counted in bins of a tenth of a decade down to 1e-30; the table is this long at most for each encoding and band.
 BINS, PER_DECADE = 301, 10
 
@@ -50,6 +52,13 @@ def _two_sided(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
 
 
+def _upper_tail(k: int, n: int, share: float) -> float:
+    """P(k or more of n), each with this probability; by the normal approximation for long strings."""
+    if n > 300:
+        return 0.5 * math.erfc((k - 0.5 - n * share) / math.sqrt(2 * n * share * (1 - share)))
+    return sum(math.comb(n, i) * share**i * (1 - share) ** (n - i) for i in range(k, n + 1))
+
+
 def encoding(s: str) -> str | None:
     """The narrowest encoding of a string without its padding; None for plain words: letters of one case, or no digit."""
     core = s.rstrip("=")
@@ -60,10 +69,11 @@ def encoding(s: str) -> str | None:
 
 
 def randomness(s: str, name: str) -> float:
-    """p-value of "the letters are uniform and independent": the least of three tests, times three.
+    """p-value of "the letters are uniform and independent": the least of four tests, times four.
 
     Chi-squared over as many equal parts of the alphabet as give four expected letters each; Wald-Wolfowitz runs about the
-    middle of the alphabet; lag-one serial correlation.
+    middle of the alphabet; lag-one serial correlation; the number of small letters (capitals, where the encoding has no
+    small ones), of which words have too many.
     """
     core = s.rstrip("=")
     size, at = len(ALPHABETS[name]), _INDEX[name]
@@ -81,7 +91,7 @@ def randomness(s: str, name: str) -> float:
     up = sum(high)
     down = n - up
     if not up or not down:
-        return min(1.0, 3 * min(p, 2.0 ** (1 - n)))
+        return min(1.0, 4 * min(p, 2.0 ** (1 - n)))
     runs = 1 + sum(a != b for a, b in zip(high, high[1:]))
     mean = 1 + 2 * up * down / n
     var = (mean - 1) * (mean - 2) / (n - 1)
@@ -90,7 +100,8 @@ def randomness(s: str, name: str) -> float:
     m = (size - 1) / 2
     total = sum((v - m) ** 2 for v in x)
     p = min(p, _two_sided(math.sqrt(n) * sum((a - m) * (b - m) for a, b in zip(x, x[1:])) / total)) if total else 0.0
-    return min(1.0, 3 * p)
+    p = min(p, _upper_tail(sum(c in _PLAIN[name] for c in core), n, len(_PLAIN[name]) / size))
+    return min(1.0, 4 * p)
 
 
 def band(n: int) -> int:

@@ -183,6 +183,20 @@ def test_random_strings_are_told_from_words(spark):
     assert sum(bool(out[i]) for i in range(len(made), len(texts))) <= 0.02 * len(plain)
 
 
+def test_few_random_strings_are_taken_for_text():
+    rng = random.Random(4)
+    for name in ("base36", "base62", "base64", "base64url"):
+        for n in (20, 24, 32, 50, 80):
+            made = ["".join(rng.choice(secrets.ALPHABETS[name]) for _ in range(n)) for _ in range(1500)]
+            p = [secrets.randomness(s, name) for s in made if secrets.encoding(s) == name]
+            # as many slugs as to let the cut-off come near the rate
+            counts = Counter((secrets.band(n), secrets.p_bin(x)) for x in [*p, *[1e-9] * 20_000])
+            limit = secrets.cut_offs([(g, b, k) for (g, b), k in counts.items()])[secrets.band(n)]
+            assert sum(secrets.p_bin(x) >= limit for x in p) <= 0.015 * len(p), (name, n)
+    for slug in ("Section12ofTheGreatBookOfManyThings", "MyClassName2WithLongIdentifier", "the-quick-brown-fox-2024-edition", "com/example/project/v2/main"):
+        assert secrets.randomness(slug, secrets.encoding(slug)) < 0.005
+
+
 def test_redact_keeps_rows_and_columns(spark):
     df = table(spark, SECRETS)
     out = {r["doc_id"]: r for r in secrets.redact(df).collect()}
