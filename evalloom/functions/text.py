@@ -10,8 +10,8 @@ MAX_CHARS = 6000
 
 
 def strip(c: Column) -> Column:
-    """White space of any script removed at both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """White space of any script removed at both ends, the four separators of ASCII included."""
+    return F.regexp_replace(c, r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$", "")
 
 
 def normalise_path(c: Column) -> Column:
@@ -115,8 +115,8 @@ def escape_html(c: Column, quotes: bool = True) -> Column:
 
 
 def title(c: Column) -> Column:
-    """C20."""
-    return F.initcap(c)
+    """C20: each row of letters with a capital first, whatever stands before it."""
+    return F.array_join(F.transform(F.regexp_extract_all(c, F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0)), F.initcap), "")
 
 
 def count_matches(c: Column, pattern: str) -> Column:

@@ -21,15 +21,15 @@ def blank(c: Column) -> Column:
 def first_pages(pages: DataFrame, file: str = "file", page: str = "page", text: str = "text", pages_kept: int = FIRST_PAGES, size: int = MAX_CHARS) -> DataFrame:
     """``file, text, pages``: the first pages under their numbers, a mark if there are more, cut at ``size`` characters.
 
-    The mark is cut like all else. What is collected for a file is ``pages_kept`` pages at most.
+    The mark is cut like all else. One shuffle by file; what is collected for a file is ``pages_kept`` pages at most.
     """
-    total = pages.groupBy(file).agg(F.count("*").alias("pages"))
-    head = pages.withColumn("_n", F.row_number().over(Window.partitionBy(file).orderBy(page))).where(F.col("_n") <= pages_kept)
+    by = Window.partitionBy(file)
+    placed = pages.withColumns({"_n": F.row_number().over(by.orderBy(page)), "_all": F.count("*").over(by)}).where(F.col("_n") <= pages_kept)
     part = F.struct("_n", F.concat(F.lit("[page "), F.col("_n").cast("string"), F.lit("]\n"), F.coalesce(F.col(text), F.lit(""))).alias("t"))
-    joined = head.groupBy(file).agg(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["t"]), "\n\n").alias("text"))
+    joined = placed.groupBy(file).agg(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["t"]), "\n\n").alias("text"), F.max("_all").alias("pages"))
     mark = F.concat(F.lit("\n\n[truncated: "), F.col("pages").cast("string"), F.lit(" pages total]"))
     whole = F.concat("text", F.when(F.col("pages") > pages_kept, mark).otherwise(""))
-    return joined.join(total, file).select(file, F.substring(whole, 1, size).alias("text"), "pages")
+    return joined.select(file, F.substring(whole, 1, size).alias("text"), "pages")
 
 
 def cited(answers: DataFrame) -> DataFrame:
@@ -43,10 +43,11 @@ def resolve(citations: DataFrame, pages: DataFrame) -> DataFrame:
 
     A text file is one row without a page and ignores the cited page; a PDF has pages from 1 on, and without a page its first
     ones are taken. Errors, in this order: missing path, not found, empty text file, unreadable PDF (one row without page),
-    page out of range, empty page, unsupported type. The page table is joined by file and page, not collected.
+    PDF without pages (one row with page 0), page out of range, empty page, unsupported type. The page table is joined by file
+    and page, not collected.
     """
     files = pages.groupBy("file").agg(F.max("page").alias("last"), F.max(F.when(F.col("page").isNull(), F.col("text"))).alias("whole"))
-    heads = first_pages(pages.where("page IS NOT NULL")).select("file", F.col("text").alias("head"))
+    heads = first_pages(pages.where("page > 0")).select("file", F.col("text").alias("head"))
     single = pages.where("page IS NOT NULL").select(F.col("file").alias("_file"), F.col("page").alias("_page"), F.col("text").alias("one"))
     c = citations.withColumn("file", F.coalesce(normalise_path(F.coalesce("raw_file", F.lit(""))), F.lit("")))
     c = c.join(files.withColumn("known", F.lit(True)), "file", "left").join(heads, "file", "left")
@@ -58,6 +59,7 @@ def resolve(citations: DataFrame, pages: DataFrame) -> DataFrame:
         .when((end == ".txt") & blank(F.col("whole")), "empty text file")
         .when(end == ".txt", None)
         .when((end == ".pdf") & F.col("last").isNull(), "unreadable PDF")
+        .when((end == ".pdf") & (F.col("last") == 0), "PDF has no pages")
         .when((end == ".pdf") & F.col("page").isNull(), None)
         .when((end == ".pdf") & ((F.col("page") < 1) | (F.col("page") > F.col("last"))), F.concat(F.lit("page "), F.col("page").cast("string"), F.lit(" out of range (1-"), F.col("last").cast("string"), F.lit(")")))
         .when((end == ".pdf") & blank(F.col("one")), F.concat(F.lit("page "), F.col("page").cast("string"), F.lit(" is empty")))
@@ -115,12 +117,17 @@ def matches(option: Column, citation: Column) -> Column:
 
 def legacy_score(df: DataFrame, groups: str = "ground_truth_sources", citations: str = "citations") -> DataFrame:
     """The share of groups of which any option matches any citation; 1.0 without groups. ``legacy_invalid`` counts missed
-    groups. Both lists belong to one row and are short, so this is an expression and no join."""
+    groups; ``legacy_details`` says for each group which option's file was met first, or what was expected. Both lists belong to
+    one row and are short, so this is an expression and no join."""
     cites = F.coalesce(citations, F.array())
-    hit = lambda g: F.exists(g["any_of"], lambda o: F.exists(cites, lambda c: matches(o, c)))
-    hits, total = F.size(F.filter(groups, hit)), F.coalesce(F.size(groups), F.lit(0))
+    first_met = lambda g: F.filter(g["any_of"], lambda o: F.exists(cites, lambda c: matches(o, c)))
+    met = F.transform(groups, lambda g: F.try_element_at(first_met(g), F.lit(1))["file"])
+    hits, total = F.size(F.filter(met, F.isnotnull)), F.coalesce(F.size(groups), F.lit(0))
+    wanted = lambda g: F.concat(F.lit("["), F.array_join(F.transform(g["any_of"], lambda o: F.concat(F.lit("'"), normalise_path(o["file"]), F.lit("'"))), ", "), F.lit("]"))
+    said = lambda z, i: F.concat(F.lit("group "), (i + 1).cast("string"), F.coalesce(F.concat(F.lit(": reference hit ("), z["m"], F.lit(")")), F.concat(F.lit(": reference miss (expected one of "), wanted(z["g"]), F.lit(")"))))
+    told = F.when(total == 0, F.array(F.lit("no reference sources listed"))).otherwise(F.transform(F.arrays_zip(met.alias("m"), F.col(groups).alias("g")), said))
     score_ = F.when(total == 0, 1.0).otherwise(hits.cast("double") / total)
-    return df.withColumns({"legacy_score": score_, "legacy_establishes": grade_of_score(score_), "legacy_resolved": F.when(total == 0, 0).otherwise(hits), "legacy_total": total, "legacy_invalid": F.when(total == 0, 0).otherwise(total - hits)})
+    return df.withColumns({"legacy_score": score_, "legacy_establishes": grade_of_score(score_), "legacy_resolved": F.when(total == 0, 0).otherwise(hits), "legacy_total": total, "legacy_invalid": F.when(total == 0, 0).otherwise(total - hits), "legacy_details": told})
 
 
 def groups_satisfied(wanted: DataFrame, given: DataFrame, keys: list[str], group: str, on: Column) -> DataFrame:

@@ -68,6 +68,7 @@ def run_stats(rows: DataFrame, key: str = "run_label") -> DataFrame:
 
 
 def by_difficulty(rows: DataFrame, metric: str, key: str = "run_label", categories: tuple[str, ...] = DIFFICULTIES) -> DataFrame:
-    """The mean of a metric for each run and difficulty, all categories in their order as columns, 0 where none has a value."""
-    value = F.col(metric).cast("double")
+    """How often a metric is true (not zero) for each run and difficulty among rows that have it; all categories in
+    their order as columns, 0 where none has a value."""
+    value = F.when(F.col(metric).isNotNull(), (F.col(metric).cast("double") != 0).cast("double"))
     return rows.groupBy(key).agg(*[or_zero(F.avg(F.when(F.col("difficulty") == c, value))).alias(c) for c in categories])

@@ -22,13 +22,13 @@ def corpus_files(manifest: DataFrame, sizes: DataFrame | None = None, hosts: lis
 def question_rows(questions: DataFrame, manifest: DataFrame) -> DataFrame:
     """Each question with lengths, numbers of groups and sources, kinds and pages of its sources, and whether its answer
     has a digit and its groups are covered by the manifest."""
-    flat = F.flatten(F.transform("ground_truth_sources", lambda g: g["any_of"]))
+    flat = F.coalesce(F.flatten(F.transform("ground_truth_sources", lambda g: g["any_of"])), F.array().cast("array<struct<file:string,page:int>>"))
     out = questions.withColumns(
         {
             "q_len": chars(F.col("question")),
             "a_len": chars(F.col("ground_truth_answer")),
             "num_groups": F.coalesce(F.size("ground_truth_sources"), F.lit(0)),
-            "num_sources": F.coalesce(F.size(flat), F.lit(0)),
+            "num_sources": F.size(flat),
             "has_number": has_digit(F.col("ground_truth_answer")),
             "source_kinds": F.transform(flat, lambda s: cited_kind(s["file"])),
             "null_pages": F.size(F.filter(flat, lambda s: s["page"].isNull())),

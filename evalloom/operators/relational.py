@@ -6,6 +6,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Rows that a product may have on its small side.
+RUNS = 1000
+#: Needles that a search takes at most.
+NEEDLES = 1000
 
 
 def last_wins(df: DataFrame, key: str, pos: str) -> DataFrame:
@@ -44,15 +50,24 @@ def flagged(left: DataFrame, right: DataFrame, key: str, flag: str) -> DataFrame
 def for_each(left: DataFrame, few: DataFrame) -> DataFrame:
     """Each row with each of a few others, such as the runs of a comparison. ``few`` has a handful of rows, given by hand."""
     names = [f"_few.{c}" for c in few.columns]
-    rows = [tuple(r) for r in few.collect()]
+    rows = [tuple(r) for r in few.take(RUNS + 1)]
+    if len(rows) > RUNS:
+        raise ValueError(f"more than {RUNS} rows to combine with each row")
     kind = few.schema
     literal = F.array(*[F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, kind.fields)]) for r in rows])
     return left.withColumn("_few", F.explode(literal)).select(*left.columns, *names)
 
 
 def contains_join(left: DataFrame, text: str, needles: DataFrame) -> DataFrame:
-    """J15, F-, C22: rows with each needle that their text contains. Needles are a fixed table of a few rows."""
-    return left.join(F.broadcast(needles), F.contains(F.col(text), F.col("needle")), "inner")
+    """J15, F-, C22: rows with each needle that their text contains. Needles are a short table given by hand: they become literals
+    of one pass over the rows, ``NEEDLES`` of them at most."""
+    rows = [tuple(r) for r in needles.take(NEEDLES + 1)]
+    if len(rows) > NEEDLES:
+        raise ValueError(f"more than {NEEDLES} needles")
+    kind = needles.schema
+    literals = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, kind.fields)]) for r in rows]
+    known = F.array(*literals) if literals else F.array().cast(T.ArrayType(kind))
+    return left.withColumn("_needle", F.explode(F.filter(known, lambda n: F.contains(F.col(text), n["needle"])))).select(*left.columns, "_needle.*")
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

@@ -11,6 +11,7 @@ from ..functions import text as X
 from ..functions import verdicts as V
 from ..operators import citations, compare, metrics, profile, relational, runs
 from ..sources.constants import lookup
+from . import scoring_queries
 
 #: Needles of the keyword queries, on URLs.
 NEEDLES = [("example.com", "com", 0), ("example.net", "net", 1), ("/en/", "english", 2), ("utm_source", "campaign", 3)]
@@ -277,4 +278,4 @@ QUERIES = {
         first_pages_concat, multi_run_union_compare, explorer_filter_sort, payload_runs, text_profile, corpus_totals, kinds_by_domain, domain_gaps,
         axis_headroom, escaped,
     )
-}
+} | scoring_queries.QUERIES

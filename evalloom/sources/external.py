@@ -33,21 +33,20 @@ def judged(rows: DataFrame, raw: str = "raw") -> DataFrame:
     return rows.withColumn("_v", parse_verdict(F.col(raw))).select("*", "_v.*").drop("_v")
 
 
-def pdf_pages(spark, folder: str, extract: Callable[[bytes], list[str]]) -> DataFrame:
+def pdf_pages(spark, folder: str, extract: Callable[[bytes], list[str]], names: str = "*.pdf") -> DataFrame:
     """A page table from PDF files, by an injected parser ``bytes -> texts of the pages``; an unreadable file has one row
-    without page and text."""
+    without page and text, one that has no pages a row with page 0."""
 
     def run(batches):
         for rows in batches:
             out = []
             for path, content in zip(rows["path"], rows["content"]):
                 try:
-                    texts = extract(content)
+                    out += [(path, i, t) for i, t in enumerate(extract(content), 1)] or [(path, 0, None)]
                 except Exception:
-                    texts = []
-                out += [(path, i, t) for i, t in enumerate(texts, 1)] or [(path, None, None)]
+                    out.append((path, None, None))
             frame = pd.DataFrame(out, columns=["file", "page", "text"])
             yield frame.astype({"page": "Int32"})
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.pdf").load(folder)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", names).load(folder)
     return files.select("path", "content").mapInPandas(run, schemas.CORPUS_PAGES)

@@ -9,16 +9,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas
+from ..functions.text import strip
 from ..operators.relational import last_wins
 
 
+#: Broken JSON stops a query; nothing is taken for an empty record.
+_STRICT = {"mode": "FAILFAST"}
+
+
 def _array(spark: SparkSession, path: str, element: str, wrappers: tuple[str, ...]) -> DataFrame:
-    """Elements of a JSON file that is an array, or an object with the array under one of ``wrappers``; ``pos`` is their place."""
+    """Elements of a JSON file that is an array, or an object with the array under one of ``wrappers``; ``pos`` is their place.
+
+    Text that is no such JSON stops the query, as does an object without any of the wrappers.
+    """
     raw = spark.read.text(path, wholetext=True).select(F.col("value"))
     wrapped = ", ".join(f"`{w}`: array<struct<{_colons(element)}>>" for w in wrappers)
-    bare = F.from_json("value", f"array<struct<{_colons(element)}>>")
-    held = F.from_json("value", f"struct<{wrapped}>")
-    body = F.when(F.ltrim(F.regexp_replace("value", r"^[\s﻿]+", "")).startswith("["), bare).otherwise(F.coalesce(*[held[w] for w in wrappers]))
+    bare = F.from_json("value", f"array<struct<{_colons(element)}>>", _STRICT)
+    held = F.from_json("value", f"struct<{wrapped}>", _STRICT)
+    none = F.raise_error(F.lit(f"{path}: neither an array nor an object with {' or '.join(wrappers)}"))
+    body = F.when(F.regexp_replace("value", r"^[\s﻿]+", "").startswith("["), bare).otherwise(F.coalesce(*[held[w] for w in wrappers], none.cast(f"array<struct<{_colons(element)}>>")))
     return raw.select(F.posexplode(body).alias("pos", "r")).select("r.*", "pos")
 
 
@@ -38,21 +47,27 @@ def read_examples(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_answers(spark: SparkSession, path: str, run_label: str | None = None) -> DataFrame:
-    """S3, F1: a JSONL file of answers; blank lines are skipped, of equal ids the last one counts, at the first one's place.
+    """S3, F1: a JSONL file of answers; blank lines are skipped, of equal ids the last one counts, at the first one's place."""
+    out = last_wins(read_records(spark, path), "id", "pos")
+    return out if run_label is None else out.withColumn("run_label", F.lit(run_label))
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """All records of a JSONL file of answers with their places, repeated ids included.
 
     Lines end at a line feed only. One file is one row until it is split, so the order of lines is kept; the answers of a run
-    are as many as its questions.
+    are as many as its questions. A line that is no JSON object, or has no id, stops the query.
     """
     lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("pos", "line"))
-    lines = lines.where(F.regexp_replace("line", r"(?U)\s+", "") != "")
-    parsed = lines.select("pos", F.from_json("line", schemas.ANSWERS).alias("r")).select("r.*", "pos")
-    out = last_wins(parsed, "id", "pos")
-    return out if run_label is None else out.withColumn("run_label", F.lit(run_label))
+    lines = lines.where(strip(F.col("line")) != "")
+    told = F.concat(F.lit(f"{path}: no id in line "), (F.col("pos") + 1).cast("string"))
+    parsed = lines.select("pos", F.from_json("line", schemas.ANSWERS, _STRICT).alias("r")).select("r.*", "pos")
+    return parsed.withColumn("id", F.coalesce("id", F.raise_error(told).cast("string")))
 
 
 def read_answer_log(spark: SparkSession, path: str) -> DataFrame:
-    """Answers of any size in split files, without the order of lines: the form for large logs."""
-    return spark.read.schema(schemas.ANSWERS).json(path)
+    """Answers of any size in split files, without the order of lines: the form for large logs. Broken lines stop the query."""
+    return spark.read.schema(schemas.ANSWERS).json(path, mode="FAILFAST")
 
 
 def answered_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -71,7 +86,7 @@ def read_report(spark: SparkSession, path: str | None) -> DataFrame:
     if path is None:
         return empty
     try:
-        raw = spark.read.schema(schemas.REPORT).json(path, multiLine=True)
+        raw = spark.read.schema(schemas.REPORT).json(path, multiLine=True, mode="FAILFAST")
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
@@ -83,7 +98,7 @@ def read_report(spark: SparkSession, path: str | None) -> DataFrame:
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """An object of path -> URL as rows ``rel, url``."""
     raw = spark.read.text(path, wholetext=True)
-    return raw.select(F.explode(F.from_json("value", "map<string, string>")).alias("rel", "url"))
+    return raw.select(F.explode(F.from_json("value", "map<string, string>", _STRICT)).alias("rel", "url"))
 
 
 def file_sizes(spark: SparkSession, folder: str) -> DataFrame:
@@ -92,23 +107,33 @@ def file_sizes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_texts(spark: SparkSession, folder: str, errors: str = "replace") -> DataFrame:
-    """``path, text`` of text files; undecodable bytes are replaced (``replace``) or dropped (``ignore``)."""
+    """``path, text`` of text files; undecodable bytes are replaced (``replace``) or dropped (``ignore``).
+
+    U+FFFD that a file has itself stays: before the dropping it is written with another character, which is escaped too.
+    """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).where(F.lower("path").endswith(".txt"))
-    text = F.decode("content", "UTF-8") if errors == "strict" else F.try_validate_utf8(F.col("content").cast("string"))
-    made = F.make_valid_utf8(F.col("content").cast("string"))
-    dropped = F.when(text.isNotNull(), text).otherwise(F.replace(made, F.lit("�"), F.lit("")))
-    return raw.select("path", (dropped if errors == "ignore" else made).alias("text"))
+    text = F.col("content").cast("string")
+    if errors == "replace":
+        return raw.select("path", F.make_valid_utf8(text).alias("text"))
+    bad, mark = "�", "﷐"
+    held = text
+    for a, b in ((mark, mark + "1"), (bad, mark + "2")):
+        held = F.replace(held, F.lit(a), F.lit(b))
+    held = F.make_valid_utf8(held)
+    for a, b in ((bad, ""), (mark + "2", bad), (mark + "1", mark)):
+        held = F.replace(held, F.lit(a), F.lit(b))
+    return raw.select("path", held.alias("text"))
 
 
 def page_counts(pages: DataFrame) -> DataFrame:
-    """``file, pages`` from a page table; a file without readable pages has 0."""
+    """``file, pages`` from a page table; a file that can't be read, or has no pages, has 0."""
     return pages.groupBy("file").agg(F.coalesce(F.max("page"), F.lit(0)).alias("pages"))
 
 
-def preset_of_log(answers: DataFrame) -> DataFrame:
-    """One row at most, the preset that the first record of a log tells: its own, else ``default`` with examples, else ``baseline``."""
+def preset_of_log(records: DataFrame) -> DataFrame:
+    """One row at most, the preset that the first of ``read_records`` tells: its own, else ``default`` with examples, else ``baseline``."""
     told = F.when(F.coalesce("preset", F.lit("")) != "", F.col("preset")).when(F.coalesce("few_shot_examples", F.lit(0)) != 0, "default").otherwise("baseline")
-    return answers.orderBy("pos").limit(1).select(told.alias("preset"))
+    return records.orderBy("pos").limit(1).select(told.alias("preset"))
 
 
 def labelled(raw: str) -> tuple[str, str]:

@@ -1,6 +1,7 @@
 """Operators on small rows: denominators, medians, nulls, ties and orders."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -121,16 +122,16 @@ def test_outcomes(spark):
     assert one(spark, 7, lambda c: C.cycled(c, 3), "int") == 1 and one(spark, 0, lambda c: C.ratio(c, c), "int") == 0.0
 
 
-PAGES = [("t.txt", None, "text"), ("e.txt", None, " \n"), *(("d.pdf", i, f"p{i}") for i in range(1, 8)), ("b.pdf", 1, " "), ("u.pdf", None, None), ("x.doc", None, "?")]
+PAGES = [("t.txt", None, "text"), ("e.txt", None, " \n"), *(("d.pdf", i, f"p{i}") for i in range(1, 8)), ("b.pdf", 1, " "), ("u.pdf", None, None), ("z.pdf", 0, None), ("x.doc", None, "?")]
 
 
 def test_resolution_errors(spark, rows):
-    cites = [("t.txt", 9), ("corpus/t.aspx.txt", None), ("", 1), (None, 1), ("no.pdf", 1), ("e.txt", None), ("u.pdf", 1), ("d.pdf", 0), ("d.pdf", 8), ("d.pdf", 3), ("d.pdf", None), ("b.pdf", 1), ("b.pdf", None), ("x.doc", None)]
+    cites = [("t.txt", 9), ("corpus/t.aspx.txt", None), ("", 1), (None, 1), ("no.pdf", 1), ("e.txt", None), ("u.pdf", 1), ("d.pdf", 0), ("d.pdf", 8), ("d.pdf", 3), ("d.pdf", None), ("b.pdf", 1), ("b.pdf", None), ("x.doc", None), ("z.pdf", 1), ("z.pdf", None)]
     answers = rows([("q", [(f, p, None) for f, p in cites])], "id string, citations array<struct<file:string,page:int,quote:string>>")
     out = sorted(citations.resolve(citations.cited(answers), spark.createDataFrame(PAGES, schemas.CORPUS_PAGES)).collect(), key=lambda r: r["cite_pos"])
     assert [r["error"] for r in out] == [
         None, None, "missing file path", "missing file path", "file not found: no.pdf", "empty text file", "unreadable PDF", "page 0 out of range (1-7)",
-        "page 8 out of range (1-7)", None, None, "page 1 is empty", None, "unsupported file type: .doc",
+        "page 8 out of range (1-7)", None, None, "page 1 is empty", None, "unsupported file type: .doc", "PDF has no pages", "PDF has no pages",
     ]
     assert out[0]["text"] == out[1]["text"] == "text" and out[9]["text"] == "p3"
     assert out[10]["text"] == "\n\n".join(f"[page {i}]\np{i}" for i in range(1, 6)) + "\n\n[truncated: 7 pages total]"
@@ -158,6 +159,8 @@ def test_legacy_scores(rows):
     )
     out = {r["k"]: (r["legacy_score"], r["legacy_establishes"], r["legacy_resolved"], r["legacy_total"], r["legacy_invalid"]) for r in citations.legacy_score(df).collect()}
     assert out == {1: (1.0, "fully", 2, 2, 0), 2: (0.5, "partially", 1, 2, 1), 3: (1.0, "fully", 0, 0, 0), 4: (0.0, "not_at_all", 0, 1, 1)}
+    told = {r["k"]: r["legacy_details"] for r in citations.legacy_score(df).collect()}
+    assert told[1] == ["group 1: reference hit (a)", "group 2: reference hit (c)"] and told[2][0] == "group 1: reference miss (expected one of ['b'])" and told[3] == ["no reference sources listed"]
 
 
 def test_manifest_coverage(spark, rows):
@@ -176,7 +179,18 @@ def test_sources_and_sinks(spark, tmp_path):
     a = readers.read_answers(spark, str(log), "run")
     assert sorted((r["id"], r["answer"], r["pos"], r["latency_ms"]) for r in a.collect()) == [("q0", "z", 0, None), ("q1", None, 3, None)]
     assert sorted(values(readers.answered_ids(spark, str(log)), "id")) == ["q0", "q1"] and readers.answered_ids(spark, f"{tmp_path}/no").count() == 0
-    assert values(readers.preset_of_log(a), "preset") == ["baseline"]
+    assert values(readers.preset_of_log(readers.read_records(spark, str(log))), "preset") == ["baseline"]
+    told = tmp_path / "told.jsonl"
+    told.write_text('\n{"id":"q0","answer":"x","few_shot_examples":10}\n{"id":"q0","answer":"y","preset":"concise"}\n')
+    assert values(readers.preset_of_log(readers.read_records(spark, str(told))), "preset") == ["default"]
+    for name, broken in (("line", '{"id":"a"}\n{"id":'), ("id", '{"id":"a"}\n{"answer":"x"}'), ("null", '{"id":null}')):
+        (tmp_path / f"{name}.bad").write_text(broken)
+        with pytest.raises(Exception, match="no id in line|MALFORMED"):
+            readers.read_answers(spark, f"{tmp_path}/{name}.bad").collect()
+    for name, broken in (("q", "[{"), ("w", '{"other": []}'), ("t", "nothing")):
+        (tmp_path / f"{name}.json").write_text(broken)
+        with pytest.raises(Exception, match="neither an array|MALFORMED"):
+            readers.read_questions(spark, f"{tmp_path}/{name}.json").collect()
     (tmp_path / "m.json").write_text(json.dumps({"car/a.PDF": "http://h/1", "life/b.txt": "http://h/2"}))
     files = profile.corpus_files(readers.read_manifest(spark, f"{tmp_path}/m.json"), hosts=[("h/1", "one")])
     assert sorted((r["domain"], r["subdir"], r["kind"], r["host"], r["name"]) for r in files.collect()) == [("car", "a.PDF", "pdf", "one", "a.PDF"), ("life", "b.txt", "txt", "other", "b.txt")]
@@ -188,6 +202,13 @@ def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "t/x.txt").write_bytes(b"a\xffb")
     assert values(readers.read_texts(spark, f"{tmp_path}/t"), "text") == ["a�b"] and values(readers.read_texts(spark, f"{tmp_path}/t", "ignore"), "text") == ["ab"]
     assert values(readers.file_sizes(spark, f"{tmp_path}/t"), "size") == [3]
+    rng = random.Random(1)
+    (tmp_path / "u").mkdir()
+    blobs = [rng.randbytes(40) + "a\ufffdé\ufdd0\ufdd01".encode() + bytes(rng.choice([0xC3, 0xE2, 0x82, 0xF0, 0x9F, 0x98, 0x41, 0xEF, 0xBF, 0xBD]) for _ in range(30)) for _ in range(40)]
+    for i, b in enumerate(blobs):
+        (tmp_path / f"u/{i}.txt").write_bytes(b)
+    for errors in ("replace", "ignore"):
+        assert sorted(values(readers.read_texts(spark, f"{tmp_path}/u", errors), "text")) == sorted(b.decode(errors=errors) for b in blobs)
     assert readers.labelled(" A |x/y.json") == ("A", "x/y.json") and readers.labelled("x/y.json") == ("y", "x/y.json")
     sinks.write_jsonl(a.select("id", "pos"), f"{tmp_path}/out")
     assert values(spark.read.text(f"{tmp_path}/out"), "value") == ['{"id":"q0"}', '{"id":"q1"}']
@@ -275,6 +296,8 @@ def test_hooks(spark, tmp_path):
     pages = external.pdf_pages(spark, str(tmp_path), parser)
     assert sorted((r["file"][-5:], r["page"], r["text"]) for r in pages.where("page IS NOT NULL").collect()) == [("a.pdf", 1, "x"), ("a.pdf", 2, "y")]
     assert sorted(values(readers.page_counts(pages), "pages")) == [0, 2]
+    none = external.pdf_pages(spark, str(tmp_path), lambda raw: [])
+    assert [(r["page"], r["text"]) for r in none.collect()] == [(0, None)] * 2 and values(readers.page_counts(none), "pages") == [0, 0]
 
 
 def test_stream_asks_once(spark, tmp_path):
@@ -305,6 +328,8 @@ def test_texts(spark):
     assert r == "--- Citation 1: f ---\nt\n\n--- Citation 2: g (page 2) ---\nu"
     m = spark.createDataFrame([([("user", "hi")],)], "x array<struct<role:string,content:string>>").select(sinks.prompt_preview(F.col("x"))).first()[0]
     assert m == f"{'=' * 60}\n[0] USER\n{'=' * 60}\nhi\n"
+    assert [one(spark, x, X.title) for x in ("long-term care", "it's 2nd o'neil", "ÉTÉ x9y", "")] == [x.title() for x in ("long-term care", "it's 2nd o'neil", "ÉTÉ x9y", "")]
+    assert one(spark, "\x1c\x1f\u2003 a\u00a0b \x1d\x85", X.strip) == "a\u00a0b"
     assert runs.model_name("m", "p") == "p/m" == runs.model_name("p/m", "p") and runs.endpoint("http://x/", "/ask") == "http://x/ask"
     assert [round(one(spark, x, lambda c: A.headroom(c), "double"), 6) for x in (None, 50.0, 90.0, 1000.0)] == [15.0, 74.0, 100.0, 1230.0]
     assert one(spark, 1000000, lambda c: C.token_cost(c, c), "bigint") == 2.5
