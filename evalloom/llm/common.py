@@ -35,9 +35,13 @@ _powers: dict[str, np.ndarray] = {}
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder, as a URI, that the driver and all executors can reach.
 
-    It lies under ``spark.checkpoint.dir``; only where that is unset (as in tests on one machine) a local one is made.
+    It lies under ``spark.checkpoint.dir``; only where that is unset and all runs on one machine (as in tests) a local one is made.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        base = _own_folder()
     # a path without a scheme belongs to the cluster's file system, which only Hadoop's configuration knows
     path = spark._jvm.org.apache.hadoop.fs.Path(base)
     whole = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
@@ -80,14 +84,26 @@ def filesystem(uri: str):
 
 
 def write_bytes(uri: str, *parts: bytes) -> None:
-    """Write a file under its final name in one step, so a repeated task never leaves half a file to read."""
+    """Write a file under its final name in one step, so a repeated task never leaves half a file to read.
+
+    A file system with real folders renames in one step; an object store shows an object when it is whole, and knows no
+    renaming but copy and deletion. Attempts of one task write the same bytes, so it doesn't matter which one stays.
+    """
     system, path = filesystem(uri)
     system.create_dir(os.path.dirname(path), recursive=True)
-    part = f"{path}.{uuid.uuid4().hex}.tmp"
+    renames = urlparse(uri).scheme in ("", "file", "hdfs", "viewfs")
+    part = f"{path}.{uuid.uuid4().hex}.tmp" if renames else path
     with system.open_output_stream(part) as out:
         for p in parts:
             out.write(p)
-    system.move(part, path)
+    if renames:
+        system.move(part, path)
+
+
+def remove(spark: SparkSession, uri: str) -> None:
+    """Delete a folder or file of the shared folder; called by the driver, when no task can need it again."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def map_array(uri: str, dtype) -> np.ndarray:
@@ -206,6 +222,26 @@ def hot_lookup(left: DataFrame, right: DataFrame, key: str, rows: int, how: str
     return a.unionByName(b)
 
 
+#: Bits of the table that tells rows which surely have no partner, and of one of its pieces (4 KB each).
+PARTNER_BITS, PIECE_BITS = 27, 15
+
+
+def with_partner(df: DataFrame, hashed: str, partners: DataFrame, column: str = "_met") -> DataFrame:
+    """``df`` and whether its 64-bit hash may be among the ``partners`` (one column): false means that it surely isn't.
+
+    A table of 2^27 bits by the hash's lower part, 16 MB whatever the size of the input, is broadcast in pieces. Rows that can
+    only be without a partner so need no shuffle; the more partners there are, the more others go through it in vain.
+    """
+    slot = lambda c: c.bitwiseAND((1 << PARTNER_BITS) - 1)
+    piece, place = (lambda c: F.shiftright(slot(c), PIECE_BITS)), (lambda c: slot(c).bitwiseAND((1 << PIECE_BITS) - 1))
+    key = F.col(partners.columns[0])
+    bits = partners.where(key.isNotNull()).groupBy(piece(key).alias("_piece")).agg(F.bitmap_construct_agg(place(key)).alias("_bits"))
+    at = place(F.col(hashed))
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.call_function("shiftright", byte, at.bitwiseAND(7).cast("int")).bitwiseAND(1) == 1
+    return df.withColumn("_piece", piece(F.col(hashed))).join(F.broadcast(bits), "_piece", "left").withColumn(column, F.coalesce(bit, F.lit(False))).drop("_piece", "_bits")
+
+
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays byte plane by byte plane, compressed: sorted keys as differences have mostly zero planes."""
     codec, out, sizes = pa.Codec("zstd", 1), [], []

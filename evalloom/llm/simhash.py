@@ -144,6 +144,8 @@ def near_duplicates(df: DataFrame, words: int = 3, seed: int = 42, text: str = "
 HASH = 56
 #: Shingles are counted in this many slots (as a power of two), cut into parts of which each is one file.
 SLOTS, PARTS = 24, 16
+#: Upper bits of a node in the table of nodes that have a pair.
+NODES = 27
 #: Bits of an entry of the index; what is above them chooses its shard.
 ENTRY = 40
 #: Index entries that so many texts share at most are compared pair by pair at once.
@@ -270,13 +272,17 @@ def shingle_ranks(rows: DataFrame, words: int) -> str:
 
     @tidied
     def count(batches):
+        # a task adds up its own counts first: what it ships is a slot's share of a byte, whatever the number of its texts
+        total = np.zeros(1 << SLOTS, np.int32)
         for batch in (whole.slice(a, b - a) for whole in batches for a, b in slices(whole.column(1))):
             _, h, _ = shingle_sets(batch.column(1), words)
             slot, n = np.unique((h >> np.uint64(HASH - SLOTS)).astype(np.uint32), return_counts=True)
-            cut = np.searchsorted(slot, np.arange(PARTS + 1) * width)
-            parts = [p for p in range(PARTS) if cut[p] < cut[p + 1]]
-            blobs = [pack(differences(slot[cut[p] : cut[p + 1]] - np.uint32(p * width)), n[cut[p] : cut[p + 1]].astype(np.uint32)) for p in parts]
-            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array(blobs, pa.binary())], ["part", "counts"])
+            total[slot] += n.astype(np.int32)
+        slot = np.flatnonzero(total).astype(np.uint32)
+        cut = np.searchsorted(slot, np.arange(PARTS + 1) * width)
+        parts = [p for p in range(PARTS) if cut[p] < cut[p + 1]]
+        blobs = [pack(differences(slot[cut[p] : cut[p + 1]] - np.uint32(p * width)), total[slot[cut[p] : cut[p + 1]]].astype(np.uint32)) for p in parts]
+        yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array(blobs, pa.binary())], ["part", "counts"])
 
     def rank(table: pa.Table) -> pa.Table:
         total = np.zeros(width, np.int64)
@@ -293,31 +299,63 @@ def shingle_ranks(rows: DataFrame, words: int) -> str:
     return folder
 
 
+def met_nodes(pairs: DataFrame) -> str:
+    """Folder of ``PARTS`` files, a bit for each of the 2^``NODES`` values of a node's upper bits: whether any pair has one.
+
+    Of fixed size: it spares texts without a pair the shuffle; the more nodes are met, the more others it lets through.
+    """
+    folder = shared_dir(pairs.sparkSession, "nodes")
+    width = (1 << NODES) // PARTS
+
+    def bits(table: pa.Table) -> pa.Table:
+        part = table.column("part")[0].as_py()
+        out = np.zeros(width, np.uint8)
+        out[table.column("slot").drop_null().to_numpy() - part * width] = 1
+        write_bytes(f"{folder}/{part}", np.packbits(out, bitorder="little").tobytes())
+        return pa.table({"part": pa.array([part], pa.int64())})
+
+    slots = pairs.select(F.explode(F.array("a", "b")).alias("node")).select(F.shiftrightunsigned("node", 64 - NODES).alias("slot")).distinct()
+    every = pairs.sparkSession.range(PARTS).select(F.col("id").alias("part"), F.lit(None).cast("bigint").alias("slot"))
+    slots.select(F.shiftright("slot", NODES - PARTS.bit_length() + 1).alias("part"), "slot").unionByName(every).groupBy("part").applyInArrow(bits, "part bigint").count()
+    return folder
+
+
 def similar_pairs(pairs: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Those of the pairs ``a, b`` of nodes whose sets of shingles have this Jaccard similarity or more, counted in full."""
+    """Those of the pairs ``a, b`` of nodes whose sets of shingles have this Jaccard similarity or more, counted in full.
+
+    No text is shuffled: a task makes the sets of its texts that have a pair, one a node, and these are brought to the pairs.
+    """
+    folder = met_nodes(pairs)
 
     @tidied
     def sets(batches):
-        for batch in (whole.slice(a, b - a) for whole in batches for a, b in slices(whole.column(1))):
-            _, h, size = shingle_sets(batch.column(1), words)
-            ends = np.cumsum(size)
-            blobs = [h[e - n : e].tobytes() for e, n in zip(ends.tolist(), size.tolist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], ["node", "set"])
+        met, seen = np.concatenate([map_array(f"{folder}/{p}", np.uint8) for p in range(PARTS)]), np.zeros(0, np.int64)
+        for whole in batches:
+            node = np.asarray(whole.column(0))
+            slot = (node.view(np.uint64) >> np.uint64(64 - NODES)).astype(np.int64)
+            once = np.zeros(len(node), bool)
+            once[np.unique(node, return_index=True)[1]] = True
+            whole = whole.take(pa.array(np.flatnonzero(once & (met[slot >> 3] >> (slot & 7) & 1).astype(bool) & ~np.isin(node, seen))))
+            seen = np.union1d(seen, np.asarray(whole.column(0)))
+            for batch in (whole.slice(a, b - a) for a, b in slices(whole.column(1))):
+                _, h, size = shingle_sets(batch.column(1), words)
+                ends = np.cumsum(size)
+                blobs = [pack(differences(h[e - n : e])) for e, n in zip(ends.tolist(), size.tolist())]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], ["node", "set"])
 
     @tidied
     def verify(batches):
         for batch in batches:
             ok = []
             for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                x, y = (np.cumsum(unpack(v.as_py())[0], dtype=np.uint64) for v in (x, y))
                 both = np.concatenate([x, y])
                 both.sort(kind="stable")
                 common = int((both[1:] == both[:-1]).sum())
                 ok.append(common >= similarity * (len(x) + len(y) - common) - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    met = pairs.select(F.explode(F.array("a", "b")).alias("_node")).distinct()
-    known = materialize(rows.select("_node", "_text").join(met, "_node", "left_semi").dropDuplicates(["_node"]).mapInArrow(sets, "node bigint, set binary"), "sets")
+    known = materialize(rows.select("_node", "_text").mapInArrow(sets, "node bigint, set binary").dropDuplicates(["node"]), "sets")
     side = lambda x: known.select(F.col("node").alias(x), F.col("set").alias(f"s_{x}"))
     joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "s_a", "s_b")
     return joined.mapInArrow(verify, "a bigint, b bigint")
@@ -351,8 +389,7 @@ def similar_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, text:
             node, once = np.unique(np.asarray(batch.column(0)), return_index=True)
             row, h, n = shingle_sets(batch.column(1).take(pa.array(once)), words, order)
             at = np.arange(len(row)) - (np.cumsum(n) - n)[row]
-            # rank 0: no other text has a shingle of that slot
-            keep = (at <= n[row] - np.ceil(similarity * n[row] - 1e-6)) & (h >> np.uint64(HASH) > 0)
+            keep = at <= n[row] - np.ceil(similarity * n[row] - 1e-6)
             row, h, at = row[keep], h[keep] & np.uint64((1 << HASH) - 1), at[keep]
             shard = ((mix(h) >> np.uint64(ENTRY)) % np.uint64(shards)).astype(np.int64)
             out = np.empty(len(row), _ENTRY)
