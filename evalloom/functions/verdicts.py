@@ -15,26 +15,34 @@ def braces(c: Column) -> Column:
     return F.regexp_extract(c, r"(?s)\{.*\}", 0)
 
 
+def _with(value: Column, body) -> Column:
+    """``body`` of a value that is computed once a row, however often it is looked into."""
+    return F.transform(F.array(value), body)[0]
+
+
 def parse_object(c: Column) -> Column:
     """A variant from the whole text, else from the part in braces; null if neither is a JSON object."""
-    whole, part = F.try_parse_json(strip(c)), F.try_parse_json(braces(c))
     is_object = lambda v: F.schema_of_variant(v).startswith("OBJECT")
-    return F.when(whole.isNotNull(), F.when(is_object(whole), whole)).otherwise(F.when(part.isNotNull() & is_object(part), part))
+    inner = _with(F.try_parse_json(braces(c)), lambda v: F.when(is_object(v), v))
+    return _with(F.try_parse_json(strip(c)), lambda v: F.when(v.isNull(), inner).when(is_object(v), v))
 
 
 def truthy(v: Column, field: str) -> Column:
     """A field as true or false by the rule that null, false, 0 and what is empty are false, all else is true."""
-    text = F.try_variant_get(v, f"$.{field}", "string")
-    kind = F.schema_of_variant(F.try_variant_get(v, f"$.{field}", "variant"))
-    number = F.try_variant_get(v, f"$.{field}", "double")
-    return (
-        F.when(text.isNull() | (kind == "VOID"), F.lit(False))
-        .when(kind == "STRING", text != "")
-        .when(kind == "BOOLEAN", text == "true")
-        .when(kind.startswith("ARRAY"), text != "[]")
-        .when(kind.startswith("OBJECT"), text != "{}")
-        .otherwise(F.coalesce(number != 0, F.lit(True)))
-    )
+
+    def judge(x: Column) -> Column:
+        text, kind = x["text"], x["kind"]
+        return (
+            F.when(text.isNull() | (kind == "VOID"), F.lit(False))
+            .when(kind == "STRING", text != "")
+            .when(kind == "BOOLEAN", text == "true")
+            .when(kind.startswith("ARRAY"), text != "[]")
+            .when(kind.startswith("OBJECT"), text != "{}")
+            .otherwise(F.coalesce(x["number"] != 0, F.lit(True)))
+        )
+
+    get = lambda kind: F.try_variant_get(v, f"$.{field}", kind)
+    return _with(F.struct(get("string").alias("text"), F.schema_of_variant(get("variant")).alias("kind"), get("double").alias("number")), judge)
 
 
 def overridden(relevant: Column, hallucination: Column) -> Column:
@@ -44,15 +52,12 @@ def overridden(relevant: Column, hallucination: Column) -> Column:
 
 def parse_verdict(raw: Column) -> Column:
     """A struct of ``relevant, hallucination, refusal, reasoning``, the override applied; null if the reply has no JSON object."""
-    v = parse_object(raw)
-    wrong = truthy(v, "hallucination")
-    fields = F.struct(
-        overridden(truthy(v, "relevant"), wrong).alias("relevant"),
-        wrong.alias("hallucination"),
-        truthy(v, "refusal").alias("refusal"),
-        F.coalesce(F.try_variant_get(v, "$.reasoning", "string"), F.lit("")).alias("reasoning"),
-    )
-    return F.when(v.isNotNull(), fields)
+
+    def fields(v: Column) -> Column:
+        told = F.struct(*[truthy(v, f).alias(f) for f in ("relevant", "hallucination", "refusal")], F.coalesce(F.try_variant_get(v, "$.reasoning", "string"), F.lit("")).alias("reasoning"))
+        return F.when(v.isNotNull(), _with(told, lambda t: F.struct(overridden(t["relevant"], t["hallucination"]).alias("relevant"), t["hallucination"], t["refusal"], t["reasoning"])))
+
+    return _with(parse_object(raw), fields)
 
 
 def grade(c: Column) -> Column:

@@ -9,6 +9,10 @@ from ..functions.text import with_sources
 from ..sources.constants import PAGE_WORD, SOURCES_HEADING
 
 
+#: Examples that a prompt holds at most.
+SHOTS = 200
+
+
 def pending(questions: DataFrame, done: DataFrame) -> DataFrame:
     """Questions without an answer in the log. A failed call has an answer too, an empty one, and isn't asked again."""
     return questions.join(done.select("id").distinct(), "id", "left_anti")
@@ -26,7 +30,10 @@ def example_messages(examples: DataFrame) -> DataFrame:
 
 
 def build_messages(questions: DataFrame, examples: DataFrame, system: str) -> DataFrame:
-    """For each question the system's message, the examples', and the question. The examples are one broadcast row."""
+    """For each question the system's message, the examples', and the question. The examples are one broadcast row, made
+    of ``SHOTS`` examples at most."""
+    if len(examples.take(SHOTS + 1)) > SHOTS:
+        raise ValueError(f"more than {SHOTS} examples")
     shots = F.broadcast(example_messages(examples))
     whole = F.concat(F.array(message("system", F.lit(system))), F.col("shots"), F.array(message("user", F.col("question"))))
     return questions.join(shots).withColumn("messages", whole).drop("shots")

@@ -50,11 +50,12 @@ def metrics_by_source(spark, sf):
 
 
 def upper_median_by_type(spark, sf):
-    return _t(spark, sf, "events").groupBy("event_type").agg(A.upper_median("value").alias("p50"))
+    return metrics.medians(_t(spark, sf, "events"), ["event_type"], F.col("value"), upper="p50")
 
 
 def true_median_by_type(spark, sf):
-    return _t(spark, sf, "events").groupBy("event_type").agg(A.true_median(F.col("value")).alias("p50"), A.mean_truthy(F.col("value")).alias("mean_nonzero"))
+    events = _t(spark, sf, "events")
+    return metrics.medians(events, ["event_type"], F.col("value"), true="p50").join(events.groupBy("event_type").agg(A.mean_truthy(F.col("value")).alias("mean_nonzero")), "event_type")
 
 
 def left_outer_unjudged(spark, sf):

@@ -55,7 +55,8 @@ def test_filters_and_columns_reach_the_scan(spark):
         assert "CartesianProduct" not in plan and "Python" not in plan
 
 
-def test_rest_works_without_the_text_operators(tmp_path):
+@pytest.mark.parametrize("with_pipeline", [False, True])
+def test_rest_works_without_the_text_operators(tmp_path, with_pipeline):
     import shutil
     import subprocess
     import sys
@@ -63,6 +64,26 @@ def test_rest_works_without_the_text_operators(tmp_path):
     root = os.path.dirname(os.path.abspath(entry.__file__))
     shutil.copytree(f"{root}/evalloom", f"{tmp_path}/evalloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
+    if with_pipeline:
+        if not os.path.exists(f"{root}/corpus_pipeline.py"):
+            pytest.skip("the pipeline isn't here")
+        shutil.copy(f"{root}/corpus_pipeline.py", tmp_path)
+    shutil.copytree(f"{root}/tests", f"{tmp_path}/tests", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=tmp_path, capture_output=True, text=True)
     n = str(len(queries.QUERIES))
     assert out.stdout.split() == [n, n], out.stderr
+    tests = subprocess.run([sys.executable, "-m", "pytest", "-q", "tests/test_reference.py", "-k", "limits or paths or verdicts or outcomes"], cwd=tmp_path, capture_output=True, text=True)
+    assert tests.returncode == 0, tests.stdout
+
+
+def test_other_missing_modules_are_errors(tmp_path):
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    shutil.copytree(f"{root}/evalloom", f"{tmp_path}/evalloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
+    (tmp_path / "corpus_pipeline.py").write_text("import no_such_module\n")
+    out = subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=tmp_path, capture_output=True, text=True)
+    assert out.returncode and "no_such_module" in out.stderr

@@ -33,6 +33,21 @@ def test_two_medians(spark, data, upper, true):
     assert tuple(df.agg(A.upper_median("x"), A.true_median(F.col("x"))).first()) == (upper, true)
 
 
+@pytest.mark.parametrize("sketch", [10_000, 50])
+def test_medians_of_groups(rows, monkeypatch, sketch):
+    import statistics
+
+    monkeypatch.setattr(metrics, "SKETCH", sketch)
+    rng = random.Random(3)
+    data = [(k, rng.choice([None, 1.0, float(rng.randint(0, 5)), rng.random()])) for k in (None, "a", "b", "c", "d") for _ in range({"a": 1, "b": 2, None: 7}.get(k, 3000))] + [("e", None)]
+    got = {r["k"]: (r["upper"], r["true"]) for r in metrics.medians(rows(data, "k string, x double"), ["k"], F.col("x"), "upper", "true").collect()}
+    want = {}
+    for k in {k for k, _ in data}:
+        v = sorted(x for g, x in data if g == k and x is not None)
+        want[k] = (v[len(v) // 2], statistics.median(v)) if v else (None, None)
+    assert got == want
+
+
 def test_denominators(rows):
     df = rows([(True, True, 0.0, 1.0), (False, None, 10.0, 0.0), (None, None, None, 0.0)], "relevant boolean, hallucination boolean, latency_ms double, citation_score double")
     s = metrics.summary(df.withColumns({"refusal": F.lit(None).cast("boolean"), "judge_cost_usd": F.lit(0.5)})).first()
