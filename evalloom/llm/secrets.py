@@ -32,12 +32,29 @@ _INDEX = {name: {c: i for i, c in enumerate(a)} for name, a in ALPHABETS.items()
 #: The letters of which words have most: small ones, or capitals where an encoding has no small ones.
 _PLAIN = {name: frozenset(a) & frozenset(_LOWER if "a" in a else _UPPER) for name, a in ALPHABETS.items()}
 _SETS = {name: frozenset(a) for name, a in ALPHABETS.items()}
-#: Bounds of the length bands in which false discoveries are controlled apart, and the rate in each: of random strings no more
-#: than this share is taken for text and lost.
+#: Bounds of the length bands in which false discoveries are controlled apart.
 BANDS = (20, 28, 40, 64, 128)
-RATES = (0.01, 0.01, 0.01, 0.01, 0.01)
+#: Of the strings reported from a group no more than this share may be text.
+FALSE_SHARE = 0.1
+#: A string is never reported if fewer than this share of random ones look so little random.
+LEAST_P = 0.002
 #: p-values are counted in bins of a tenth of a decade down to 1e-30; the table is this long at most for each encoding and band.
 BINS, PER_DECADE = 301, 10
+#: Bins of p-values over one half.
+HALF = 3
+#: Mean and variance of minus twice the sum of the battery's logarithms over random strings, the latter also for
+#: encodings with letters of one case, where two of the tests see much the same.
+MEAN, VARIANCE, VARIANCE_OF_ONE_CASE = 9.0, 23.0, 31.0
+#: The null hypothesis "text". For each band the share of identifiers (common words and numbers, joined in camel
+#: case, in small letters, or in mixed case with dashes and underscores) whose p-value is at least that of ``TEXT_P``.
+TEXT_P = (1e-8, 1e-6, 1e-4, 1e-3, 0.01, 0.03, 0.1, 0.2, 0.3, 0.5, 0.7, 0.9)
+TEXT_SHARES = (
+    (0.99, 0.98, 0.86, 0.66, 0.33, 0.16, 0.046, 0.01, 0.003, 0.0002, 0.0001, 0.0001),
+    (0.99, 0.92, 0.65, 0.37, 0.11, 0.038, 0.0066, 0.0015, 0.0002, 0.0002, 0.0001, 0.0001),
+    (0.87, 0.62, 0.21, 0.06, 0.007, 0.0013, 0.0002, 0.0001, 0.0001, 0.0001, 0.0001, 0.0001),
+    (0.23, 0.064, 0.0048, 0.0002, 0.0002, 0.0002, 0.0002, 0.0002, 0.0002, 0.0002, 0.0002, 0.0002),
+    (0.0006, 0.0006, 0.0006, 0.0006, 0.0006, 0.0006, 0.0006, 0.0006, 0.0006, 0.0006, 0.0006, 0.0006),
+)
 
 
 def _chi2_tail(x: float, k: int) -> float:
@@ -54,9 +71,21 @@ def _two_sided(z: float) -> float:
 
 def _upper_tail(k: int, n: int, share: float) -> float:
     """P(k or more of n), each with this probability; by the normal approximation for long strings."""
+    if k <= 0:
+        return 1.0
     if n > 300:
         return 0.5 * math.erfc((k - 0.5 - n * share) / math.sqrt(2 * n * share * (1 - share)))
-    return sum(math.comb(n, i) * share**i * (1 - share) ** (n - i) for i in range(k, n + 1))
+    return min(1.0, sum(math.comb(n, i) * share**i * (1 - share) ** (n - i) for i in range(k, n + 1)))
+
+
+def _class(c: str) -> int:
+    return 0 if c in _LOWER else 1 if c in _UPPER else 2 if c in _DIGIT else 3
+
+
+_CLASS = {c: _class(c) for c in _LOWER + _UPPER + _DIGIT + "+/-_"}
+#: For each encoding the share of neighbours of different classes (small, capital, digit, sign), and of vowels.
+_CHANGES = {name: 1 - sum((sum(_CLASS[c] == k for c in a) / len(a)) ** 2 for k in range(4)) for name, a in ALPHABETS.items()}
+_VOWELS = {name: sum(c in "aeiouAEIOU" for c in a) / len(a) for name, a in ALPHABETS.items()}
 
 
 def encoding(s: str) -> str | None:
@@ -68,12 +97,12 @@ def encoding(s: str) -> str | None:
     return next((name for name in _NAMES if letters <= _SETS[name]), None)
 
 
-def randomness(s: str, name: str) -> float:
-    """p-value of "the letters are uniform and independent": the least of four tests, times four.
+def battery(s: str, name: str) -> list[float]:
+    """p-values of "the letters are uniform and independent" by five tests, each against what text does.
 
-    Chi-squared over as many equal parts of the alphabet as give four expected letters each; Wald-Wolfowitz runs about the
-    middle of the alphabet; lag-one serial correlation; the number of small letters (capitals, where the encoding has no
-    small ones), of which words have too many.
+    Chi-squared over as many equal parts of the alphabet as give four expected letters each; runs of letters of one class
+    (text has few and long ones); lag-one serial correlation; the number of small letters (capitals, where the encoding has no
+    small ones) and that of vowels, of which words have many.
     """
     core = s.rstrip("=")
     size, at = len(ALPHABETS[name]), _INDEX[name]
@@ -86,22 +115,34 @@ def randomness(s: str, name: str) -> float:
     for v in x:
         seen[v * parts // size] += 1
     chi = sum((o - n * r / size) ** 2 / (n * r / size) for o, r in zip(seen, room))
-    p = _chi2_tail(chi, parts - 1)
-    high = [2 * v >= size for v in x]
-    up = sum(high)
-    down = n - up
-    if not up or not down:
-        return min(1.0, 4 * min(p, 2.0 ** (1 - n)))
-    runs = 1 + sum(a != b for a, b in zip(high, high[1:]))
-    mean = 1 + 2 * up * down / n
-    var = (mean - 1) * (mean - 2) / (n - 1)
-    if var > 0:
-        p = min(p, _two_sided((runs - mean) / math.sqrt(var)))
+    kinds = [_CLASS[c] for c in core]
+    changes = sum(a != b for a, b in zip(kinds, kinds[1:]))
     m = (size - 1) / 2
     total = sum((v - m) ** 2 for v in x)
-    p = min(p, _two_sided(math.sqrt(n) * sum((a - m) * (b - m) for a, b in zip(x, x[1:])) / total)) if total else 0.0
-    p = min(p, _upper_tail(sum(c in _PLAIN[name] for c in core), n, len(_PLAIN[name]) / size))
-    return min(1.0, 4 * p)
+    # of n - 1 neighbours as many or more are alike
+    few_runs = _upper_tail(n - 1 - changes, n - 1, 1 - _CHANGES[name])
+    serial = _two_sided(math.sqrt(n) * sum((a - m) * (b - m) for a, b in zip(x, x[1:])) / total) if total else 0.0
+    small = _upper_tail(sum(c in _PLAIN[name] for c in core), n, len(_PLAIN[name]) / size)
+    return [_chi2_tail(chi, parts - 1), few_runs, serial, small, _upper_tail(sum(c in "aeiouAEIOU" for c in core), n, _VOWELS[name])]
+
+
+def randomness(s: str, name: str) -> float:
+    """p-value of the whole battery: its p-values' product, by Fisher's method with Brown's correction, as the tests depend on
+    each other: chi-squared scaled to the mean and variance that random strings show."""
+    total = -2 * sum(math.log(max(p, 1e-30)) for p in battery(s, name))
+    variance = VARIANCE_OF_ONE_CASE if name in ("base32", "base36", "BASE36") else VARIANCE
+    return min(1.0, _chi2_tail(total * 2 * MEAN / variance, 2 * MEAN**2 / variance))
+
+
+def text_share(p: float, band_: int) -> float:
+    """Share of text of this length that looks as random as this or more; between the values of the table along logarithms."""
+    shares = (1.0, *TEXT_SHARES[band_])
+    points = (1e-30, *TEXT_P)
+    for x0, x1, y0, y1 in zip(points, points[1:], shares, shares[1:]):
+        if p < x1:
+            w = (math.log(max(p, 1e-30)) - math.log(x0)) / (math.log(x1) - math.log(x0))
+            return math.exp((1 - w) * math.log(y0) + w * math.log(y1))
+    return shares[-1]
 
 
 def band(n: int) -> int:
@@ -134,21 +175,31 @@ def scan(text: str) -> tuple[list[tuple[int, str, int]], list[tuple[int, int, in
 
 
 def cut_offs(counts: list[tuple[int, int, int]]) -> dict[int, int]:
-    """Group -> first p-value bin that is rejected, from (group, bin, count) of the whole corpus.
+    """Group -> first p-value bin that isn't reported, from (group, bin, count) of the whole corpus.
 
-    Benjamini-Hochberg in each group of encoding and length band, on the hypothesis "random": what is rejected at the band's
-    rate is text, what is left is reported. ``BINS`` means that nothing is rejected.
+    In each group of encoding and length band the hypothesis "text" is tested for every candidate; what is rejected is
+    reported. Benjamini and Hochberg's procedure keeps the share of text among the reported at ``FALSE_SHARE``. How much text
+    looks so random is the lesser of two bounds: by the null hypothesis, with Storey's estimate of how many are text; and by
+    the corpus itself, as what there is beyond an even spread of the random ones (which the upper half of all p-values counts),
+    with two standard deviations more. Below ``LEAST_P`` nothing is reported: so little random are not even random strings.
     """
     out: dict[int, int] = {}
     by: dict[int, dict[int, int]] = {}
     for g, b, n in counts:
         by.setdefault(g, {})[b] = n
     for g, bins in by.items():
-        total, rank, first = sum(bins.values()), 0, BINS
-        for b in sorted(bins, reverse=True):
+        total, rank, first = sum(bins.values()), 0, 0
+        # a bin's least random member counts
+        share = {b: text_share(10 ** (-(b + 1) / PER_DECADE), g % len(BANDS)) for b in bins}
+        text = min(total, (1 + sum(n for b, n in bins.items() if share[b] > 0.5)) / 0.5)
+        half = 10 ** (-HALF / PER_DECADE)
+        random = sum(n for b, n in bins.items() if b < HALF) / (1 - half)
+        for b in sorted(bins):
             rank += bins[b]
-            if 10 ** (-b / PER_DECADE) <= RATES[g % len(BANDS)] * rank / total:
-                first = b
+            p = 10 ** (-(b + 1) / PER_DECADE)
+            beyond = max(0.0, rank - random * (1 - p)) + 2 * math.sqrt(random + 1)
+            if p >= LEAST_P - 1e-12 and min(text * share[b], beyond) <= FALSE_SHARE * rank:
+                first = b + 1
         out[g] = first
     return out
 
@@ -215,7 +266,7 @@ def redact(df: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFra
         if not t:
             return t
         base, found = scan(t)
-        spans = sorted([(a, b) for a, _, b in base] + [(a, b) for a, b, g, p in found if p < limits.get(g, BINS)])
+        spans = sorted([(a, b) for a, _, b in base] + [(a, b) for a, b, g, p in found if p < limits.get(g, 0)])
         if not spans:
             return t
         out, done = [], 0
