@@ -10,7 +10,6 @@ The trie is cut into shards by the first word of a context; a first word that fi
 from __future__ import annotations
 
 import json
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -19,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import differences, flat, map_array, pack, shared_dir, slices, tidied, unpack, word_bounds, word_hashes, write_bytes
+from .common import differences, filesystem, flat, map_array, materialize, pack, remove, shared_dir, slices, tidied, unpack, word_bounds, word_hashes, write_bytes
 
 #: Tokens that a task counts or scores at a time, and tokens of the training text for each shard of the trie.
 UNIT, SHARD = 400_000, 2_000_000
@@ -180,13 +179,19 @@ class Model:
     #: Words before each shard of the vocabulary (and their number), all training tokens.
     words: list[int]
     tokens: int
-    begins: int
     base: int
-    hot: list[tuple[int, int, int]]
+    #: Words with shards of their own, rising, the first shard of each, and how many it has.
+    hot: np.ndarray
+    hot_first: np.ndarray
+    hot_parts: np.ndarray
+    #: Weight of each hot word as a context, and how often it is one.
+    hot_weights: np.ndarray | None = None
+    hot_counts: np.ndarray | None = None
+    #: A bit for each shard: whether any n-gram fell into it.
+    made: np.ndarray | None = None
     unknown: float = 1.0
     uniform: float = 0.0
     discounts: list[list[float]] = field(default_factory=list)
-    weights: dict[int, float] = field(default_factory=dict)
     order: int = 3
 
     @property
@@ -209,20 +214,32 @@ class Model:
         """Shard of a pair: ranges of ``u``; a hot ``u`` has shards of its own, ranges of ``v``. The begin mark's id is ``size``."""
         space = self.size + 1
         out = u * self.base // space
-        for word, first, parts in self.hot:
-            mine = u == word
-            out[mine] = first + v[mine] * parts // space
+        if len(self.hot):
+            at = self.hot_place(u)
+            mine = np.flatnonzero(at >= 0)
+            out[mine] = self.hot_first[at[mine]] + v[mine] * self.hot_parts[at[mine]] // space
         return out
 
+    def hot_place(self, u: np.ndarray) -> np.ndarray:
+        """Place among the hot words, -1 for others."""
+        at = np.minimum(np.searchsorted(self.hot, u), max(len(self.hot) - 1, 0))
+        return np.where(self.hot[at] == u, at, -1) if len(self.hot) else np.full(len(u), -1)
+
+    def hot_of_shard(self, shard: int) -> int:
+        """Place of the hot word that a shard belongs to, -1 for a range of words."""
+        return -1 if shard < self.base else int(np.searchsorted(self.hot_first, shard, side="right")) - 1
+
+    def has(self, shard: int) -> bool:
+        return bool(self.made[shard >> 3] >> (shard & 7) & 1)
+
     def shards(self) -> int:
-        return self.base + sum(p for *_, p in self.hot)
+        return self.base + int(self.hot_parts.sum())
 
     def span(self, shard: int) -> tuple[int, int]:
         """First words of contexts in a shard: from, to (exclusive)."""
         space = self.size + 1
-        for word, first, parts in self.hot:
-            if first <= shard < first + parts:
-                return word, word + 1
+        if (at := self.hot_of_shard(shard)) >= 0:
+            return int(self.hot[at]), int(self.hot[at]) + 1
         return -(-shard * space // self.base), -(-(shard + 1) * space // self.base)
 
 
@@ -293,9 +310,11 @@ def taken(counts: np.ndarray, d: list[float]) -> np.ndarray:
 def train(df: DataFrame, text: str = "text") -> Model:
     """A trie of order 3 of the texts of ``df``, all n-grams kept; its files lie in the shared folder.
 
-    Three jobs: count words; count pairs and triples under the words' ids (each task adds up its own first, and ships sorted,
-    compressed arrays, so no row a word is made); give the nodes their probabilities, when the counts of counts are known. The
-    driver gets some numbers a shard. Null and empty texts are an end without words. Without rows the model knows no word.
+    Four jobs: count words; find those that begin more pairs than a shard should hold; count pairs and triples under the words'
+    ids (each task adds up its own first, and ships sorted, compressed arrays, so no row a word is made); give the nodes their
+    probabilities, when the counts of counts are known. The driver gets some numbers a shard. No task changes what another
+    one, or its own repetition, reads; counts are deleted by the driver at the end. Null and empty texts are an end without
+    words. Without rows the model knows no word. Words have 32-bit ids; a larger vocabulary is refused.
     """
     spark = df.sparkSession
     folder = shared_dir(spark, "trie")
@@ -318,25 +337,39 @@ def train(df: DataFrame, text: str = "text") -> Model:
         arrays = [unpack(b) for b in t.column("blob").to_pylist()]
         keys, n = totals(np.concatenate([np.cumsum(k, dtype=np.uint64) for k, _ in arrays]), np.concatenate([c for _, c in arrays]))
         write_bytes(f"{folder}/words-{shard:05d}", *layout({"hash": keys, "count": n}, {}))
-        top = np.argsort(n)[::-1][:64]
-        return pa.table({"shard": [shard], "n": [len(keys)], "total": [int(n.sum())], "ends": [int(n[0]) if keys[0] == END else 0], "ones": [[int((n == k).sum()) for k in (1, 2, 3, 4)]], "more": [int((n > 2).sum())], "top": [top.tolist()], "top_n": [n[top].tolist()]})
+        return pa.table({"shard": [shard], "n": [len(keys)], "total": [int(n.sum())], "ends": [int(n[0]) if keys[0] == END else 0], "ones": [[int((n == k).sum()) for k in (1, 2, 3, 4)]], "more": [int((n > 2).sum())]})
 
-    rows = texts.mapInArrow(count_words, "shard bigint, blob binary").groupBy("shard").applyInArrow(merge_words, "shard bigint, n bigint, total bigint, ends bigint, ones array<bigint>, more bigint, top array<bigint>, top_n array<bigint>").collect()
+    # a row for each part of the vocabulary, of which there are 4,096 at most
+    rows = texts.mapInArrow(count_words, "shard bigint, blob binary").groupBy("shard").applyInArrow(merge_words, "shard bigint, n bigint, total bigint, ends bigint, ones array<bigint>, more bigint").collect()
     by = {r["shard"]: r for r in rows}
     words = np.concatenate([[0], np.cumsum([by[s]["n"] if s in by else 0 for s in range(parts)])]).tolist()
     tokens, ends = sum(r["total"] for r in rows), sum(r["ends"] for r in rows)
     base = max(parts, -(-tokens // SHARD))
-    # words that begin more pairs than a shard should hold; there are no more of them than shards
+    if words[-1] >= (1 << 32) - 2:
+        raise ValueError(f"{words[-1]} words; ids have 32 bits")
     share = max(1, tokens // base)
-    hot = [(words[r["shard"]] + i, n) for r in rows for i, n in zip(r["top"], r["top_n"]) if n > share and not (r["shard"] == min(by) and i == 0)]
-    hot += [(words[-1], ends)] if ends > share else []
-    first, cut = base, []
-    for w, n in sorted(hot):
-        k = -(-n // share)
-        cut.append((w, first, k))
-        first += k
+
+    @tidied
+    def find_hot(batches):
+        for batch in batches:
+            for shard in batch.column(0).to_pylist():
+                files = mapped(f"{folder}/words-{shard:05d}")[1]
+                # the end of a text begins no pair
+                at = np.flatnonzero((files["count"] > share) & (files["hash"] != END))
+                yield pa.RecordBatch.from_arrays([pa.array(words[shard] + at), pa.array(files["count"][at].astype(np.int64))], ["word", "n"])
+
+    # words that begin more pairs than a shard should hold; all together begin no more pairs than there are, so they are no
+    # more than shards
+    listed = spark.createDataFrame([(s,) for s in sorted(by)], "shard bigint").repartition(max(1, min(len(by), 64)))
+    found = listed.mapInArrow(find_hot, "word bigint, n bigint").toArrow()
+    hot, hot_n = found.column("word").to_numpy(), found.column("n").to_numpy()
+    order = np.argsort(hot)
+    hot, hot_n = hot[order], hot_n[order]
+    if ends > share:
+        hot, hot_n = np.append(hot, words[-1]), np.append(hot_n, ends)
+    pieces = -(-hot_n // share)
     d1 = discounts([sum(r["ones"][k] for r in rows) for k in range(4)])
-    model = Model(folder, words, tokens, ends, base, cut)
+    model = Model(folder, words, tokens, base, hot, base + np.cumsum(pieces) - pieces, pieces)
     ones = [sum(r["ones"][k] for r in rows) for k in range(2)]
     missing = (d1[0] * ones[0] + d1[1] * ones[1] + d1[2] * sum(r["more"] for r in rows)) / max(tokens, 1)
     # what the words' discounts free goes to words that the training text lacks
@@ -390,50 +423,58 @@ def train(df: DataFrame, text: str = "text") -> Model:
             ef = EliasFano.build(to)
             out |= {f"low{k}": ef.low, f"high{k}": ef.high, f"ranks{k}": ef.ranks, f"shape{k}": np.array([ef.shift, ef.n])}
         write_bytes(f"{folder}/trie-{shard:05d}", *layout(out, {}))
-        write_bytes(f"{folder}/counts-{shard:05d}", zlib.compress(pack(to2, to3, n2, n3), 0))
+        write_bytes(f"{folder}/counts/{shard:05d}", pack(to2, to3, n2, n3))
         ones = [[int((n == k).sum()) for k in (1, 2, 3, 4)] for n in (n2, n3)]
         # a hot word's children are spread over shards
         sums = [int((n2 == 1).sum()), int((n2 == 2).sum()), int((n2 > 2).sum()), int(n2.sum())]
-        return pa.table({"shard": [shard], "ones2": [ones[0]], "ones3": [ones[1]], "sums": [sums]})
-
-    grams = texts.mapInArrow(count_ngrams, "shard bigint, blob binary").repartition(min(model.shards(), 4 * parts), "shard").groupBy("shard").applyInArrow(merge_ngrams, "shard bigint, ones2 array<bigint>, ones3 array<bigint>, sums array<bigint>").collect()
-    d2, d3 = (discounts([sum(r[f"ones{k}"][i] for r in grams) for i in range(4)]) for k in (2, 3))
+        names = [f"o{k}_{i}" for k in (2, 3) for i in range(4)] + [f"s{i}" for i in range(4)]
+        return pa.table({"shard": [shard]} | {n: [x] for n, x in zip(names, [*ones[0], *ones[1], *sums])})
+
+    numbers = [f"o{k}_{i}" for k in (2, 3) for i in range(4)] + [f"s{i}" for i in range(4)]
+    grams = texts.mapInArrow(count_ngrams, "shard bigint, blob binary").repartition(min(model.shards(), 4 * parts), "shard").groupBy("shard").applyInArrow(merge_ngrams, ", ".join(["shard bigint", *(f"{n} bigint" for n in numbers)]))
+    grams = materialize(grams, "ngrams")
+    # a few numbers a shard, which are added up without a loop over shards
+    every = grams.toArrow()
+    column = lambda n: every.column(n).to_numpy()
+    d2, d3 = (discounts([int(column(f"o{k}_{i}").sum()) for i in range(4)]) for k in (2, 3))
     model.discounts += [d2, d3]
-    for word, start, k in model.hot:
-        s = [sum(r["sums"][i] for r in grams if start <= r["shard"] < start + k) for i in range(4)]
-        model.weights[word] = sum(a * b for a, b in zip(d2, s)) / max(s[3], 1)
-    context_counts = {w: sum(r["sums"][3] for r in grams if a <= r["shard"] < a + k) for w, a, k in model.hot}
+    shards = column("shard")
+    bits = np.zeros(-(-model.shards() // 8) * 8, np.uint8)
+    bits[shards] = 1
+    model.made = np.packbits(bits, bitorder="little")
+    own = np.flatnonzero(shards >= model.base)
+    place = np.searchsorted(model.hot_first, shards[own], side="right") - 1
+    s = [np.bincount(place, column(f"s{i}")[own].astype(float), len(model.hot)) for i in range(4)]
+    model.hot_counts = s[3]
+    model.hot_weights = sum(d * x for d, x in zip(d2, s)) / np.maximum(s[3], 1)
 
     @tidied
     def weigh(batches):
-        from .common import filesystem
-
         for batch in batches:
             for shard in batch.column(0).to_pylist():
-                system, path = filesystem(f"{folder}/counts-{shard:05d}")
+                system, path = filesystem(f"{folder}/counts/{shard:05d}")
                 with system.open_input_file(path) as f:
-                    to2, to3, n2, n3 = unpack(zlib.decompress(f.read()))
+                    to2, to3, n2, n3 = unpack(f.read())
                 u0, u1 = model.span(shard)
                 c1 = np.add.reduceat(np.append(n2, 0), np.minimum(to2[:-1], len(n2))) * (np.diff(to2) > 0)
                 c1 = np.maximum(c1, 1)
-                if u1 - u0 == 1 and u0 in context_counts:
-                    c1[:] = max(context_counts[u0], 1)
+                if (hot_at := model.hot_of_shard(shard)) >= 0:
+                    c1[:] = max(model.hot_counts[hot_at], 1)
                 t2, t3 = taken(n2, d2), taken(n3, d3)
                 spread = lambda t, to: np.add.reduceat(np.append(t, 0.0), np.minimum(to[:-1], len(t))) * (np.diff(to) > 0)
                 g1 = np.where(np.diff(to2) > 0, spread(t2, to2) / c1, 1.0)
-                if u1 - u0 == 1 and u0 in model.weights:
-                    g1[:] = model.weights[u0]
+                if hot_at >= 0:
+                    g1[:] = model.hot_weights[hot_at]
                 c2 = np.maximum(np.add.reduceat(np.append(n3, 0), np.minimum(to3[:-1], len(n3))) * (np.diff(to3) > 0), 1)
                 g2 = np.where(np.diff(to3) > 0, spread(t3, to3) / c2, 1.0)
                 a2 = (n2 - t2) / np.repeat(c1, np.diff(to2))
                 a3 = (n3 - t3) / np.repeat(c2, np.diff(to3))
                 codes = [quantise(x) for x in (g1, a2, g2, a3)]
                 write_bytes(f"{folder}/weights-{shard:05d}", *layout(dict(zip(("g1", "a2", "g2", "a3"), (c for c, _ in codes))), {"scale": [s for _, s in codes]}))
-                system.delete_file(path)
                 yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64())], ["shard"])
 
-    made = [(r["shard"],) for r in grams]
-    spark.createDataFrame(made, "shard bigint").repartition(min(len(made), parts)).mapInArrow(weigh, "shard bigint").count()
+    grams.select("shard").repartition(min(max(len(shards), 1), parts)).mapInArrow(weigh, "shard bigint").count()
+    remove(spark, f"{folder}/counts")
     return model
 
 
@@ -505,15 +546,14 @@ def _pairs(reader: Reader, u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np
     m = reader.model
     a2, g1, node = np.zeros(len(u)), np.ones(len(u)), np.full(len(u), -1)
     shard = m.shard_of(u, np.maximum(w, 0))
-    hot = {x for x, *_ in m.hot}
     for s, mine in _by_shard(shard):
-        try:
-            arrays, codes, scale, to2, _ = reader.level(s)
-        except (FileNotFoundError, OSError):
-            if s < m.base:
-                continue
-            g1[mine] = m.weights[int(u[mine[0]])]
+        hot = m.hot_of_shard(s)
+        if not m.has(s):
+            # no pair fell into this shard; a hot word's weight is known from its others
+            if hot >= 0:
+                g1[mine] = m.hot_weights[hot]
             continue
+        arrays, codes, scale, to2, _ = reader.level(s)
         u0 = m.span(s)[0]
         local = u[mine] - u0
         start, end = to2.get(local), to2.get(local + 1)
@@ -523,8 +563,8 @@ def _pairs(reader: Reader, u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np
         a2[mine[seen]] = table(scale[1])[codes["a2"][found[seen]]]
         some = end > start
         g1[mine[some]] = table(scale[0])[codes["g1"][local[some]]]
-        if s >= m.base and int(u[mine[0]]) in hot:
-            g1[mine] = m.weights[int(u[mine[0]])]
+        if hot >= 0:
+            g1[mine] = m.hot_weights[hot]
     return a2, g1, node, shard
 
 
