@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections import OrderedDict
 
 import numpy as np
@@ -66,8 +67,21 @@ def _in_merge_order(model: dict, letters: dict[str, int]) -> bool:
     return len(set(made)) == len(made) and ids == sorted(ids) and all(model["vocab"].get(c, 1 << 40) < ids[0] for c in letters)
 
 
+def _splits_by_pattern(spec: dict) -> bool:
+    """Whether a file splits texts by ``PATTERN`` and does nothing else before its merges; only then is it known where texts can be cut."""
+    split, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    plain = all(not model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback"))
+    by_bytes = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+    # an added token that takes what stands around it, or looks at it, could reach over a cut
+    free = not any(t.get(k) for t in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip", "normalized"))
+    return spec.get("normalizer") is None and model.get("type") == "BPE" and plain and by_bytes and free
+
+
 class Codec:
-    """Encoder and decoder for one vocabulary file of the tokenizers library."""
+    """Encoder and decoder for one vocabulary file of the tokenizers library.
+
+    Files that don't split texts by ``PATTERN`` are used as the library does, a whole text at a time, without chunks.
+    """
 
     def __init__(self, path: str):
         import tiktoken
@@ -78,6 +92,7 @@ class Codec:
         self.tokenizer.no_padding()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self.cuts = _splits_by_pattern(spec)
         letters = _bytes_of_letters()
         added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         vocab = spec["model"]["vocab"] | added
@@ -85,13 +100,15 @@ class Codec:
         for token, i in vocab.items():
             table[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
         ranks = {table[i]: i for token, i in vocab.items() if token not in added}
-        self.fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}) if _in_merge_order(spec["model"], letters) else None
+        self.fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}) if self.cuts and _in_merge_order(spec["model"], letters) else None
         self.special = {t.encode(): i for t, i in added.items()}
+        # of two that begin at one place the longer one counts
+        self.any_special = re.compile(b"|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or b"(?!)")
         self.sizes = np.array([len(b) for b in table], np.int64)
         self.begins = np.concatenate([[0], np.cumsum(self.sizes)])[:-1]
         self.bytes = np.frombuffer(b"".join(table), np.uint8)
-        #: digest of a chunk -> (ids, safe cut near the start, ids before it, safe cut near the end, ids before it); -1: no safe cut
-        self.chunks: OrderedDict[bytes, tuple[np.ndarray, int, int, int, int]] = OrderedDict()
+        #: digest of a chunk -> its ids, its first two and last two safe cuts and how many ids lie before each; none: no two cuts
+        self.chunks: OrderedDict[bytes, tuple[np.ndarray, tuple[int, ...], tuple[int, ...]]] = OrderedDict()
         self.kept = 0
         self.encoded_bytes = 0
 
@@ -103,19 +120,42 @@ class Codec:
             return self.fast.encode_to_numpy(raw.decode(), disallowed_special=()).astype(np.uint32)
         return np.array(self.tokenizer.encode(raw.decode(), add_special_tokens=False).ids, np.uint32)
 
-    def _chunk(self, raw: bytes, head: int, tail: int) -> tuple[np.ndarray, int, int, int, int]:
-        """Encode a chunk; ``head`` and ``tail`` are its first and last safe cuts, or -1."""
+    def _kept(self, key: bytes, make) -> tuple:
+        """An entry of the table of chunks, made if it lacks; the oldest leave when the table is full."""
+        hit = self.chunks.get(key)
+        if hit is None:
+            hit = self.chunks[key] = make()
+            self.kept += hit[0].nbytes + 300
+            while self.kept > CACHE_BYTES and len(self.chunks) > 1:
+                self.kept -= self.chunks.popitem(last=False)[1][0].nbytes + 300
+        else:
+            self.chunks.move_to_end(key)
+        return hit
+
+    def _chunk(self, raw: bytes, cuts: tuple[int, ...]) -> tuple[np.ndarray, tuple[int, ...], tuple[int, ...]]:
+        """Encode a chunk; ``cuts`` are its first two and last two safe cuts, or none."""
         ids = self.plain(raw)
-        if head < 0:
-            return ids, -1, 0, -1, 0
+        if not cuts:
+            return ids, (), ()
         ends = np.cumsum(self.sizes[ids])
-        i, j = np.searchsorted(ends, (head, tail)) + 1
-        # a safe cut is one of the splitting pattern's, so some id ends there
-        assert ends[i - 1] == head and ends[j - 1] == tail
-        return ids, head, int(i), tail, int(j)
+        at = np.searchsorted(ends, cuts)
+        # a cut at which no id ends isn't one
+        return (ids, cuts, tuple((at + 1).tolist())) if (ends[at] == cuts).all() else (ids, (), ())
+
+    def _join(self, raw: bytes, before: np.ndarray, after: np.ndarray) -> np.ndarray | None:
+        """Ids of what lies between, if the piece around a join, encoded anew, begins and ends with the ids that its chunks have there."""
+        ids = self._kept(b"join" + hashlib.blake2b(raw, digest_size=16).digest(), lambda: (self.plain(raw),))[0]
+        i, j = len(before), len(ids) - len(after)
+        agree = i <= j and np.array_equal(ids[:i], before) and np.array_equal(ids[j:], after)
+        return ids[i:j] if agree else None
 
     def encode_flat(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-        """Ids of each text; the texts hold no special token."""
+        """Ids of each text; the texts hold no special token.
+
+        Chunks are encoded by themselves. Around each join the text from the last but one safe cut before it to the second one
+        behind it is encoded anew, over further chunks if they have no two cuts; what comes out has to agree with both
+        chunks between their two cuts. Where it doesn't, the piece grows to the whole text.
+        """
         if not len(data):
             return [np.zeros(0, np.uint32) for _ in offsets[1:]]
         white = _white(data)
@@ -126,65 +166,46 @@ class Codec:
         stops = np.append(starts[1:], len(data))
         # both neighbours of a safe cut have to lie in the chunk, so the result doesn't hang on what stands around
         first, last = np.searchsorted(safe, starts, side="right"), np.searchsorted(safe, stops - 1, side="left") - 1
-        some = first <= last
-        heads, tails = np.full(len(starts), -1), np.full(len(starts), -1)
-        heads[some], tails[some] = safe[first[some]] - starts[some], safe[last[some]] - starts[some]
+        some = np.flatnonzero(first < last)
+        cuts: list[tuple[int, ...]] = [()] * len(starts)
+        near = np.stack([safe[first[some]], safe[first[some] + 1], safe[last[some] - 1], safe[last[some]]], axis=1) - starts[some, None] if len(some) else np.zeros((0, 4), int)
+        for i, c in zip(some.tolist(), near.tolist()):
+            cuts[i] = tuple(c)
         raw = data.tobytes()
         spans = list(zip(starts.tolist(), stops.tolist()))
         found = []
-        for (a, b), head, tail in zip(spans, heads.tolist(), tails.tolist()):
+        for (a, b), c in zip(spans, cuts):
             piece = raw[a:b]
-            key = hashlib.blake2b(piece, digest_size=16).digest()
-            hit = self.chunks.get(key)
-            if hit is None:
-                hit = self.chunks[key] = self._chunk(piece, head, tail)
-                self.kept += hit[0].nbytes + 300
-                while self.kept > CACHE_BYTES:
-                    self.kept -= self.chunks.popitem(last=False)[1][0].nbytes + 300
-            else:
-                self.chunks.move_to_end(key)
-            found.append(hit)
-        # joins: re-encode from the last safe cut before a join to the first one behind it, over further chunks if they have none
+            found.append(self._kept(hashlib.blake2b(piece, digest_size=16).digest(), lambda: self._chunk(piece, c)))  # noqa: B023
         out: list[np.ndarray] = []
-        k = 0
-        for end in offsets[1:].tolist():
-            mine: list[np.ndarray] = []
-            start, open_at = (spans[k][0] if k < len(spans) else end), None
+        none, k = np.zeros(0, np.uint32), 0
+        for start, end in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+            # what is open: where the piece of the next join begins, and the ids that it has to begin with
+            mine: list[np.ndarray | None] = []
+            open_at, before = start, none
             while k < len(spans) and spans[k][0] < end:
-                (a, b), (ids, head, head_ids, tail, tail_ids) = spans[k], found[k]
+                (a, b), (ids, at, count) = spans[k], found[k]
                 k += 1
-                if a == start and b == end:
-                    mine.append(ids)
-                elif head >= 0:
-                    if open_at is not None:
-                        mine.append(self._join(raw[open_at : a + head]))
-                        head_at = head_ids
-                    else:
-                        head_at = 0
-                    mine.append(ids[head_at : tail_ids if b < end else None])
-                    open_at = a + tail
-                elif open_at is None:
-                    open_at = a
-                if head < 0 and b == end and not (a == start):
-                    mine.append(self._join(raw[open_at:b]))
-            out.append(np.concatenate(mine) if mine else np.zeros(0, np.uint32))
+                if a == start and (b == end or at):
+                    mine.append(ids if b == end else ids[: count[3]])
+                elif at:
+                    mine += [self._join(raw[open_at : a + at[1]], before, ids[count[0] : count[1]]), ids[count[0] : count[3] if b < end else None]]
+                elif b == end:
+                    mine.append(self._join(raw[open_at:b], before, none))
+                if at:
+                    open_at, before = a + at[2], ids[count[2] : count[3]]
+            out.append(self.plain(raw[start:end]) if any(m is None for m in mine) else np.concatenate(mine) if mine else none)
         return out
 
-    def _join(self, raw: bytes) -> np.ndarray:
-        key = b"join" + hashlib.blake2b(raw, digest_size=16).digest()
-        hit = self.chunks.get(key)
-        if hit is None:
-            hit = self.chunks[key] = (self.plain(raw), -1, 0, -1, 0)
-            self.kept += hit[0].nbytes + 300
-        return hit[0]
-
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each whole text; null and empty texts have none. Special tokens in a text are taken as the library does."""
+        if not self.cuts:
+            return [np.array(self.tokenizer.encode(t or "", add_special_tokens=False).ids, np.uint32) for t in texts.to_pylist()]
         out: list[np.ndarray] = []
         for a, b in slices(texts):
             data, offsets = flat(texts.slice(a, b - a))
-            raw = data.tobytes() if any(s[:2] in data.tobytes() for s in self.special) else b""
-            if not any(s in raw for s in self.special):
+            raw = data.tobytes()
+            if not self.any_special.search(raw):
                 out += self.encode_flat(data, offsets)
                 continue
             for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
@@ -193,18 +214,18 @@ class Codec:
 
     def _with_special(self, raw: bytes) -> np.ndarray:
         parts, at = [], 0
-        while True:
-            hits = [(p, -len(s), s) for s in self.special if (p := raw.find(s, at)) >= 0]
-            p, _, s = min(hits, default=(len(raw), 0, b""))
-            piece = raw[at:p]
-            parts += self.encode_flat(np.frombuffer(piece, np.uint8), np.array([0, len(piece)]))
-            if not s:
-                return np.concatenate(parts)
-            parts.append(np.array([self.special[s]], np.uint32))
-            at = p + len(s)
+        for m in self.any_special.finditer(raw):
+            parts += [*self._piece(raw[at : m.start()]), np.array([self.special[m.group()]], np.uint32)]
+            at = m.end()
+        return np.concatenate([*parts, *self._piece(raw[at:])])
+
+    def _piece(self, raw: bytes) -> list[np.ndarray]:
+        return self.encode_flat(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
 
     def decode(self, ids: np.ndarray) -> bytes:
         """UTF-8 of the text that the ids stand for, special tokens included; broken characters become U+FFFD."""
+        if not self.cuts:
+            return self.tokenizer.decode(ids.tolist(), skip_special_tokens=False).encode()
         n = self.sizes[ids]
         to = np.concatenate([[0], np.cumsum(n)])
         raw = self.bytes[np.repeat(self.begins[ids] - to[:-1], n) + np.arange(to[-1])].tobytes()
@@ -226,11 +247,15 @@ def codec(path: str) -> Codec:
 
 
 def bpe_encode(df: DataFrame, vocabulary: str, text: str = "text", column: str = "ids") -> DataFrame:
-    """All columns of ``df`` and the ids of each whole text (``array<int>``; null and empty texts have none).
+    """All columns of ``df`` and the ids of each whole text (``array<int>``; null and empty texts have none). A column that
+    has the name of the new one gives way to it.
 
     One narrow pass, no shuffle: what is encoded once is a chunk in a worker, whose table of chunks is bounded and serves all
     documents and tasks of that worker. A passage that fills a third of the input is so encoded once a worker, not once a row.
     """
+    if column == text:
+        raise ValueError(f"the ids can't take the place of {text}")
+    df = df.drop(column)
     at, names = df.columns.index(text), [*df.columns, column]
     fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), f"`{column}` array<int>"])
 
