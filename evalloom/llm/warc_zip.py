@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filesystem, hot_lookup, materialize, shared_dir
+from .common import filesystem, hot_lookup, materialize, shared_dir, slices
 
 #: Records that one reading task takes.
 RECORDS = 2000
@@ -25,6 +25,8 @@ ARCHIVE, INDEX = "records.warc.gz", "records.idx"
 #: A line of the index: offset and length of a record in the archive member, at fixed width, so that line i is found by i alone.
 _LINE = "{:020d} {:012d}\n"
 _WIDTH = 34
+#: The date of records whose pages have none; the same in every attempt of a task.
+DATE = "1970-01-01T00:00:00Z"
 
 
 # -- ZIP directories --------------------------------------------------------------------------------------------------
@@ -112,12 +114,12 @@ def _urn(page) -> str:
     return f"<urn:page:{page}>"
 
 
-def record(page, url: str | None, payload: bytes, digest: str, revisit_of=None, revisit: bool = False) -> bytes:
-    """One record, gzipped. A revisit has the HTTP head only, which still names the payload's length."""
+def record(page, url: str | None, payload: bytes, digest: str, revisit_of=None, revisit: bool = False, date: str = DATE) -> bytes:
+    """One record, gzipped. A revisit has the HTTP head only, which still names the payload's length. Records without a key have
+    an id by their URL and digest."""
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response"]
-    if page is not None:
-        head.append(f"WARC-Record-ID: {_urn(page)}")
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Date: {date}", f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response"]
+    head.append(f"WARC-Record-ID: {_urn(page)}" if page is not None else f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{url} {digest}')}>")
     if url is not None:
         head.append("WARC-Target-URI: " + quote(url, safe="!#$%&'()*+,/:;=?@[]~"))
     if revisit:
@@ -147,7 +149,7 @@ def parse(raw: bytes) -> tuple[int | None, int, str, str, int | None]:
     size = int(_fields(http)["content-length"])
     if fields["warc-type"] == "response" and (len(payload) != size or base32_sha1(payload) != digest):
         raise ValueError("the payload doesn't fit its digest")
-    page, refers = (int(u[len("<urn:page:") : -1]) if (u := fields.get(k)) else None for k in ("warc-record-id", "warc-refers-to"))
+    page, refers = (int(u[len("<urn:page:") : -1]) if (u := fields.get(k, "")).startswith("<urn:page:") else None for k in ("warc-record-id", "warc-refers-to"))
     return page, size, digest, fields["warc-type"], refers
 
 
@@ -168,9 +170,11 @@ def scan_archive(file, start: int, size: int, piece: int = 1 << 20) -> Iterator[
 # -- DataFrames -------------------------------------------------------------------------------------------------------
 
 
-def write_archives(df: DataFrame, html: str = "html", url: str = "url", key: str = "page_id", least: int = 0) -> DataFrame:
+def write_archives(df: DataFrame, html: str = "html", url: str = "url", key: str = "page_id", least: int = 0, date: str = DATE) -> DataFrame:
     """Write a record for each row; one ZIP file a task, in the shared folder. Returns ``path, n_records``, already written.
 
+    Keys are integers, as records refer to each other by them. ``date`` is when the pages were fetched.
+
     Of rows with equal payloads of at least ``least`` bytes the one with the largest key is a response (several rows that
     share that key all are), the others are revisits of it; null keys are never the largest. Null payloads are empty. A
     repeated task writes another file, and only the file of the task that counted is listed.
@@ -185,7 +189,8 @@ def write_archives(df: DataFrame, html: str = "html", url: str = "url", key: str
 
     def write(batches):
         out = None
-        for batch in batches:
+        # payloads become objects about a megabyte at a time
+        for batch in (whole.slice(a, b - a) for whole in batches for a, b in slices(whole.column(2))):
             for page, url_, payload, sha, first in zip(*(c.to_pylist() for c in batch.columns)):
                 if out is None:
                     uri = f"{folder}/{uuid.uuid4().hex}.zip"
@@ -195,7 +200,7 @@ def write_archives(df: DataFrame, html: str = "html", url: str = "url", key: str
                     archive = zipfile.ZipFile(_Tell(stream), "w", zipfile.ZIP_STORED, allowZip64=True)
                     out, index, at, n = archive.open(ARCHIVE, "w", force_zip64=True), io.BytesIO(), 0, 0
                 revisit = first is not None and page != first
-                raw = record(page, url_, payload, base64.b32encode(bytes.fromhex(sha)).decode(), first, revisit)
+                raw = record(page, url_, payload, base64.b32encode(bytes.fromhex(sha)).decode(), first, revisit, date)
                 out.write(raw)
                 index.write(_LINE.format(at, len(raw)).encode())
                 at, n = at + len(raw), n + 1
@@ -227,13 +232,24 @@ class _Tell:
 def read_archives(archives: DataFrame, key: str = "page_id") -> DataFrame:
     """``key, payload_bytes, payload_digest, record_type, refers_to`` of every record in ZIP files (``path``, ``n_records``).
 
-    A task takes ``RECORDS`` records: it reads the directory, its lines of the index and then each record by its range.
+    A task takes ``RECORDS`` records: it reads the directory, its lines of the index and then each record by its range. An
+    archive without an index is unpacked once, from its start to its end, by the task of its first records.
     """
     parts = archives.select("path", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_records") - 1, F.lit(RECORDS).cast("bigint"))).alias("start"), "n_records").where("n_records > 0")
     parts = parts.repartition(int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path", "start")
     names = [key, "payload_bytes", "payload_digest", "record_type", "refers_to"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
 
+    def rows_of(raws):
+        rows = []
+        for raw in raws:
+            rows.append(parse(raw))
+            if len(rows) == RECORDS:
+                yield rows
+                rows = []
+        if rows:
+            yield rows
+
     def read(batches):
         for batch in batches:
             for path, start, n in zip(*(c.to_pylist() for c in batch.columns)):
@@ -247,8 +263,8 @@ def read_archives(archives: DataFrame, key: str = "page_id") -> DataFrame:
                         ranges = [tuple(map(int, lines[i * _WIDTH : (i + 1) * _WIDTH].split())) for i in range(count)]
                         raws = (zlib.decompress(read_range(file, data + a, k), 31) for a, k in ranges)
                     else:
-                        raws = (r for i, r in enumerate(scan_archive(file, data, members[ARCHIVE].size)) if start <= i < start + RECORDS)
-                    rows = [parse(r) for r in raws]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+                        raws = scan_archive(file, data, members[ARCHIVE].size) if start == 0 else ()
+                    for rows in rows_of(raws):
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
     return parts.select("path", "start", "n_records").mapInArrow(read, f"`{key}` bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
