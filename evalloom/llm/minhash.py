@@ -90,29 +90,54 @@ def fingerprints(df: DataFrame, text: str = "text", key: str = "doc_id") -> Data
     return df.select(key, text).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, fingerprint string")
 
 
-def _in_order(df: DataFrame, text: str, key: str) -> tuple[DataFrame, int]:
-    """Rows dealt into ranges of falling keys: ``_bucket``, ``_own`` (false: the row only follows this range's last), key and text.
-
-    The ranges are cut at quantiles of the key. The first row of each range goes to the range before it too, and the very first
-    to the last, so each range can be walked alone. What the driver holds is a few numbers a range.
+def _in_order(df: DataFrame, text: str, key: str) -> DataFrame:
+    """Rows dealt into ranges of falling keys, a partition each and sorted there: ``b`` (the range), ``own`` (false: the row only
+    follows this range's last), key and text.
+
+    Order is by key (of any type that sorts, falling, nulls last), then the text's hash, then the row's number in the input, so
+    a key that fills the table is cut too. Ranges are cut at quantiles of a bounded sample of rows, which moves only the cuts.
+    The first row of each range goes to the range before it too, and the very first to the last, so each range can be walked
+    alone. The driver holds the sample and a row a range. ``df`` is read three times and has to give the same rows in the same
+    partitions, as tables do.
     """
     spark = df.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
-    cuts = df.select(F.percentile_approx(F.col(key).cast("bigint"), [i / parts for i in range(1, parts)], 100 * parts)).first()[0] or []
-    cuts = sorted(set(cuts))
-    # ranges fall with the key; null keys come last
-    bucket = F.when(F.col(key).isNull(), len(cuts)).otherwise(len(cuts) - F.aggregate(F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<bigint>"), F.lit(0), lambda n, c: n + (F.col(key) > c).cast("int")))
-    rows = df.select(F.col(key).cast("bigint").alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"), bucket.cast("int").alias("_bucket"))
-    tops = rows.groupBy("_bucket").agg(F.max("_key").alias("top"), F.count("*")).orderBy("_bucket").collect()
-    if not tops:
-        return rows.select(F.col("_bucket").alias("b"), F.lit(True).alias("own"), "_key", "_text"), 1
-    before = [(t["_bucket"], tops[i - 1]["_bucket"], t["top"]) for i, t in enumerate(tops)]
-    top = F.create_map(*[F.lit(x) for b, _, t in before for x in (b, t)]) if any(t is not None for *_, t in before) else F.lit(None)
-    to = F.create_map(*[F.lit(x) for b, t, _ in before for x in (b, t)])
-    first = F.col("_key").eqNullSafe(F.try_element_at(top, F.col("_bucket")) if any(t is not None for *_, t in before) else top)
-    both = F.array(F.struct(F.col("_bucket").alias("b"), F.lit(True).alias("own")), F.struct(to[F.col("_bucket")].alias("b"), F.lit(False).alias("own")))
-    one = F.array(F.struct(F.col("_bucket").alias("b"), F.lit(True).alias("own")))
-    return rows.select(F.explode(F.when(first, both).otherwise(one)).alias("_t"), "_key", "_text").select("_t.b", "_t.own", "_key", "_text"), len(cuts) + 1
+    hashed = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    rows = df.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"), hashed.alias("_hash"), F.monotonically_increasing_id().alias("_n"))
+    order = [F.desc_nulls_last("_key"), F.asc("_hash"), F.asc("_n")]
+    sample = min(50 * parts, 100_000)
+    picked = rows.select("_key", "_hash", "_n").orderBy(F.xxhash64("_key", "_hash", "_n")).limit(sample).orderBy(*order).collect()
+    cuts = [picked[i * len(picked) // parts] for i in range(1, parts)] if len(picked) > parts else picked[1:]
+    # a row's range is how many cuts lie before it or are it
+    places = [(c["_key"] is None, c["_key"], c["_hash"], c["_n"]) for c in cuts]
+
+    def reaches(k, h: int, n: int, cut: tuple) -> bool:
+        none, ck, ch, cn = cut
+        if none or k is None:
+            return k is None and (not none or (h, n) >= (ch, cn))
+        return k < ck or (k == ck and (h, n) >= (ch, cn))
+
+    @F.arrow_udf("int")
+    def range_of(keys: pa.Array, hashes: pa.Array, numbers: pa.Array) -> pa.Array:
+        out = []
+        for k, h, n in zip(keys.to_pylist(), hashes.to_pylist(), numbers.to_pylist()):
+            lo, hi = 0, len(places)
+            while lo < hi:
+                mid = (lo + hi) // 2
+                lo, hi = (mid + 1, hi) if reaches(k, h, n, places[mid]) else (lo, mid)
+            out.append(lo)
+        return pa.array(out, pa.int32())
+
+    rows = rows.withColumn("_b", range_of("_key", "_hash", "_n"))
+    top = F.max(F.struct("_key", F.bitwise_not("_hash").alias("h"), F.bitwise_not("_n").alias("n")))
+    tops = rows.drop("_text").groupBy("_b").agg(top.alias("top")).select("_b", "top.*").orderBy("_b").collect()
+    kind = rows.schema["_key"].dataType.simpleString()
+    before = spark.createDataFrame([(t["_b"], tops[i - 1]["_b"], t["_key"], ~t["h"], ~t["n"]) for i, t in enumerate(tops)], f"_b int, _to int, _top_key {kind}, _top_hash bigint, _top_n bigint")
+    told = rows.join(F.broadcast(before), "_b")
+    first = F.col("_key").eqNullSafe(F.col("_top_key")) & (F.col("_hash") == F.col("_top_hash")) & (F.col("_n") == F.col("_top_n"))
+    own, more = F.struct(F.col("_b").alias("b"), F.lit(True).alias("own")), F.struct(F.col("_to").alias("b"), F.lit(False).alias("own"))
+    dealt = told.select(F.explode(F.when(first, F.array(own, more)).otherwise(F.array(own))).alias("_t"), "_key", "_text", "_hash", "_n").select("_t.b", "_t.own", "_key", "_text", "_hash", "_n")
+    return dealt.repartitionById(parts, "b").sortWithinPartitions(F.desc("own"), *order).select("b", "own", "_key", "_text")
 
 
 def edited_likeness(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -123,7 +148,6 @@ def edited_likeness(df: DataFrame, text: str = "text", key: str = "doc_id") -> D
     comes the first. Null texts are empty. One shuffle of the texts; each range is walked row by row, so no range has to fit
     in memory, and one key with many rows does no harm but to its range's time.
     """
-    rows, parts = _in_order(df, text, key)
     kind = df.schema[key].dataType.simpleString()
     names = [key, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
@@ -149,9 +173,7 @@ def edited_likeness(df: DataFrame, text: str = "text", key: str = "doc_id") -> D
                     continue
                 x, y = np.stack(own), np.stack(following)
                 z = sketch(pa.array(edited, pa.string()))
-                columns = [pa.array(keys, pa.int64()), pa.array([len(t) for t in mine], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited]), pa.array(pack(x)), pa.array(pack(z)), pa.array(likeness(x, z)), pa.array(likeness(x, y))]
+                columns = [pa.array(keys, batch.schema.field(2).type), pa.array([len(t) for t in mine], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited]), pa.array(pack(x)), pa.array(pack(z)), pa.array(likeness(x, z)), pa.array(likeness(x, y))]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    dealt = rows.repartition(parts, "b").sortWithinPartitions("b", F.desc("own"), F.desc_nulls_last("_key"), F.xxhash64("_text"))
-    out = dealt.select("b", "own", "_key", "_text").mapInArrow(walk, f"`{key}` bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-    return out.withColumn(key, F.col(key).cast(kind))
+    return _in_order(df, text, key).mapInArrow(walk, f"`{key}` {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
