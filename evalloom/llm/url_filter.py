@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Hexadecimal digits of the short hash that rules are joined on; full digests are compared afterwards.
-PREFIX = 8
-#: Rules up to this number are broadcast (a few hundred bytes each); more are joined by shuffle.
-BROADCAST_RULES = 50_000
+from .common import hot_lookup, materialize
+
+#: Rules are joined on this many upper bits of an expression's 64-bit hash; full digests are compared afterwards.
+SHORT_BITS = 32
+#: Rules up to this number and this many characters are broadcast; more are joined by shuffle.
+BROADCAST_RULES, BROADCAST_CHARS = 50_000, 8_000_000
 
 
 def host_of(url: Column) -> Column:
@@ -30,28 +32,34 @@ def url_filter(df: DataFrame, rules: DataFrame, url: str = "url", key: str = "pa
     ``block``. Rows that no rule fits get ``default`` and a null rule. Null URLs and ones without ``://`` have empty host and path
     (a rule with an empty host and path fits those). Rules with a null part are left out; repeated rows stay as many.
 
-    Only those suffixes and prefixes are built whose number of labels and length some rule has. Equal (key, host, path) are
-    counted before the join and dealt out again after it, so a URL that fills the table loads no task.
+    Only those suffixes and prefixes are built whose number of labels and length some rule has. A URL is expanded once, however
+    many rows have it, and only URLs that a rule fits come back to the rows; ones that fill the table load no task. Digests are
+    computed for expressions whose short hash some rule has, of rules and URLs alike.
     """
     rules = rules.where(F.col("host").isNotNull() & F.col("path").isNotNull() & F.col("verdict").isNotNull())
     rules = rules.groupBy(F.translate("host", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("r_host"), F.col("path").alias("r_path")).agg(F.max("verdict").alias("r_verdict"))
-    shape = rules.agg(F.collect_set(F.size(F.split("r_host", r"\."))).alias("labels"), F.collect_set(F.length("r_path")).alias("lengths"), F.count("*").alias("n")).first()
+    shapes = rules.groupBy(F.size(F.split("r_host", r"\.")).alias("labels")).agg(F.array_sort(F.collect_set(F.length("r_path"))).alias("lengths"), F.count("*").alias("n"), F.sum(F.length("r_host") + F.length("r_path")).alias("chars")).collect()
+    # as many literals as rules have shapes; the expressions themselves are made in a loop over them
+    wanted = [F.struct(F.lit(s["labels"]).alias("labels"), F.array(*map(F.lit, s["lengths"])).alias("lengths")) for s in sorted(shapes)]
+    wanted = F.array(*wanted) if wanted else F.array().cast("array<struct<labels:int,lengths:array<int>>>")
+    short = lambda c: F.shiftrightunsigned(F.xxhash64(c), 64 - SHORT_BITS)
+    full = lambda c: F.sha2(c.cast("binary"), 256)
     expression = F.concat(F.col("r_host"), F.lit("\n"), F.col("r_path"))
-    rules = rules.withColumn("digest", F.sha2(expression.cast("binary"), 256)).withColumn("short", F.substring("digest", 1, PREFIX))
+    rules = rules.withColumn("digest", full(expression)).withColumn("short", short(expression))
 
-    rows = df.select(F.col(key).alias("_key"), host_of(F.col(url)).alias("_host"), path_of(F.col(url)).alias("_path"))
-    rows = rows.groupBy("_key", "_host", "_path").agg(F.count("*").alias("_n"))
+    rows = df.select(F.col(key).alias("_key"), host_of(F.col(url)).alias("_host"), path_of(F.col(url)).alias("_path")).withColumn("_url", F.concat("_host", F.lit("\n"), "_path"))
+    urls = rows.groupBy("_url").agg(F.first("_host").alias("_host"), F.first("_path").alias("_path"), F.count("*").alias("n_rows"))
     names = F.split("_host", r"\.")
-    suffixes = [F.when(F.size(names) >= n, F.array_join(F.slice(names, -n, n), ".")) for n in sorted(shape["labels"])]
-    prefixes = [F.when(F.length("_path") >= n, F.substring(F.col("_path"), 1, n)) for n in sorted(shape["lengths"])]
-    digests = [F.sha2(F.concat(s, F.lit("\n"), p).cast("binary"), 256) for s in suffixes for p in prefixes]
-    digests = F.array_compact(F.array(*digests)) if digests else F.array().cast("array<string>")
-    expressions = rows.withColumn("_digest", F.explode_outer(digests)).withColumn("_short", F.substring("_digest", 1, PREFIX))
-    table = F.broadcast(rules) if shape["n"] <= BROADCAST_RULES else rules
-    hits = expressions.join(table, (F.col("_short") == F.col("short")) & (F.col("_digest") == F.col("digest")), "left")
+    prefixed = lambda s, suffix: F.transform(F.filter(s["lengths"], lambda n: n <= F.length("_path")), lambda n: F.concat(suffix, F.lit("\n"), F.substring(F.col("_path"), 1, n)))
+    expand = lambda s: prefixed(s, F.array_join(F.slice(names, -s["labels"], s["labels"]), "."))
+    fitting = F.filter(wanted, lambda s: s["labels"] <= F.size(names))
+    expressions = urls.withColumn("_expression", F.explode(F.flatten(F.transform(fitting, expand)))).withColumn("_short", short(F.col("_expression")))
+    few = sum(s["n"] for s in shapes) <= BROADCAST_RULES and sum(s["chars"] for s in shapes) <= BROADCAST_CHARS
+    hits = expressions.join(F.broadcast(rules) if few else rules, F.col("_short") == F.col("short")).where(full(F.col("_expression")) == F.col("digest"))
     rank = F.struct((F.length("r_host") + F.length("r_path")).alias("n"), F.length("r_host").alias("h"), F.col("r_host"), F.col("r_path"), F.col("r_verdict"))
-    best = hits.groupBy("_key", "_host", "_path", "_n").agg(F.max(F.when(F.col("r_host").isNotNull(), rank)).alias("_best"))
-    out = best.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_n"))))
+    best = materialize(hits.groupBy("_url").agg(F.max(rank).alias("_best"), F.max("n_rows").alias("n_rows")), "verdicts")
+    total = best.agg(F.coalesce(F.sum("n_rows"), F.lit(0))).first()[0]
+    out = hot_lookup(rows, best, "_url", total)
     return out.select(
         F.col("_key").alias(key),
         F.col("_host").alias("host"),
