@@ -5,8 +5,10 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from bisect import bisect_right
 from collections import Counter, defaultdict
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -79,7 +81,10 @@ class Model:
             elif n > 1:
                 free.append((start, end))
         if free:
-            hits = {s: w for s, w in hits.items() if not any(a <= s < b for a, b in free)}
+            # phrases by their begin; of those that begin before a match the one that reaches furthest decides
+            free.sort()
+            begins, reach = [a for a, _ in free], list(accumulate((b for _, b in free), max))
+            hits = {s: w for s, w in hits.items() if not (i := bisect_right(begins, s)) or reach[i - 1] <= s}
         total = sum(hits.values())
         return math.log1p(total), 100 * total / max(t.count(" ") - 1, 20)
 
@@ -186,8 +191,9 @@ def is_held_out(key, parts: int = 4, part: int = 2) -> bool:
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", key: str = "doc_id", rows: int = 2500) -> Model:
     """Fit on labelled rows that aren't held out: at most ``rows`` of each class, those with the least hash of their key.
 
-    The bound keeps the driver's share fixed (2 x 2,500 texts); the base rate is counted over all labelled rows. Labels other
-    than 0 and 1, and null keys, are left out. Texts are looked up by the sampled keys, which are few enough to broadcast.
+    The bound keeps the driver's share fixed (2 x 2,500 texts, one for each key and label, that with the least hash); the base
+    rate is counted over all labelled rows. Labels other than 0 and 1, null keys and null texts are left out. Texts are looked
+    up by the sampled keys, which are few enough to broadcast.
     """
     usable = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~held_out(key)).select(F.col(key).alias("_k"), F.col(label).cast("int").alias("_y"))
     counts = {r["_y"]: r["count"] for r in usable.groupBy("_y").count().collect()}
@@ -195,7 +201,8 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str =
     for y in (0, 1):
         part = usable.where(F.col("_y") == y).orderBy(F.xxhash64("_k"), "_k").limit(rows)
         picked = part if picked is None else picked.unionByName(part)
-    found = docs.select(F.col(key).alias("_id"), F.col(text).alias("_t")).join(F.broadcast(picked.distinct()), F.col("_id") == F.col("_k")).select("_y", "_t").where("_t IS NOT NULL")
+    found = docs.select(F.col(key).alias("_id"), F.col(text).alias("_t")).join(F.broadcast(picked.distinct()), F.col("_id") == F.col("_k")).where("_t IS NOT NULL")
+    found = found.groupBy("_k", "_y").agg(F.min_by("_t", F.struct(F.xxhash64("_t"), "_t")).alias("_t")).select("_y", "_t")
     sample: list[list[str]] = [[], []]
     for r in found.toLocalIterator():
         sample[r["_y"]].append(r["_t"])
@@ -204,7 +211,11 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str =
 
 
 def score_texts(df: DataFrame, model: Model, text: str = "text", column: str = "score") -> DataFrame:
-    """All columns of ``df`` and the score of ``text`` (0 to 1; null texts as empty ones). One narrow pass, whole texts."""
+    """All columns of ``df`` and the score of ``text`` (0 to 1; null texts as empty ones). One narrow pass, whole texts. A column
+    that has the name of the new one gives way to it."""
+    if column == text:
+        raise ValueError(f"the score can't take the place of {text}")
+    df = df.drop(column)
     at, names = df.columns.index(text), [*df.columns, column]
     fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), f"`{column}` double"])
 
