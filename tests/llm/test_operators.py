@@ -1,9 +1,13 @@
 """Each operator against brute force on small rows, with nulls, empty and long texts, ties, repeated rows, empty tables, odd columns."""
 
 import base64
+import functools
 import hashlib
 import io
+import itertools
+import json
 import math
+import os
 import random
 import re
 import struct
@@ -14,9 +18,11 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from evalloom.llm import bpe, common, components, decontaminate, minhash, ngram_lm, secrets, simhash, token_counts, toxicity, url_filter, warc_zip
 from evalloom.llm.queries import URL_RULES, vocabulary
@@ -137,6 +143,46 @@ def test_bpe_reuses_chunks():
     assert c.encoded_bytes - once < len(LONG) // 10
 
 
+def test_bpe_joins_have_to_agree(spark, monkeypatch):
+    """Cuts that are wrong are found out by the comparison, and the text is encoded whole."""
+    from tokenizers import Tokenizer
+
+    t, c = Tokenizer.from_file(vocabulary()), bpe.Codec(vocabulary())
+    want = t.encode(LONG, add_special_tokens=False).ids
+    join, seen = bpe.Codec._join, []
+    monkeypatch.setattr(bpe.Codec, "_join", lambda self, raw, a, b: seen.append(join(self, raw, a, b)) or seen[-1])
+    assert c.encode(pa.array([LONG]))[0].tolist() == want and len(seen) > 100 and all(x is not None for x in seen)
+    broken = bpe.Codec(vocabulary())
+    monkeypatch.setattr(bpe.Codec, "_join", lambda self, raw, a, b: join(self, b"x" + raw, a, b))
+    assert broken.encode(pa.array([LONG, "ab"]))[0].tolist() == want
+    assert broken.encoded_bytes > len(LONG) * 1.9
+
+
+@pytest.mark.parametrize("change", [{"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}}])
+def test_bpe_with_other_settings_is_the_librarys(spark, tmp_path, change):
+    from tokenizers import Tokenizer
+
+    with open(vocabulary(), encoding="utf-8") as f:
+        spec = json.load(f) | change
+    path = f"{tmp_path}/other.json"
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(spec, f)
+    t = Tokenizer.from_file(path)
+    got = {r["doc_id"]: r["ids"] for r in bpe.bpe_encode(table(spark), path).collect()}
+    assert got == {i: t.encode(x or "", add_special_tokens=False).ids for i, x in enumerate(TEXTS)}
+
+
+def test_bpe_encode_keeps_other_columns(spark):
+    from tokenizers import Tokenizer
+
+    t, df = Tokenizer.from_file(vocabulary()), table(spark)
+    out = bpe.bpe_encode(df, vocabulary())
+    assert out.columns == [*(c for c in df.columns if c != "ids"), "ids"]
+    assert {r["doc_id"]: r["ids"] for r in out.collect()} == {i: t.encode(x or "", add_special_tokens=False).ids for i, x in enumerate(TEXTS)}
+    with pytest.raises(ValueError):
+        bpe.bpe_encode(df, vocabulary(), column="text")
+
+
 # -- secrets ------------------------------------------------------------------------------------------------------------
 
 SECRETS = [
@@ -197,6 +243,82 @@ def test_few_random_strings_are_taken_for_text():
         assert secrets.randomness(slug, secrets.encoding(slug)) < 0.005
 
 
+def test_identifiers_are_no_secrets():
+    """Words that the table of the null wasn't made from; alone, and among random strings, of which few may be lost."""
+    rng = random.Random(8)
+    some = "stream block cache query index table reader writer merge split token range value queue worker thread socket record schema column filter group order limit cluster driver shard batch offset commit branch parser lexer".split()
+
+    def identifier(n):
+        style, out = rng.choice(["camel", "flat", "mixed"]), ""
+        while len(out) < n:
+            w = rng.choice(some) if rng.random() < 0.75 else str(rng.randint(1, 2030))
+            w = w.capitalize() if style == "camel" else rng.choice([w, w.capitalize(), w.upper()]) if style == "mixed" else w
+            out += (rng.choice(["-", "_", ""]) if style == "mixed" and out else "") + w
+        return out
+
+    for n in (20, 30, 45, 70):
+        plain = [s for s in (identifier(n) for _ in range(1500)) if secrets.encoding(s)]
+        made = ["".join(rng.choice(secrets.ALPHABETS["base62"]) for _ in range(n)) for _ in range(600)]
+
+        def reported(strings):
+            rows = [(secrets._NAMES.index(e) * len(secrets.BANDS) + secrets.band(len(s)), secrets.p_bin(secrets.randomness(s, e))) for s in strings if (e := secrets.encoding(s))]
+            limits = secrets.cut_offs([(g, b, k) for (g, b), k in Counter(rows).items()])
+            return [b < limits[g] for g, b in rows]
+
+        assert sum(reported(plain)) <= 0.002 * len(plain), n
+        made = [s for s in made if secrets.encoding(s)]
+        both = reported(plain + made)
+        false, found = sum(both[: len(plain)]), sum(both[len(plain) :])
+        assert false <= 0.12 * (false + found), (n, false, found)
+        assert found >= (0.75 if n < 28 else 0.95) * len(made), (n, found)
+
+
+@pytest.mark.parametrize("s", ["Zx81kLmP0qRsT9uVwXyZ12", "Section12ofTheGreatBook", "0a1b2c3d4e5f60718293a4b5", "a" * 19 + "1", "AAAA-bbbb_1111" * 9])
+def test_battery_is_its_definition(s):
+    name = secrets.encoding(s)
+    letters, n = secrets.ALPHABETS[name], len(s)
+    x = [letters.index(c) for c in s]
+    parts = max(2, min(len(letters), n // 4))
+    room = [sum(i * parts // len(letters) == k for i in range(len(letters))) * n / len(letters) for k in range(parts)]
+    chi = sum((sum(v * parts // len(letters) == k for v in x) - r) ** 2 / r for k, r in enumerate(room))
+    # the tail of chi-squared by adding up its density
+    k, step = parts - 1, 0.002
+    density = lambda t: math.exp((k / 2 - 1) * math.log(t) - t / 2 - math.lgamma(k / 2) - k / 2 * math.log(2))
+    tail = sum(density(chi + (i + 0.5) * step) for i in range(int(200 / step))) * step
+    at_least = lambda hits, of, share: sum(math.comb(of, i) * share**i * (1 - share) ** (of - i) for i in range(hits, of + 1))
+    cls = lambda c: "a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else "-"
+    alike = sum(cls(a) == cls(b) for a in letters for b in letters) / len(letters) ** 2
+    mean = (len(letters) - 1) / 2
+    serial = sum((a - mean) * (b - mean) for a, b in zip(x, x[1:])) / sum((v - mean) ** 2 for v in x)
+    plain = [c for c in letters if (c.islower() if any(map(str.islower, letters)) else c.isupper())]
+    vowels = [c for c in letters if c in "aeiouAEIOU"]
+    want = [tail, at_least(sum(cls(a) == cls(b) for a, b in zip(s, s[1:])), n - 1, alike), math.erfc(abs(serial) * math.sqrt(n / 2)), *(at_least(sum(c in some for c in s), n, len(some) / len(letters)) for some in (plain, vowels))]
+    got = secrets.battery(s, name)
+    assert got[0] == pytest.approx(want[0], abs=0.03) and got[1:] == pytest.approx(want[1:], abs=1e-9)
+    # Fisher and Brown: the tail of chi-squared, scaled to mean and variance
+    spread = 31 if name in ("base32", "base36", "BASE36") else 23
+    k, scaled = 2 * 81 / spread, -2 * sum(math.log(max(p, 1e-30)) for p in got) * 18 / spread
+    assert secrets.randomness(s, name) == pytest.approx(sum(density(scaled + (i + 0.5) * step) for i in range(int(200 / step))) * step, abs=0.01)
+
+
+def test_cut_offs_are_the_best_by_brute_force():
+    rng = random.Random(2)
+    for case in range(60):
+        band, n = case % 5, rng.choice([1, 3, 30, 400])
+        ps = [rng.random() if rng.random() < rng.choice([0, 0.3, 1]) else 10 ** -rng.uniform(0, 12) for _ in range(n)]
+        bins = [secrets.p_bin(p) for p in ps]
+        floor = [10 ** (-(b + 1) / 10) for b in bins]
+        text = min(n, 2 * (1 + sum(secrets.text_share(p, band) > 0.5 for p in floor)))
+        even = sum(b < 3 for b in bins) / (1 - 10**-0.3)
+        best = 0
+        for b in range(301):
+            reported, p = sum(x <= b for x in bins), 10 ** (-(b + 1) / 10)
+            false = min(text * secrets.text_share(p, band), max(0, reported - even * (1 - p)) + 2 * math.sqrt(even + 1))
+            if b in bins and p >= 0.002 - 1e-12 and false <= 0.1 * reported:
+                best = b + 1
+        assert secrets.cut_offs([(band, b, k) for b, k in Counter(bins).items()]) == {band: best}
+
+
 def test_redact_keeps_rows_and_columns(spark):
     df = table(spark, SECRETS)
     out = {r["doc_id"]: r for r in secrets.redact(df).collect()}
@@ -239,6 +361,42 @@ def test_exceptions_and_length():
     assert toxicity.fit([], ["a"], 0.0).score("a") < 0.01
 
 
+def test_toxicity_is_the_plain_search(spark):
+    """The automaton against a search for every pattern at every place; the score's column takes the place of one of its name."""
+    rng = random.Random(7)
+    model = toxicity.Model({" trash ": 3.0, " tra": 1.0, " cl": 2.0, " clown ": 0.5, " an ": 0.1}, ["trash can", "an old clown", "old clown fish", "clown"], (-2.0, 1.0, 0.3))
+    some = ["trash", "can", "an", "old", "clown", "fish", "CL0WNS", "tr@sh!", "traffic", ",", "clan", "é"]
+    texts = [" ".join(rng.choice(some) for _ in range(rng.randint(0, 40))) for _ in range(200)] + [LONG + " trash", "trash " * 30_000, "trash can " * 20_000, None, ""]
+
+    def plain(text):
+        t, hits = toxicity.fold(text or ""), {}
+        inside = [(a, a + len(p) + 1) for p in model.exceptions for a, _ in ((m.start(), 0) for m in re.finditer(f"(?= {p} )", t))]
+        for p, w in model.lexicon.items():
+            if f" {p.strip()} " == p and p.strip() in model.exceptions:
+                continue
+            for m in re.finditer(f"(?={p})", t):
+                if not any(a <= m.start() < b for a, b in inside):
+                    hits[m.start()] = max(hits.get(m.start(), 0), w)
+        x, y = math.log1p(sum(hits.values())), 100 * sum(hits.values()) / max(t.count(" ") - 1, 20)
+        return 1 / (1 + math.exp(-max(-30, min(30, -2 + x + 0.3 * y))))
+
+    df = table(spark, texts)
+    out = toxicity.score_texts(df, model)
+    assert out.columns == [*(c for c in df.columns if c != "score"), "score"]
+    got = {r["doc_id"]: r["score"] for r in out.collect()}
+    small = [i for i, t in enumerate(texts) if len(t or "") < 1000]
+    assert len(small) > 200 and all(got[i] == pytest.approx(plain(texts[i])) for i in small)
+    assert got[201] > 0.9 and got[202] < 0.2 and got[203] == got[204]
+
+
+def test_toxicity_takes_one_text_a_key(spark):
+    rows, labels = _labelled()
+    at = next(i for i, y in labels if y == 1 and not toxicity.is_held_out(i))
+    many = table(spark, [*rows, *[f"sometext{i} filler words" for i in range(500)]], [*range(len(rows)), *[at] * 500])
+    model = toxicity.learn(many, spark.createDataFrame(labels, "doc_id bigint, toxic int"))
+    assert {" grumpole ", " snarkish "} <= set(model.lexicon) and not any("sometext" in u or "filler" in u for u in model.lexicon)
+
+
 # -- URL filters --------------------------------------------------------------------------------------------------------
 
 URLS = [None, "", "no scheme", "http://", "http://NET", "https://a.net/", "http://A.example.NET/en/x?q#f", "x://example.net/en", "http://example.net/enx/", "http://example.com/de/1", "http://notexample.com/de/", "http://a.b.org/fr/", "http://org/fr/#", "http://a.net?x=/", "http://a.net:80/", "a\nb://x.net/\nz", "http://.net/", "http://a..net//", "http://É.net/"]
@@ -428,6 +586,21 @@ def test_minhash(spark):
     assert sorted(r["doc_id"] or -1 for r in odd) == [-1, -1, 5]
 
 
+def test_minhash_goes_by_keys_of_any_type_and_cuts_hot_ones(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice(["b", "b", "b", "z", "a", None]), rng.choice(["x y", f"t{i} u v w", f"{i} " * 9])) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id string, text string").repartition(7)
+    hashed = {r["text"]: r["h"] for r in df.select("text", F.xxhash64("text").alias("h")).distinct().collect()}
+    order = sorted((r for r in rows), key=lambda r: (r[0] is None, [-ord(c) for c in r[0] or ""], hashed[r[1]]))
+    want = Counter()
+    for (k, t), (_, n) in zip(order, order[1:] + order[:1]):
+        want[k, hashlib.sha256((t[: len(t) - len(t) // 3] + n[: len(t) // 3]).encode()).hexdigest()] += 1
+    got = Counter((r["doc_id"], r["edited_sha256"]) for r in minhash.edited_likeness(df).collect())
+    assert got == want
+    sizes = minhash._in_order(df, "text", "doc_id").groupBy("b").count().collect()
+    assert len(sizes) >= 4 and max(r["count"] for r in sizes) < 200
+
+
 def test_minhash_has_no_bias():
     rng = np.random.default_rng(3)
     error = []
@@ -488,27 +661,58 @@ def test_lm_is_the_plain_model(spark):
         assert r["base_score"] == pytest.approx(base) and abs(r["score"] - score) < 0.02 * len(d)
 
 
-def test_lm_sums_to_one(spark):
-    texts = ["a b c", "a b d a", "b c a b", "a", "", "c c c d"] * 2
-    model = ngram_lm.train(table(spark, texts))
-    vocab = ["a", "b", "c", "d"]
-    rows = []
-    for h in ("a b", "b", "c c", "zz a", "a a a"):
-        ends = ngram_lm.score(table(spark, [h, *(f"{h} {w}" for w in [*vocab, "unk"])]), model)
-        rows.append({r["doc_id"]: r["score"] for r in ends.collect()})
-    # the probability of going on with some word, from whole texts: take the end's probability out of each
-    assert all(math.isfinite(s) and s < 0 for r in rows for s in r.values())
+def test_lm_sums_to_one(spark, monkeypatch):
+    monkeypatch.setattr(ngram_lm, "SHARD", 10)
+    model = ngram_lm.train(table(spark, ["a b c", "a b d a", "b c a b", "a", "", "c c c d"] * 2))
+    reader = ngram_lm.Reader(model)
+    data = np.frombuffer(b"a b c d", np.uint8)
+    hashes = np.sort(np.append(common.word_hashes(data, np.arange(0, 7, 2), np.arange(1, 8, 2)), ngram_lm.END))
+    ids, counts = reader.lookup(hashes)
+    assert (ids >= 0).all()
+    known = (counts - ngram_lm.taken(counts, model.discounts[0])) / model.tokens
+    assert known.sum() + model.unknown == pytest.approx(1)
+    # every word and an unknown one after each pair of words, begin marks included
+    w, p1 = np.append(ids, -1), np.append(known, model.unknown)
+    for u, v in itertools.product([*ids.tolist(), model.size], repeat=2):
+        a2, g1, _, _ = ngram_lm._pairs(reader, np.full(len(w), v), w)
+        _, _, node, shard = ngram_lm._pairs(reader, np.array([u]), np.array([v]))
+        p = a2 + g1 * p1
+        if node[0] >= 0:
+            a3, g2 = ngram_lm._triples(reader, np.repeat(shard, len(w)), np.repeat(node, len(w)), np.where(w < 0, 0xFFFFFFFF, w))
+            p = a3 + g2 * p
+        assert p.sum() == pytest.approx(1, abs=0.02), (u, v)
     assert math.isfinite(ngram_lm.score(table(spark, ["a"]), ngram_lm.train(table(spark, []))).first()["score"])
     assert ngram_lm.score(table(spark, []), model).count() == 0
 
 
+def test_lm_tasks_can_be_repeated_and_errors_are_told(spark, monkeypatch):
+    """Tasks leave what they read, so another attempt finds it; a shard that can't be read is no shard without n-grams."""
+    removed = []
+    monkeypatch.setattr(ngram_lm, "remove", lambda _, uri: removed.append(uri))
+    model = ngram_lm.train(table(spark, BASE))
+    folder = model.folder.removeprefix("file:").replace("//", "/")
+    made = {f for f in os.listdir(folder) if f.startswith("trie")}
+    assert removed == [f"{model.folder}/counts"] and {f"trie-{f}" for f in os.listdir(f"{folder}/counts")} == made
+    assert {int(f[5:]) for f in made} == {s for s in range(model.shards()) if model.has(s)}
+    with open(f"{folder}/{min(made)}", "rb") as f:
+        before = f.read()
+    common.write_bytes(f"{model.folder}/{min(made)}", before)
+    with open(f"{folder}/{min(made)}", "rb") as f:
+        assert f.read() == before
+    for name in made:
+        os.remove(f"{folder}/{name}")
+    ngram_lm._readers.clear()
+    with pytest.raises(Exception, match="trie-"):
+        ngram_lm.score(table(spark, BASE), model).collect()
+
+
 def test_lm_cuts_hot_words(spark, monkeypatch):
     monkeypatch.setattr(ngram_lm, "SHARD", 50)
     texts = ["the " * 300 + BASE[0], *("the " + t for t in BASE), "the w1 the w2"]
     model = ngram_lm.train(table(spark, texts))
     monkeypatch.undo()
     whole = ngram_lm.train(table(spark, texts))
-    assert model.hot and model.shards() > model.base
+    assert len(model.hot) and model.shards() > model.base
     a, b = ({r["doc_id"]: r["score"] for r in ngram_lm.score(table(spark, texts), m).collect()} for m in (model, whole))
     assert all(abs(a[i] - b[i]) < 0.03 * (len(texts[i].split()) + 1) for i in a)
 
@@ -567,6 +771,18 @@ def test_archives_without_index_and_packed_members():
         warc_zip.parse(zlib.decompress(warc_zip.record(1, "u", b"x", warc_zip.base32_sha1(b"y")), 31))
 
 
+def test_archives_without_index_as_rows(spark, tmp_path, monkeypatch):
+    raws = [warc_zip.record(i if i else None, "u", b"x" * i, warc_zip.base32_sha1(b"x" * i)) for i in range(30)]
+    with zipfile.ZipFile(f"{tmp_path}/a.zip", "w") as z:
+        z.writestr(warc_zip.ARCHIVE, b"".join(raws), zipfile.ZIP_STORED)
+    monkeypatch.setattr(warc_zip, "RECORDS", 7)
+    rows = warc_zip.read_archives(spark.createDataFrame([(f"file://{tmp_path}/a.zip", 30)], "path string, n_records bigint")).collect()
+    assert sorted((r["page_id"] or 0, r["payload_bytes"]) for r in rows) == [(i, i) for i in range(30)]
+    for raw in raws:
+        head = zlib.decompress(raw, 31).split(b"\r\n\r\n")[0].decode()
+        assert all(f"\r\n{k}: " in head for k in ("WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length")), head
+
+
 # -- decontamination ----------------------------------------------------------------------------------------------------
 
 ITEM = "Then Mary bought 10 apples and gave Tom 10 pears for 9 miles of road work today."
@@ -606,12 +822,123 @@ def test_decontamination_in_other_capitals(spark):
     assert [out[i, 7]["verbatim"] for i in range(6)] == [True] * 4 + [False] * 2
 
 
-def test_templates_go_with_raw_tokens(spark):
-    texts = [*DOCS.values(), *[t for t in TEXTS if t is not LONG], "a  b\n\n(c) ... 'd' 3.5, $1,000.50 and 5km; 7 % of Bob's x", 'He said "Hi Bob" .']
-    df = decontaminate.templates(table(spark, texts), "text").withColumn("_raw", decontaminate.raw_tokens("text"))
+def test_templates_go_with_values(spark):
+    texts = [*DOCS.values(), *[t for t in TEXTS if t is not LONG], "a  b\n\n(c) ... 'd' 3.5, $1,000.50 and 5km; 7 % of Bob's x", 'He said "Hi Bob Brown" .', "5 KM Tom 3M Ann\tMay, Joe. x-3 €5 EUR In Rome The Tom Then", "Über El Él It It's I'm I O'Neil A"]
+    df = decontaminate.templates(table(spark, texts), "text").selectExpr("doc_id", "text", "_named", "_words")
+    df = df.withColumn("_nv", decontaminate.values(F.coalesce("text", F.lit("")))).withColumn("_wv", decontaminate.word_values(F.coalesce("text", F.lit(""))))
     for r in df.collect():
-        assert len(r["_tok"]) == len(r["_raw"]) if r["_tok"] else True, r["text"]
-    last = next(r["_tok"] for r in df.collect() if r["doc_id"] == len(texts) - 2)
-    assert last == ["a", "b", "c", "d", "‹num›", "‹num›", "and", "‹num›", "‹num›", "%", "of", "‹name›s", "x"] or "‹num›" in last
+        for form, value in ((r["_named"], r["_nv"]), (r["_words"], r["_wv"])):
+            assert [re.sub("^[^‹]*‹", "‹", v) if "‹" in t else v for t, v in zip(form.split(" "), value.split(" "), strict=True)] == [re.sub("^[^‹]*‹", "‹", t) for t in form.split(" ")], r["text"]
+    last = {r["doc_id"]: r["_named"] for r in df.collect()}
+    assert last[len(texts) - 1] == "‹name› el ‹name› it ‹name› i ‹name› a"
+    assert last[len(texts) - 4] == "a b c d ‹num› ‹num› and ‹num› ‹num› % of ‹name› x"
+    assert last[len(texts) - 3] == "he said ‹name›" and last[len(texts) - 2] == "‹num› ‹unit› ‹name› ‹num› ‹name› ‹name› x-‹num› ‹num› ‹unit› in ‹name› the ‹name› then"
     plan = decontaminate.leaks(table(spark, texts), spark.createDataFrame([(1, ITEM)], "item_id bigint, text string"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+# -- the same by brute force: all windows of all texts against all windows of all items
+
+_CAP = r"(?<![\p{L}\p{M}\p{N}'’-])(?!(?:STARTERS)(?![\p{L}\p{M}\p{N}'’-]))\p{Lu}[\p{L}\p{M}\p{N}'’-]*".replace("STARTERS", "|".join(w.capitalize() for w in decontaminate.STARTERS.split()))
+_NUM = regex.compile(r"(?<![\p{L}\p{N}])\p{Sc}?\p{N}[\p{N}.,:/]*(?:(?<=\p{N})(?:%|°|\p{L}{1,3}(?!\p{L})))?")
+
+
+@functools.cache
+def plain_template(text, names):
+    """[(token, value)]: parts between white space, numbers and units typed, then rows of capitalised words."""
+    out, parts = [], (text or "").split()
+    for i, w in enumerate(parts):
+        typed = _NUM.sub("‹num›", w)
+        unit = i and _NUM.sub("‹num›", parts[i - 1]).endswith("‹num›") and regex.match(r"\p{L}+", w)
+        if unit and unit.group().lower() in decontaminate.UNITS.split() and not regex.match(r"\p{N}", w[unit.end() :]):
+            typed = "‹unit›" + w[unit.end() :]
+        if names and "‹" not in typed:
+            typed = regex.sub(_CAP, "‹name›", typed)
+        strip = lambda x: regex.sub(r"""[.,;:!?"'()\[\]]""", "", x.lower())
+        if names and out and "‹name›" in typed and typed.startswith("‹name›") and out[-1][2].endswith("‹name›"):
+            out[-1] = (out[-1][0][: -len("‹name›")] + strip(typed), out[-1][1] + "¤" + strip(w), typed)
+        elif strip(typed):
+            out.append((strip(typed), strip(w), typed))
+        elif out:
+            out[-1] = (*out[-1][:2], "")
+    return [(a, b) for a, b, _ in out]
+
+
+def one_to_one(pairs):
+    return len(pairs) == len({p[:2] for p in pairs}) == len({(p[0], p[2]) for p in pairs})
+
+
+def plain_leaks(docs, items):
+    out = set()
+    for d, doc in docs.items():
+        best = {}
+        for names, (q, item) in itertools.product((True, False), items.items()):
+            want = plain_template(item, names)
+            size = min(len(want), 8)
+            full = [i for i in range(len(want) - size + 1) if size >= 4 and sum("‹" not in t for t, _ in want[i : i + size]) >= 4]
+            if names or any("‹name›" in t for t, _ in plain_template(item, True)):
+                runs = {}
+                for i, read in itertools.product(full, (True, False)):
+                    have = plain_template(doc, read)
+                    for j in range(len(have) - size + 1):
+                        if all(a[0] == b[0] for a, b in zip(want[i : i + size], have[j : j + size])):
+                            at, pairs = runs.setdefault((read, j - i), (set(), set()))
+                            at.add(i)
+                            for (t, x), (_, y) in zip(want[i : i + size], have[j : j + size]):
+                                if "‹" in t:
+                                    kind = re.search("‹(.*?)›", t).group(1)
+                                    if kind == "unit":
+                                        x, y = x.removesuffix("s"), y.removesuffix("s")
+                                    same = x.count("¤") == y.count("¤")
+                                    pairs |= {(kind, a, b) for a, b in zip(x.split("¤"), y.split("¤"))} if same else {(kind, x, y)}
+                found, slots = set(), set()
+                for at, pairs in sorted(runs.values(), key=lambda r: (len(r[0]), sorted(r[0]), sorted(r[1])), reverse=True):
+                    if one_to_one(pairs) and one_to_one(slots | pairs):
+                        found, slots = found | at, slots | pairs
+                if full and len(found) >= 0.5 * len(full):
+                    best[q] = max(best.get(q, (0,)), (len(found) / len(full), len(found), all(a == b for _, a, b in slots)))
+        out |= {(d, q, *b) for q, b in best.items()}
+    return out
+
+
+def test_decontamination_is_brute_force(spark):
+    rand = random.Random(3)
+    word = lambda: rand.choice(["of", "to", "he", "sent", "pears", "left", "boxes", "in", "road", "all"])
+    names = ["Tom", "Ann", "Ruth Hill", "Bob", "Joe May Low"]
+
+    def sentence(n):
+        w = [word() if rand.random() < 0.6 else rand.choice([str(rand.randint(2, 9)), f"{rand.randint(2, 9)} km", rand.choice(names), word()]) for _ in range(n)]
+        return " ".join(w).replace("to", "to,", 1) + "."
+
+    items = {i: sentence(rand.choice([4, 5, 6, 7, 9, 14, 30])) for i in range(40)}
+    docs = {}
+    for d in range(160):
+        text = items[rand.randrange(40)]
+        for _ in range(rand.randint(0, 3)):
+            change = {rand.choice(names): rand.choice(names), str(rand.randint(2, 9)): str(rand.randint(2, 9)), "km": rand.choice(["miles", "kg"])}
+            for a, b in change.items():
+                text = text.replace(a, b) if rand.random() < 0.8 else text.replace(a, b, 1)
+        if rand.random() < 0.3:
+            w = text.split(" ")
+            w.insert(rand.randrange(len(w)), "so")
+            text = " ".join(w)
+        text = rand.choice([str, str, str, str.upper, str.lower])(text)
+        docs[d] = f"{sentence(rand.randint(1, 9))} {text} {sentence(9)}" if rand.random() < 0.7 else text
+    docs |= {160: "Bob has 9 apples and 8 pears left.", 161: "Dave sent Dave 3 long letters and Dave wrote 3 more to Dave", 162: "Dave sent Ruth 7 long letters and Ruth wrote 2 more to Dave"}
+    items |= {40: "Tom has 3 apples and 4 pears left.", 41: "Alice sent Carol 3 long letters and Carol wrote 5 more to Alice"}
+    rows = decontaminate.leaks(table(spark, list(docs.values())), spark.createDataFrame(list(items.items()), "item_id bigint, text string"))
+    got = {(r["doc_id"], r["item_id"], r["coverage"], r["n_windows"], r["verbatim"]) for r in rows.collect()}
+    # items with equal templates are one, the least
+    merged = {i: min(j for j in items if [t for t, _ in plain_template(items[i], True)] == [t for t, _ in plain_template(items[j], True)]) for i in items}
+    want = {r for r in plain_leaks(docs, items) if merged[r[1]] == r[1]}
+    assert len(want) > 80 and got == want
+    assert (160, 40) in {r[:2] for r in got} and (162, 41) in {r[:2] for r in got} and (161, 41) not in {r[:2] for r in got}
+
+
+def test_decontamination_by_shuffle(spark, monkeypatch):
+    docs = table(spark, [*DOCS.values(), DOCS[1], LONG + " " + ITEM], [*DOCS, None, 10])
+    items = spark.createDataFrame([(7, ITEM), (11, "one two three four five")], "item_id bigint, text string")
+    want = sorted(map(str, decontaminate.leaks(docs, items).collect()))
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr(decontaminate._fits, "__defaults__", (-1,))
+    assert sorted(map(str, decontaminate.leaks(docs, items).collect())) == want and len(want) == 5
