@@ -131,8 +131,9 @@ def legacy_score(df: DataFrame, groups: str = "ground_truth_sources", citations:
 
 
 def groups_satisfied(wanted: DataFrame, given: DataFrame, keys: list[str], group: str, on: Column) -> DataFrame:
-    """J10 as a join, for groups too long for one row: per key the share of groups with any match, by equi-join and residual."""
-    hit = wanted.join(given, on, "left").groupBy(*keys, group).agg(F.bool_or(F.col("matched")).alias("hit"))
+    """J10 as a join, for groups too long for one row: per key the share of groups with any match, by equi-join and residual. Dealt
+    by the keys once, for both aggregates."""
+    hit = wanted.join(given, on, "left").repartition(*keys).groupBy(*keys, group).agg(F.bool_or(F.col("matched")).alias("hit"))
     return hit.groupBy(*keys).agg((F.count_if(F.coalesce("hit", F.lit(False))).cast("double") / F.count("*")).alias("score"), F.count("*").alias("groups"))
 
 

@@ -110,5 +110,5 @@ def totals(files: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def quantified(df: DataFrame, outer: str, inner: str, flag: Column) -> DataFrame:
-    """For each outer key whether in all its inner groups any row has the flag."""
-    return df.groupBy(outer, inner).agg(F.bool_or(flag).alias("any")).groupBy(outer).agg(F.bool_and("any").alias("all_any"))
+    """For each outer key whether in all its inner groups any row has the flag. Dealt by the outer key once, for both aggregates."""
+    return df.select(outer, inner, flag.alias("_flag")).repartition(outer).groupBy(outer, inner).agg(F.bool_or("_flag").alias("any")).groupBy(outer).agg(F.bool_and("any").alias("all_any"))

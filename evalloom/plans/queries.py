@@ -93,7 +93,7 @@ def rate_classes(spark, sf):
 
 def crosstab_zero_filled(spark, sf):
     rows = _t(spark, sf, "documents").select("source", "lang")
-    return profile.cross_tab(rows.where("NOT (lang = 'de' AND source = 'src1')"), "source", "lang", ["de", "en", "es", "fr", "it"])
+    return profile.cross_tab(rows, "source", "lang", ["de", "en", "es", "fr", "it"])
 
 
 def keyword_frequency(spark, sf):
@@ -109,9 +109,9 @@ def groups_satisfied(spark, sf):
 
 
 def legacy_scores(spark, sf):
-    """Turns of a conversation as groups of one option each, matched against the conversation's first two roles as citations."""
+    """Turns of a conversation as groups of one option each, matched against all its roles as citations of page 2."""
     turns = _t(spark, sf, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: F.struct(F.array(F.struct(x["role"].alias("file"), F.when(x["turn"] % 2 == 0, x["turn"].cast("int")).alias("page"))).alias("any_of"))).alias("ground_truth_sources"))
-    cites = F.transform(F.slice("ground_truth_sources", 1, 2), lambda g: F.struct(g["any_of"][0]["file"].alias("file"), F.lit(2).alias("page")))
+    cites = F.transform("ground_truth_sources", lambda g: F.struct(g["any_of"][0]["file"].alias("file"), F.lit(2).alias("page")))
     out = citations.legacy_score(turns.withColumn("citations", cites))
     return out.select("conv_id", "legacy_score", "legacy_establishes", F.col("legacy_total").cast("bigint").alias("groups"))
 
@@ -187,7 +187,7 @@ def box_stats(spark, sf):
 
 def sort_nulls(spark, sf):
     rows = _t(spark, sf, "documents").select("doc_id").join(_t(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
-    return rows.orderBy(F.asc_nulls_last("quality"), "doc_id").limit(50)
+    return rows.orderBy(F.asc_nulls_last("quality"), "doc_id")
 
 
 def global_and_grouped(spark, sf):
@@ -225,17 +225,17 @@ def explorer_filter_sort(spark, sf):
     labels = _verdicts(spark, sf).select(F.col("doc_id").cast("string").alias("id"), F.array(F.struct("relevant", "hallucination", "refusal", F.lit(0.5).alias("citation_score"), F.lit(None).cast("double").alias("latency_ms"), F.lit(None).cast("struct<prompt:bigint,completion:bigint>").alias("tokens"))).alias("runs"))
     q = docs.join(labels, "id").withColumn("difficulty", F.when(F.col("lang") == "de", "easy").when(F.col("lang") == "en", "medium").when(F.col("lang") == "es", "hard").otherwise("unknown"))
     found = compare.explore(q, search="THAN", shown="relevant")
-    return compare.arrange(found, "difficulty", ascending=False).select("id", "difficulty", C.primary_outcome(F.col("runs")).alias("outcome")).limit(40)
+    return compare.arrange(found, "difficulty", ascending=False).select("id", "difficulty", C.primary_outcome(F.col("runs")).alias("outcome"))
 
 
 def payload_runs(spark, sf):
-    """All documents in two runs, of which the second lacks some."""
+    """All documents in two runs; the second has answers to those of good quality only."""
     q = _t(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("doc_id").alias("pos"), F.col("source").alias("domain"), F.col("lang").alias("difficulty"), F.lit("q").alias("question"))
-    v = _verdicts(spark, sf)
-    answer = lambda name: v.select(F.lit(name).alias("run_label"), F.col("doc_id").cast("string").alias("id"), F.lit("a").alias("answer"), F.array().cast("array<string>").alias("citations"), F.col("doc_id").cast("double").alias("latency_ms"), F.lit(None).cast("struct<prompt:bigint,completion:bigint>").alias("tokens"))
+    v, labels = _verdicts(spark, sf), _t(spark, sf, "labels")
+    answer = lambda name, rows: rows.select(F.lit(name).alias("run_label"), F.col("doc_id").cast("string").alias("id"), F.lit("a").alias("answer"), F.array().cast("array<string>").alias("citations"), F.col("doc_id").cast("double").alias("latency_ms"), F.lit(None).cast("struct<prompt:bigint,completion:bigint>").alias("tokens"))
     verdict = v.select(F.lit("a").alias("run_label"), F.col("doc_id").cast("string").alias("id"), "relevant", "hallucination", "refusal", F.lit("").alias("judge_reasoning"))
     few = spark.createDataFrame([("a", 0), ("b", 1)], "run_label string, run_pos int")
-    rows = compare.run_rows(q, few, relational.union_all([answer("a"), answer("b").where("cast(id AS bigint) % 2 = 0")]), verdict)
+    rows = compare.run_rows(q, few, relational.union_all([answer("a", labels), answer("b", labels.where("quality = 1"))]), verdict)
     out = compare.payload(rows)
     return out.select("id", F.size("runs").cast("bigint").alias("n"), F.col("runs")[0]["outcome"].alias("first"), F.col("runs")[1]["answer"].alias("second"))
 
@@ -256,9 +256,9 @@ def kinds_by_domain(spark, sf):
 
 
 def domain_gaps(spark, sf):
-    files = _t(spark, sf, "orders").select(F.col("o_orderpriority").alias("domain"), "o_orderkey")
-    asked = _t(spark, sf, "orders").where("o_orderpriority < '4'").select(F.col("o_orderpriority").alias("domain"))
-    return profile.domain_gaps(files, asked)
+    """Nations of suppliers as domains of files, those of customers as domains of questions."""
+    files = _t(spark, sf, "supplier").select(F.col("s_nationkey").cast("string").alias("domain"), "s_suppkey")
+    return profile.domain_gaps(files, _t(spark, sf, "customer").select(F.col("c_nationkey").cast("string").alias("domain")))
 
 
 def axis_headroom(spark, sf):

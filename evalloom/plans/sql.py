@@ -38,7 +38,7 @@ SELECT source, CASE WHEN a IS NULL THEN NULL WHEN a >= 0.5 THEN 'good' ELSE 'bad
 FROM (SELECT source, avg(relevant::INT) AS a, avg(hallucination::INT) AS b FROM ({_RESULTS}) GROUP BY source)""",
     "crosstab_zero_filled": """
 SELECT source, count(*) FILTER (lang = 'de') AS de, count(*) FILTER (lang = 'en') AS en, count(*) FILTER (lang = 'es') AS es,
-  count(*) FILTER (lang = 'fr') AS fr, count(*) FILTER (lang = 'it') AS it FROM documents WHERE NOT (lang = 'de' AND source = 'src1') GROUP BY source""",
+  count(*) FILTER (lang = 'fr') AS fr, count(*) FILTER (lang = 'it') AS it FROM documents GROUP BY source""",
     "keyword_frequency": """
 WITH k(needle, label) AS (VALUES ('example.com', 'com'), ('example.net', 'net'), ('/en/', 'english'), ('utm_source', 'campaign'))
 SELECT label, count(*) AS n, min(page_id) AS first_page FROM pages JOIN k ON contains(url, needle) GROUP BY label""",
@@ -46,9 +46,7 @@ SELECT label, count(*) AS n, min(page_id) AS first_page FROM pages JOIN k ON con
 WITH g AS (SELECT l_orderkey, l_linenumber, bool_or(p_size < 25) AS hit FROM lineitem LEFT JOIN part ON l_partkey = p_partkey GROUP BY ALL)
 SELECT l_orderkey, count(*) FILTER (coalesce(hit, false))::DOUBLE / count(*) AS score, count(*) AS groups FROM g GROUP BY l_orderkey""",
     "legacy_scores": """
-WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS r FROM conversations),
-c AS (SELECT conv_id, list(role) AS roles FROM t WHERE r <= 2 GROUP BY conv_id),
-h AS (SELECT conv_id, count(*) AS groups, count(*) FILTER (list_contains(roles, role) AND (turn % 2 <> 0 OR turn = 2)) AS hits FROM t JOIN c USING (conv_id) GROUP BY conv_id)
+WITH h AS (SELECT conv_id, count(*) AS groups, count(*) FILTER (turn % 2 <> 0 OR turn = 2) AS hits FROM conversations GROUP BY conv_id)
 SELECT conv_id, hits::DOUBLE / groups AS legacy_score, CASE WHEN hits = groups THEN 'fully' WHEN hits > 0 THEN 'partially' ELSE 'not_at_all' END AS legacy_establishes, groups FROM h""",
     "script_ratio": """
 SELECT lang, avg(a::DOUBLE / (a + b + 1)) AS ratio
@@ -75,7 +73,7 @@ SELECT count(*) AS n, count(*) FILTER (q = quality) AS same_relevant, count(*) F
     "box_stats": """
 SELECT lang, count(n_chars) AS n, min(n_chars)::DOUBLE AS lowest, quantile_cont(n_chars::DOUBLE, 0.25) AS q1, quantile_cont(n_chars::DOUBLE, 0.5) AS median,
   quantile_cont(n_chars::DOUBLE, 0.75) AS q3, max(n_chars)::DOUBLE AS highest, avg(n_chars::DOUBLE) AS mean FROM documents GROUP BY lang""",
-    "sort_nulls": "SELECT doc_id, quality FROM documents LEFT JOIN labels USING (doc_id) ORDER BY quality NULLS LAST, doc_id LIMIT 50",
+    "sort_nulls": "SELECT doc_id, quality FROM documents LEFT JOIN labels USING (doc_id) ORDER BY quality NULLS LAST, doc_id",
     "global_and_grouped": f"""
 SELECT lang, source, count(*) AS n, avg(relevant::INT::DOUBLE) AS relevance_rate, avg(latency_ms) AS latency_avg,
   CASE grouping(lang, source) WHEN 3 THEN '' WHEN 1 THEN 'lang' ELSE 'source' END AS grouping FROM ({_RESULTS}) GROUP BY GROUPING SETS ((), (lang), (source))""",
@@ -101,11 +99,11 @@ SELECT run_label, count(*) AS count, avg(f::DOUBLE) AS citation_accuracy, avg(n_
     "explorer_filter_sort": f"""
 SELECT doc_id::VARCHAR AS id, CASE lang WHEN 'de' THEN 'easy' WHEN 'en' THEN 'medium' WHEN 'es' THEN 'hard' ELSE 'unknown' END AS difficulty, 'relevant' AS outcome
 FROM documents JOIN ({_VERDICTS}) USING (doc_id) WHERE (contains(lower(text), 'than') OR contains(doc_id::VARCHAR, 'than')) AND relevant AND NOT hallucination AND NOT refusal
-ORDER BY CASE lang WHEN 'de' THEN 0 WHEN 'en' THEN 1 WHEN 'es' THEN 2 ELSE -1 END DESC, doc_id LIMIT 40""",
+ORDER BY CASE lang WHEN 'de' THEN 0 WHEN 'en' THEN 1 WHEN 'es' THEN 2 ELSE -1 END DESC, doc_id""",
     "payload_runs": f"""
 SELECT d.doc_id::VARCHAR AS id, 2::BIGINT AS n,
   CASE WHEN relevant IS NULL THEN 'missing' WHEN refusal THEN 'refusal' WHEN hallucination THEN 'hallucination' WHEN relevant THEN 'relevant' ELSE 'wrong' END AS first,
-  CASE WHEN relevant IS NOT NULL AND d.doc_id % 2 = 0 THEN 'a' ELSE '(missing)' END AS second
+  CASE WHEN d.doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) THEN 'a' ELSE '(missing)' END AS second
 FROM documents d LEFT JOIN ({_VERDICTS}) v USING (doc_id)""",
     "text_profile": f"""
 SELECT count(*) AS count, {_UPPER.format('length(text)')} AS length_p50,
@@ -116,7 +114,7 @@ SELECT (SELECT count(*) FROM documents) AS files, (SELECT sum(n_chars)::BIGINT F
     "kinds_by_domain": r"""
 SELECT domain, count(*) FILTER (contains(url, '.html')) AS pdf, 0::BIGINT AS txt, CASE domain WHEN 'com' THEN 'Commercial' WHEN 'net' THEN 'Network' ELSE domain END AS label
 FROM (SELECT url, regexp_extract(url, 'example\.(\w+)/', 1) AS domain FROM pages) GROUP BY domain""",
-    "domain_gaps": "SELECT o_orderpriority AS domain, count(*) AS docs, o_orderpriority < '4' AS has_questions FROM orders GROUP BY ALL",
+    "domain_gaps": "SELECT s_nationkey::VARCHAR AS domain, count(*) AS docs, s_nationkey IN (SELECT c_nationkey FROM customer) AS has_questions FROM supplier GROUP BY s_nationkey",
     "axis_headroom": """
 SELECT event_type, CASE WHEN max(value) <= 100 THEN least(100, max(value) * 1.28::DOUBLE + 10) ELSE max(value) * 1.18::DOUBLE + greatest(max(value) * 0.05::DOUBLE, 50) END AS top,
   CASE WHEN max(value) * 1000 <= 100 THEN least(100, max(value) * 1000 * 1.28::DOUBLE + 10) ELSE max(value) * 1000 * 1.18::DOUBLE + greatest(max(value) * 1000 * 0.05::DOUBLE, 50) END AS far,
