@@ -223,13 +223,13 @@ def hot_lookup(left: DataFrame, right: DataFrame, key: str, rows: int, how: str
 
 
 #: Bits of the table that tells rows which surely have no partner, and of one of its pieces (4 KB each).
-PARTNER_BITS, PIECE_BITS = 27, 15
+PARTNER_BITS, PIECE_BITS = 26, 15
 
 
 def with_partner(df: DataFrame, hashed: str, partners: DataFrame, column: str = "_met") -> DataFrame:
     """``df`` and whether its 64-bit hash may be among the ``partners`` (one column): false means that it surely isn't.
 
-    A table of 2^27 bits by the hash's lower part, 16 MB whatever the size of the input, is broadcast in pieces. Rows that can
+    A table of 2^26 bits by the hash's lower part, 8 MB whatever the size of the input, is broadcast in pieces. Rows that can
     only be without a partner so need no shuffle; the more partners there are, the more others go through it in vain.
     """
     slot = lambda c: c.bitwiseAND((1 << PARTNER_BITS) - 1)

@@ -143,9 +143,9 @@ def near_duplicates(df: DataFrame, words: int = 3, seed: int = 42, text: str = "
 #: Bits of a shingle's hash; the eight above them hold its rank in the order of the index.
 HASH = 56
 #: Shingles are counted in this many slots (as a power of two), cut into parts of which each is one file.
-SLOTS, PARTS = 24, 16
+SLOTS, PARTS = 23, 16
 #: Upper bits of a node in the table of nodes that have a pair.
-NODES = 27
+NODES = 26
 #: Bits of an entry of the index; what is above them chooses its shard.
 ENTRY = 40
 #: Index entries that so many texts share at most are compared pair by pair at once.
@@ -385,7 +385,7 @@ def similar_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, text:
     @tidied
     def entries(batches):
         order = np.concatenate([map_array(f"{ranks}/{p}", np.uint8) for p in range(PARTS)])
-        for batch in (whole.slice(a, b - a) for whole in batches for a, b in slices(whole.column(1), 8 << 20)):
+        for batch in (whole.slice(a, b - a) for whole in batches for a, b in slices(whole.column(1), 4 << 20)):
             node, once = np.unique(np.asarray(batch.column(0)), return_index=True)
             row, h, n = shingle_sets(batch.column(1).take(pa.array(once)), words, order)
             at = np.arange(len(row)) - (np.cumsum(n) - n)[row]
