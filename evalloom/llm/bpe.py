@@ -16,6 +16,8 @@ from .token_counts import _bytes_of_letters
 
 #: Length of the rolling hash's window in bytes (a power of two), and mean length of a chunk.
 WINDOW, MEAN_CHUNK = 32, 1024
+#: Bytes that are hashed at a time.
+PIECE = 4 << 20
 #: Chunks' ids that a worker keeps, in bytes.
 CACHE_BYTES = 32 << 20
 #: Fixed value: the splitting pattern of byte-level vocabularies, the same in both libraries.
@@ -44,14 +46,20 @@ def chunk_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
     A cut inside a character moves to its end. Equal passages are cut alike from one window after their beginning on.
     """
-    h = _GEAR[data]
-    step = 1
-    while step < WINDOW:
-        if len(h) > step:
-            older = h[:-step].copy()
-            h[step:] += older << np.uint64(step)
-        step *= 2
-    cuts = np.flatnonzero((h & _MASK) == _MASK) + 1
+    found = [np.zeros(0, np.int64)]
+    # a piece at a time, with the window that reaches into it, so the hashes of a very long text take no more room
+    for lo in range(0, len(data), PIECE):
+        first = max(0, lo - WINDOW + 1)
+        h = _GEAR[data[first : lo + PIECE]]
+        step = 1
+        while step < WINDOW:
+            if len(h) > step:
+                older = h[:-step].copy()
+                h[step:] += older << np.uint64(step)
+            step *= 2
+        at = np.flatnonzero((h & _MASK) == _MASK) + first
+        found.append(at[at >= lo] + 1)
+    cuts = np.concatenate(found)
     # a window that reaches into the text before is no cut
     cuts = cuts[cuts - offsets[np.searchsorted(offsets, cuts, side="left") - 1] >= WINDOW]
     for _ in range(3):

@@ -58,7 +58,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote and that nothing still to be run reads."""
+    for t in tables:
+        if path := t.__dict__.get("_written"):
+            remove(t.sparkSession, path)
 
 
 def tidied(run):

@@ -89,7 +89,7 @@ _VOWELS = {name: sum(c in "aeiouAEIOU" for c in a) / len(a) for name, a in ALPHA
 
 
 def encoding(s: str) -> str | None:
-    """The narrowest encoding of a string without its padding; None for plain words: letters of one case, or no digit."""
+    """The narrowest encoding of a string without its padding; None for what lacks a digit or a letter, as words and numbers do."""
     core = s.rstrip("=")
     if not any(c in "0123456789" for c in core) or not any(c.isalpha() for c in core):
         return None
@@ -212,7 +212,8 @@ _SCANNED = "n_assign bigint, n_access bigint, n_hex bigint, base string, found a
 
 
 def scanned(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One pass over the whole texts: base spans, and the candidates with their groups and binned p-values."""
+    """One pass over the whole texts: base spans, and the candidates (strings of ``BANDS[0]`` characters or more that hold digits
+    and letters) with their groups and binned p-values. Null and empty texts have neither; rows without a key stay."""
 
     @tidied
     def run(batches):

@@ -8,9 +8,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LOWER, differences, flat, hot_lookup, map_array, materialize, mix, pack, shared_dir, slices, tidied, unpack, word_bounds, word_hashes, write_bytes
+from .common import _LOWER, differences, discard, flat, hot_lookup, map_array, materialize, mix, pack, remove, shared_dir, slices, tidied, unpack, word_bounds, word_hashes, write_bytes
 from .components import components
 
+#: Texts of more bytes are hashed in blocks of so many words.
+LONG_TEXT, BLOCK_WORDS = 4 << 20, 1 << 18
 #: Index buckets up to this size are compared pair by pair; larger ones are refined until all members of a group agree.
 SMALL_BUCKET = 32
 #: byte -> its bits, one in each byte of a 64-bit integer
@@ -48,24 +50,37 @@ def majority(hashes: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 
 def exact_fingerprints(texts: pa.Array, words: int, seed: int) -> np.ndarray:
-    """SimHash over XXH64 of the space-joined shingles of lower-cased (A-Z) words, repeats included."""
+    """SimHash over XXH64 of the space-joined shingles of lower-cased (A-Z) words, repeats included. A text over ``LONG_TEXT``
+    bytes is taken in blocks of words, which add to its counts of bits."""
     out = [np.zeros(0, np.uint64)]
-    digest = xxhash.xxh64_intdigest
     for a, b in slices(texts):
         data, offsets = flat(texts.slice(a, b - a))
         starts, ends, first = word_bounds(data, offsets)
-        size = ends - starts
-        to = np.concatenate([[0], np.cumsum(size + 1)])
-        joined = np.full(to[-1], 32, np.uint8)
-        within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        joined[np.repeat(to[:-1], size) + within] = _LOWER[data[np.repeat(starts, size) + within]]
-        raw = joined.tobytes()
-        lo, hi, count = shingle_spans(starts, ends, first, words)
-        hashes = np.array([digest(raw[i:j], seed) for i, j in zip(to[lo].tolist(), (to[hi] + size[hi]).tolist())], np.uint64)
-        out.append(majority(hashes, count))
+        if b - a == 1 and len(data) > LONG_TEXT and len(starts) >= words:
+            ones, n = np.zeros(64, np.int64), len(starts) - words + 1
+            for i in range(0, n, BLOCK_WORDS):
+                j = min(i + BLOCK_WORDS, n) + words - 1
+                hashes, _ = _hashed(data, starts[i:j], ends[i:j], np.array([0, j - i]), words, seed)
+                ones += np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            out.append(np.packbits(2 * ones > n, bitorder="little").view("<u8").astype(np.uint64))
+        else:
+            out.append(majority(*_hashed(data, starts, ends, first, words, seed)))
     return np.concatenate(out)
 
 
+def _hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, words: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all shingles, and how many each text has."""
+    digest = xxhash.xxh64_intdigest
+    size = ends - starts
+    to = np.concatenate([[0], np.cumsum(size + 1)])
+    joined = np.full(to[-1], 32, np.uint8)
+    within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    joined[np.repeat(to[:-1], size) + within] = _LOWER[data[np.repeat(starts, size) + within]]
+    raw = joined.tobytes()
+    lo, hi, count = shingle_spans(starts, ends, first, words)
+    return np.array([digest(raw[i:j], seed) for i, j in zip(to[lo].tolist(), (to[hi] + size[hi]).tolist())], np.uint64), count
+
+
 def fingerprints(df: DataFrame, words: int = 3, seed: int = 42, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``key, fp`` (a signed 64-bit integer) of every row; null, empty and blank texts have 0. One narrow pass, whole texts."""
 
@@ -358,7 +373,10 @@ def similar_pairs(pairs: DataFrame, rows: DataFrame, words: int, similarity: flo
     known = materialize(rows.select("_node", "_text").mapInArrow(sets, "node bigint, set binary").dropDuplicates(["node"]), "sets")
     side = lambda x: known.select(F.col("node").alias(x), F.col("set").alias(f"s_{x}"))
     joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "s_a", "s_b")
-    return joined.mapInArrow(verify, "a bigint, b bigint")
+    out = materialize(joined.mapInArrow(verify, "a bigint, b bigint"), "similar")
+    discard(known)
+    remove(rows.sparkSession, folder)
+    return out
 
 
 def similar_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -426,17 +444,25 @@ def similar_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, text:
         pair = _last_pairs(row[order], table.column("root").to_numpy()[order], similarity)
         return pa.table({"a": pa.array(pair[:, 0].copy(), pa.int64()), "b": pa.array(pair[:, 1].copy(), pa.int64())})
 
+    def linked(pairs: DataFrame, before: DataFrame | None = None) -> DataFrame:
+        """Groups by those of the pairs that are similar, and by the groups that there are."""
+        similar = similar_pairs(pairs, rows_in, words, similarity)
+        edges = similar if before is None else similar.unionByName(before.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        out = materialize(components(edges), "groups")
+        discard(pairs, similar, *([] if before is None else [before]))
+        return out
+
     packed = rows_in.select("_node", "_text").mapInArrow(entries, "shard bigint, rows binary")
     met = materialize(packed.groupBy("shard").applyInArrow(match, "shard bigint, a bigint, b bigint, rest binary"), "met")
-    edges = materialize(similar_pairs(materialize(met.where("a IS NOT NULL").select("a", "b").distinct(), "pairs"), rows_in, words, similarity), "similar")
-    groups = materialize(components(edges), "groups")
+    groups = linked(materialize(met.where("a IS NOT NULL").select("a", "b").distinct(), "pairs"))
     rest = met.where("rest IS NOT NULL").select("shard", "rest")
     if rest.head(1):
         left = rest.mapInArrow(spread, "shard bigint, entry bigint, id bigint, at int, n int")
         left = left.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
         more = materialize(left.groupBy("shard").applyInArrow(rest_pairs, "a bigint, b bigint").distinct(), "pairs")
-        if more.head(1):
-            groups = materialize(components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(similar_pairs(more, rows_in, words, similarity))), "groups")
+        groups = linked(more, groups) if more.head(1) else groups
+    discard(met)
+    remove(df.sparkSession, ranks)
     each = found.groupBy("_node").agg(F.min("_id").alias("least"), F.count("*").alias("n_rows"))
     each = materialize(each.join(groups.withColumnRenamed("node", "_node"), "_node", "left").withColumn("component", F.coalesce("root", "_node")).drop("root"), "nodes")
     names = materialize(each.groupBy("component").agg(F.min("least").alias("root"), F.count("*").alias("n_rows")), "names")

@@ -110,10 +110,10 @@ def test_token_counts(spark):
             at, n = at + size, n + 1
         return n
 
+    known: dict = {}
     for i, t in enumerate(TEXTS):
-        each = [greedy(w.encode()) for w in WORD.findall(t or "")] if t is not LONG else None
-        if each is not None:
-            assert (out[i]["n_words"], out[i]["n_tokens"], out[i]["n_unknown"]) == (len(each), sum(max(1, n) for n in each), each.count(0))
+        each = [known[w] if w in known else known.setdefault(w, greedy(w.encode())) for w in WORD.findall(t or "")]
+        assert (out[i]["n_words"], out[i]["n_tokens"], out[i]["n_unknown"]) == (len(each), sum(max(1, n) for n in each), each.count(0))
     assert token_counts.token_counts(table(spark, []), vocabulary()).count() == 0
 
 
@@ -442,7 +442,7 @@ def group(values, linked):
 
 
 def test_simhash(spark):
-    texts = [t for t in TEXTS if t is not LONG] + ["x " * 600]
+    texts = [*TEXTS, "x " * 600]
     out = {r["doc_id"]: r for r in simhash.near_duplicates(table(spark, texts)).collect()}
     fps = [fingerprint(t) for t in texts]
     assert [out[i]["fp"] & (2**64 - 1) for i in range(len(texts))] == fps
@@ -452,6 +452,17 @@ def test_simhash(spark):
     assert simhash.near_duplicates(table(spark, [])).count() == 0
 
 
+def test_very_long_texts_go_by_blocks(monkeypatch):
+    long = "É " + LONG + " end\u3000x\t" + LONG[:999]
+    whole = simhash.exact_fingerprints(pa.array([long, "a b", None]), 3, 42)
+    cuts = bpe.chunk_starts(*common.flat(pa.array(["pre fix", long, ""])))
+    monkeypatch.setattr(simhash, "BLOCK_WORDS", 1000)
+    monkeypatch.setattr(simhash, "LONG_TEXT", 10_000)
+    monkeypatch.setattr(bpe, "PIECE", 7777)
+    assert simhash.exact_fingerprints(pa.array([long, "a b", None]), 3, 42).tolist() == whole.tolist() == [fingerprint(t) for t in (long, "a b", None)]
+    assert bpe.chunk_starts(*common.flat(pa.array(["pre fix", long, ""]))).tolist() == cuts.tolist()
+
+
 @pytest.mark.parametrize("bucket", [1, 32])
 def test_links_lose_none(spark, monkeypatch, bucket):
     monkeypatch.setattr(simhash, "SMALL_BUCKET", bucket)
