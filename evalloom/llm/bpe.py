@@ -65,7 +65,9 @@ def chunk_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     for _ in range(3):
         cuts = cuts[cuts < len(data)]
         cuts = np.where((data[cuts] & 0xC0) == 0x80, cuts + 1, cuts) if len(cuts) else cuts
-    return np.unique(np.concatenate([offsets[:-1], cuts[cuts < len(data)]]))
+    # empty texts at the end begin where no byte is
+    begins = offsets[:-1]
+    return np.unique(np.concatenate([begins[begins < len(data)], cuts[cuts < len(data)]]))
 
 
 def _in_merge_order(model: dict, letters: dict[str, int]) -> bool:
@@ -123,6 +125,8 @@ class Codec:
     def plain(self, raw: bytes) -> np.ndarray:
         """Ids of a piece without special tokens. Letters below U+0250, of which all versions of Unicode think alike, go
         through the faster of the two libraries; both have the same merges."""
+        if not raw:
+            return np.zeros(0, np.uint32)
         self.encoded_bytes += len(raw)
         if self.fast is not None and max(raw) < 0xC9:
             return self.fast.encode_to_numpy(raw.decode(), disallowed_special=()).astype(np.uint32)

@@ -135,6 +135,26 @@ def test_bpe_is_the_librarys(spark):
     assert bpe.bpe_round_trip(table(spark, []), vocabulary()).count() == 0
 
 
+@pytest.mark.parametrize("rows", [1, 2, 1 << 16])
+def test_bpe_with_empty_texts_in_any_place(monkeypatch, rows):
+    """Null and empty texts first, last, alone, in a row and beside special tokens, in slices of one row, of two and of all."""
+    from tokenizers import Tokenizer
+
+    t, c, cut = Tokenizer.from_file(vocabulary()), bpe.Codec(vocabulary()), common.slices
+    monkeypatch.setattr(bpe, "slices", lambda texts: cut(texts, rows=rows))
+    for n in range(1, 5):
+        for texts in itertools.product([None, "", "abc dé", "<|endoftext|>"], repeat=n):
+            got = c.encode(pa.array(texts, pa.string()))
+            assert [i.tolist() for i in got] == [t.encode(x or "", add_special_tokens=False).ids for x in texts], texts
+    assert [i.tolist() for i in c.encode(pa.array([LONG, ""]))] == [t.encode(LONG, add_special_tokens=False).ids, []]
+
+
+def test_bpe_round_trip_of_tables_that_end_in_nothing(spark):
+    for texts in (["abc", ""], ["abc", None], ["", "abc", None, ""], [None], [""]):
+        out = bpe.bpe_round_trip(table(spark, texts).coalesce(1), vocabulary()).collect()
+        assert sorted(r["decoded_sha256"] for r in out) == sorted(hashlib.sha256((x or "").encode()).hexdigest() for x in texts)
+
+
 def test_bpe_reuses_chunks():
     c = bpe.Codec(vocabulary())
     c.encode(pa.array([LONG]))
