@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, minhash, ngram_lm, secrets, simhash, token_counts, toxicity, url_filter, warc_zip
+from . import bpe, decontaminate, feistel, minhash, ngram_lm, periodic, secrets, simhash, token_counts, toxicity, turns, url_filter, warc_zip
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -75,6 +75,28 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_scan(table(spark, sf_dir, "documents"))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feistel.shuffled(table(spark, sf_dir, "documents"))
+
+
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = turns.repaired(turns.damaged(table(spark, sf_dir, "conversations")), present="present")
+    lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit(":"), t["text"])), "\n")
+    return out.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", F.sha2(lines.cast("binary"), 256).alias("repaired_sha256"))
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", periodic.planted(F.col("text"), F.col("doc_id")).alias("text"))
+    found = periodic.periodic_runs(docs, keep=["doc_id"]).withColumn("best", periodic.greatest(F.col("runs")))
+    best = F.col("best")
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))), "")
+    return found.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.call_function("div", best["length"] * 1000, best["period"]).alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_lm_scoring": op2_lm_scoring,
@@ -86,4 +108,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_token_counts": op9_token_counts,
     "op10_secrets": op10_secrets,
+    "op11_sharding": op11_sharding,
+    "op12_conversations": op12_conversations,
+    "op13_runs": op13_runs,
 }
