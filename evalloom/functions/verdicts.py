@@ -66,6 +66,13 @@ def grade(c: Column) -> Column:
     return F.when(low.isin(*GRADES), low).otherwise("not_at_all")
 
 
+def parse_grade(raw: Column) -> Column:
+    """A struct of ``establishes`` (one of the grades) and ``reasoning`` from a reply of the judge of citations; null without a JSON
+    object, and what it doesn't tell is the least grade and no reasoning."""
+    said = lambda v, f: F.coalesce(F.try_variant_get(v, f"$.{f}", "string"), F.lit(""))
+    return _with(parse_object(raw), lambda v: F.when(v.isNotNull(), F.struct(grade(said(v, "establishes")).alias("establishes"), said(v, "reasoning").alias("reasoning"))))
+
+
 def in_range(confidence: Column) -> Column:
     """F16."""
     return confidence.isNull() | confidence.between(0.0, 1.0)

@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.conditions import grade_of_score
-from ..functions.text import MAX_CHARS, normalise_path, strip, suffix
+from ..functions.text import MAX_CHARS, fill, normalise_path, shown_answer, source_blocks, strip, suffix
 from ..functions.verdicts import grade
 from ..sources.constants import ESTABLISHES, lookup
+from ..sources.workspace import written
+from .relational import narrowed
 
 #: Pages of a file that stand for the whole of it.
 FIRST_PAGES = 5
@@ -43,13 +45,17 @@ def resolve(citations: DataFrame, pages: DataFrame) -> DataFrame:
 
     A text file is one row without a page and ignores the cited page; a PDF has pages from 1 on, and without a page its first
     ones are taken. Errors, in this order: missing path, not found, empty text file, unreadable PDF (one row without page),
-    PDF without pages (one row with page 0), page out of range, empty page, unsupported type. The page table is joined by file
-    and page, not collected.
+    PDF without pages (one row with page 0), page out of range, empty page, unsupported type. The page table is read once
+    and narrowed to the files that are cited, without a shuffle; what is left is a table, joined by file and page, not collected.
     """
-    files = pages.groupBy("file").agg(F.max("page").alias("last"), F.max(F.when(F.col("page").isNull(), F.col("text"))).alias("whole"))
-    heads = first_pages(pages.where("page > 0")).select("file", F.col("text").alias("head"))
-    single = pages.where("page IS NOT NULL").select(F.col("file").alias("_file"), F.col("page").alias("_page"), F.col("text").alias("one"))
     c = citations.withColumn("file", F.coalesce(normalise_path(F.coalesce("raw_file", F.lit(""))), F.lit("")))
+    # one pass over the page table, in which only what is cited is kept; all else is done on that
+    pages = written(narrowed(pages.select("file", "page", "text"), "file", c.where("file <> ''").select("file").distinct()), "cited")
+    files = pages.groupBy("file").agg(F.max("page").alias("last"), F.max(F.when(F.col("page").isNull(), F.col("text"))).alias("whole"))
+    unpaged = c.where(F.col("page").isNull() & (suffix(F.col("file")) == ".pdf")).select("file").distinct()
+    heads = first_pages(pages.where("page > 0").join(unpaged, "file", "left_semi")).select("file", F.col("text").alias("head"))
+    single = pages.where("page IS NOT NULL")
+    single = single.select(F.col("file").alias("_file"), F.col("page").alias("_page"), F.col("text").alias("one"))
     c = c.join(files.withColumn("known", F.lit(True)), "file", "left").join(heads, "file", "left")
     c = c.join(single, (F.col("file") == F.col("_file")) & (F.col("page") == F.col("_page")), "left")
     end = suffix(F.col("file"))
@@ -104,6 +110,17 @@ def score(answers: DataFrame, resolved: DataFrame, verdicts: DataFrame | None =
     )
 
 
+def judge_requests(answers: DataFrame, resolved: DataFrame, template: str, **values: Column) -> DataFrame:
+    """``id`` (and ``run_label``) and the ``prompt`` for each answer that the judge of citations is asked about: those
+    with citations, all of which resolve. ``template`` has places for ``{answer}``, ``{sources}`` and the names of ``values``, columns of
+    ``answers``. One row of the result holds what one answer cites."""
+    keys = [c for c in ("run_label", "id") if c in answers.columns]
+    shown = F.array_sort(F.collect_list(F.struct("cite_pos", F.struct("file", "page", "text").alias("s"))))
+    valid = resolved.groupBy(*keys).agg(F.bool_and("ok").alias("_ok"), shown.alias("_s")).where("_ok")
+    blocks = source_blocks(F.transform("_s", lambda x: x["s"]))
+    return answers.join(valid, keys).select(*keys, fill(template, answer=shown_answer(F.col("answer")), sources=blocks, **values).alias("prompt"))
+
+
 def options(questions: DataFrame, sources: str = "ground_truth_sources") -> DataFrame:
     """A row for each option of each group of expected sources."""
     groups = questions.select("id", F.posexplode(sources).alias("group_pos", "g"))
@@ -118,16 +135,25 @@ def matches(option: Column, citation: Column) -> Column:
 def legacy_score(df: DataFrame, groups: str = "ground_truth_sources", citations: str = "citations") -> DataFrame:
     """The share of groups of which any option matches any citation; 1.0 without groups. ``legacy_invalid`` counts missed
     groups; ``legacy_details`` says for each group which option's file was met first, or what was expected. Both lists belong to
-    one row and are short, so this is an expression and no join."""
-    cites = F.coalesce(citations, F.array())
-    first_met = lambda g: F.filter(g["any_of"], lambda o: F.exists(cites, lambda c: matches(o, c)))
-    met = F.transform(groups, lambda g: F.try_element_at(first_met(g), F.lit(1))["file"])
-    hits, total = F.size(F.filter(met, F.isnotnull)), F.coalesce(F.size(groups), F.lit(0))
-    wanted = lambda g: F.concat(F.lit("["), F.array_join(F.transform(g["any_of"], lambda o: F.concat(F.lit("'"), normalise_path(o["file"]), F.lit("'"))), ", "), F.lit("]"))
+    one row and are short, so this is an expression and no join. Paths are normalised once each, and what was met is worked out
+    once for all results: a generator of one row keeps the optimizer from writing it out for each of them."""
+    named = lambda x: F.struct(x["file"].alias("raw"), normalise_path(x["file"]).alias("file"), x["page"].alias("page"))
+    given = F.struct(F.transform(F.coalesce(groups, F.array()), lambda g: F.transform(g["any_of"], named)).alias("groups"), F.transform(F.coalesce(citations, F.array()), named).alias("cites"))
+    same = lambda o, c: (o["file"] == c["file"]) & (o["page"].isNull() | F.coalesce(o["page"] == c["page"], F.lit(False)))
+    first_met = lambda g, cites: F.filter(g, lambda o: F.exists(cites, lambda c: same(o, c)))
+    met = lambda b: F.transform(b["groups"], lambda g: F.struct(F.try_element_at(first_met(g, b["cites"]), F.lit(1))["raw"].alias("m"), g.alias("g")))
+    wanted = lambda g: F.concat(F.lit("["), F.array_join(F.transform(g, lambda o: F.concat(F.lit("'"), o["file"], F.lit("'"))), ", "), F.lit("]"))
     said = lambda z, i: F.concat(F.lit("group "), (i + 1).cast("string"), F.coalesce(F.concat(F.lit(": reference hit ("), z["m"], F.lit(")")), F.concat(F.lit(": reference miss (expected one of "), wanted(z["g"]), F.lit(")"))))
-    told = F.when(total == 0, F.array(F.lit("no reference sources listed"))).otherwise(F.transform(F.arrays_zip(met.alias("m"), F.col(groups).alias("g")), said))
-    score_ = F.when(total == 0, 1.0).otherwise(hits.cast("double") / total)
-    return df.withColumns({"legacy_score": score_, "legacy_establishes": grade_of_score(score_), "legacy_resolved": F.when(total == 0, 0).otherwise(hits), "legacy_total": total, "legacy_invalid": F.when(total == 0, 0).otherwise(total - hits), "legacy_details": told})
+
+    def results(m: Column) -> Column:
+        hits, total = F.size(F.filter(m, lambda z: z["m"].isNotNull())), F.size(m)
+        score_ = F.when(total == 0, 1.0).otherwise(hits.cast("double") / total)
+        told = F.when(total == 0, F.array(F.lit("no reference sources listed"))).otherwise(F.transform(m, said))
+        return F.struct(score_.alias("legacy_score"), grade_of_score(score_).alias("legacy_establishes"), hits.alias("legacy_resolved"), total.alias("legacy_total"), (total - hits).alias("legacy_invalid"), told.alias("legacy_details"))
+
+    bound = F.transform(F.transform(F.array(given), met), results)
+    kept = [F.col(f"`{c}`") for c in df.columns if not c.startswith("legacy_")]
+    return df.select(*kept, F.inline(bound))
 
 
 def groups_satisfied(wanted: DataFrame, given: DataFrame, keys: list[str], group: str, on: Column) -> DataFrame:

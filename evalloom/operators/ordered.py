@@ -5,18 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.workspace import folder
+from ..sources.workspace import written
 
 #: Levels of interval lengths that a join keeps apart at most; lengths are powers of two of the least bin.
 LEVELS = 64
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    path = folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def asof_join(left: DataFrame, right: DataFrame, key: str, time: str, right_time: str, values: list[str], tie: str, found: str = "found") -> DataFrame:
     """All rows of ``left`` and, in the struct ``found``, time and ``values`` of the last row of ``right`` with the same ``key`` at or
     before ``time``; null if there is none, or if key or time is null.
@@ -32,10 +26,10 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, time: str, right_time
     both = once.select("k", "t", F.lit(0).alias("side"), F.lit(None).cast(rows.schema["row"].dataType).alias("row"), "v")
     both = both.unionByName(rows.select("k", "t", F.lit(1).alias("side"), "row", F.lit(None).cast(once.schema["v"].dataType).alias("v")))
     # places are written before ranges are cut by them, so a repeated task deals its rows alike
-    placed = _written(both.withColumn("place", F.monotonically_increasing_id()), "asof")
+    placed = written(both.withColumn("place", F.monotonically_increasing_id()), "asof")
     order = [F.asc_nulls_first("k"), F.asc_nulls_first("t"), F.asc("side"), F.asc("place")]
     ranges = placed.repartitionByRange(*order).sortWithinPartitions(*order)
-    ranges = _written(ranges.withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id()}).drop("place"), "asof-ranges")
+    ranges = written(ranges.withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id()}).drop("place"), "asof-ranges")
     ends = ranges.where("side = 0").groupBy("part").agg(F.max_by(F.struct("k", "v"), "at").alias("end"))
     # a range without right rows passes on what the one before it had
     parts = ranges.select("part").distinct().join(ends, "part", "left")

@@ -41,6 +41,30 @@ def present(left: DataFrame, right: DataFrame, keys: list[str] | str) -> DataFra
     return left.join(right, keys, "left_semi")
 
 
+#: Keys that are broadcast as they are; more go into a table of bits first.
+BROADCAST_KEYS = 100_000
+#: Bits of that table, and of one of its pieces (4 KB each): 8 MB, however many keys there are.
+KEY_BITS, PIECE_BITS = 26, 15
+
+
+def narrowed(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose key is among ``keys`` (one column, distinct), without a shuffle of the others.
+
+    Few keys are broadcast. Of more, a table of bits is: rows whose bit isn't set surely have no key there, and only what is left
+    goes through the shuffled join. Rows without a key match nothing.
+    """
+    keys = keys.select(F.col(keys.columns[0]).alias(key))
+    if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+        return df.join(F.broadcast(keys), key, "left_semi")
+    slot = lambda: F.xxhash64(key).bitwiseAND((1 << KEY_BITS) - 1)
+    piece, place = F.shiftright(slot(), PIECE_BITS), slot().bitwiseAND((1 << PIECE_BITS) - 1)
+    bits = keys.where(F.col(key).isNotNull()).groupBy(piece.alias("_piece")).agg(F.bitmap_construct_agg(place).alias("_bits"))
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.shiftright(place, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.call_function("shiftright", byte, place.bitwiseAND(7).cast("int")).bitwiseAND(1) == 1
+    maybe = df.withColumn("_piece", piece).join(F.broadcast(bits), "_piece").where(bit).select(*df.columns)
+    return maybe.join(keys, key, "left_semi")
+
+
 def flagged(left: DataFrame, right: DataFrame, key: str, flag: str) -> DataFrame:
     """All rows of ``left`` and whether ``right`` has their key."""
     keys = right.select(key).distinct().withColumn("_hit", F.lit(True))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.constants import lookup
+
 from ..functions.text import with_sources
 from ..sources.constants import PAGE_WORD, SOURCES_HEADING
 
@@ -70,3 +72,20 @@ def model_name(model: str, provider: str) -> str:
 def endpoint(base: str, path: str) -> str:
     """C23."""
     return f"{base.rstrip('/')}/{path.lstrip('/')}"
+
+
+def spec_columns(preset: Column, prompts: dict[str, str], examples: dict[str, str], shots: dict[str, int]) -> dict[str, Column]:
+    """As ``prompt_specs`` for presets in a column; unknown ones have no prompt and no examples."""
+    none = F.lit(None).cast("string")
+    count = F.lit(2) + 2 * F.coalesce(lookup(preset, shots, F.lit(0)), F.lit(0)) if shots else F.lit(2)
+    return {"prompt": lookup(preset, prompts, none), "examples_file": lookup(preset, examples, none), "message_count": count.cast("bigint")}
+
+
+def model_column(model: Column, provider: str) -> Column:
+    """C19, for a column."""
+    return F.when(F.startswith(model, F.lit(f"{provider}/")), model).otherwise(F.concat(F.lit(f"{provider}/"), model))
+
+
+def endpoint_column(base: Column, path: str) -> Column:
+    """C23, for a column."""
+    return F.concat(F.rtrim(base, F.lit("/")), F.lit("/" + path.lstrip("/")))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..functions.verdicts import parse_verdict
+from ..functions.verdicts import parse_grade, parse_verdict
 
 
 def with_stored(df: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
@@ -33,6 +33,11 @@ def judged(rows: DataFrame, raw: str = "raw") -> DataFrame:
     return rows.withColumn("_v", parse_verdict(F.col(raw))).select("*", "_v.*").drop("_v")
 
 
+def graded(rows: DataFrame, raw: str = "raw") -> DataFrame:
+    """Grade and reasoning from raw replies of the judge of citations."""
+    return rows.withColumn("_v", parse_grade(F.col(raw))).select("*", "_v.*").drop("_v")
+
+
 def pdf_pages(spark, folder: str, extract: Callable[[bytes], list[str]], names: str = "*.pdf") -> DataFrame:
     """A page table from PDF files, by an injected parser ``bytes -> texts of the pages``; an unreadable file has one row
     without page and text, one that has no pages a row with page 0."""

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas
-from ..functions.text import strip
+from ..functions.text import base_name, strip, suffix
 from ..operators.relational import last_wins
 
 
@@ -65,6 +65,20 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return parsed.withColumn("id", F.coalesce("id", F.raise_error(told).cast("string")))
 
 
+def read_ordered_log(spark: SparkSession, path: str) -> DataFrame:
+    """As ``read_records`` for logs of any size, in any number of files: files are cut into splits that many tasks read.
+
+    ``place`` is a struct of file, first byte of the split, and line, in the order of the lines: a split is read from its first
+    line to its last by one task, and splits of a file follow each other. So ``last_wins(log, "id", "place")`` is what
+    ``read_answers`` gives, with nothing read in one piece. Lines end at a line feed only, wherever a split is cut.
+    """
+    raw = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    lines = raw.withColumn("place", F.struct("file", "start", F.monotonically_increasing_id().alias("line"))).where(strip(F.col("value")) != "")
+    told = F.concat(F.lit("no id in "), F.col("place.file"), F.lit(": "), F.col("value"))
+    parsed = lines.select("place", F.from_json("value", schemas.ANSWERS, _STRICT).alias("r"), told.alias("told")).select("r.*", "place", "told")
+    return parsed.withColumn("id", F.coalesce("id", F.raise_error(F.col("told")).cast("string"))).drop("told")
+
+
 def read_answer_log(spark: SparkSession, path: str) -> DataFrame:
     """Answers of any size in split files, without the order of lines: the form for large logs. Broken lines stop the query."""
     return spark.read.schema(schemas.ANSWERS).json(path, mode="FAILFAST")
@@ -95,6 +109,13 @@ def read_report(spark: SparkSession, path: str | None) -> DataFrame:
     return last_wins(rows, "id", "pos").drop("pos")
 
 
+def read_report_parts(spark: SparkSession, path: str) -> DataFrame:
+    """``results`` of a report that ``sinks.write_report`` wrote, from its lines: no part of it has to fit one task."""
+    line = F.regexp_replace("value", "^,", "")
+    rows = spark.read.option("lineSep", "\n").text(path).where("NOT endswith(value, '[') AND value <> ']}'")
+    return rows.select(F.from_json(line, schemas.RESULTS, _STRICT).alias("r")).select("r.*")
+
+
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """An object of path -> URL as rows ``rel, url``."""
     raw = spark.read.text(path, wholetext=True)
@@ -140,3 +161,12 @@ def labelled(raw: str) -> tuple[str, str]:
     """``Label|path``; without a bar the label is the file's stem."""
     label, bar, path = raw.partition("|")
     return (label.strip(), path) if bar else (os.path.splitext(os.path.basename(raw))[0], raw)
+
+
+def label_columns(spec: Column) -> tuple[Column, Column]:
+    """S18, C21, for a column: label and path."""
+    at = F.instr(spec, "|")
+    name = base_name(spec)
+    stem = F.substring(name, F.lit(1), F.length(name) - F.length(suffix(spec)))
+    label = F.when(at > 0, strip(F.substring(spec, F.lit(1), at - 1))).otherwise(stem)
+    return label, F.when(at > 0, F.substring(spec, at + 1, F.length(spec))).otherwise(spec)

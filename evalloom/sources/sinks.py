@@ -31,6 +31,23 @@ def report_json(summary: DataFrame, results: DataFrame | None = None, by: dict[s
     return json.dumps(out, ensure_ascii=False, indent=2)
 
 
+def write_report(path: str, summary: DataFrame, results: DataFrame, by: dict[str, DataFrame] | None = None, run_label: str = "", order: str = "pos") -> None:
+    """The same report as a folder of text files: one after the other, in the order of their names, they are its JSON.
+
+    Only totals and groups go through the driver. Each result is a line, written by the task that has it, in the order of
+    ``order`` (then of the line), which isn't written; nulls are.
+    """
+    spark = results.sparkSession
+    head = json.loads(report_json(summary, None, by, run_label))
+    begin, end = json.dumps(head, ensure_ascii=False)[:-1] + ', "results": [', "]}"
+    lines = results.select(F.lit(1).alias("part"), F.struct(order, F.to_json(F.struct(*[c for c in results.columns if c != order]), {"ignoreNullFields": "false"}).alias("line")).alias("at"))
+    first = lines.agg(F.min("at").alias("first"))
+    lines = lines.crossJoin(F.broadcast(first)).select("part", "at", F.concat(F.when(F.col("at") == F.col("first"), "").otherwise(","), F.col("at.line")).alias("value"))
+    ends = spark.createDataFrame([(0, begin), (2, end)], "part int, value string").select("part", F.lit(None).cast(lines.schema["at"].dataType).alias("at"), "value")
+    whole = lines.unionByName(ends)
+    whole.repartitionByRange("part", "at").sortWithinPartitions("part", "at").select("value").write.option("lineSep", "\n").text(path)
+
+
 def summary_text(summary: DataFrame, by_difficulty: DataFrame, run_label: str) -> str:
     """Rates in percent with one decimal, a line for each difficulty. Rounding happens here and nowhere before."""
     s = summary.first()

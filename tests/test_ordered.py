@@ -40,8 +40,8 @@ def test_asof_without_rows(spark):
 def test_a_hot_key_goes_through_many_ranges(spark, monkeypatch):
     a = spark.range(40000).selectExpr("1 AS k", "id AS t")
     b = spark.range(0, 40000, 100).selectExpr("1 AS k", "id AS rt", "id AS v")
-    seen, write = {}, ordered._written
-    monkeypatch.setattr(ordered, "_written", lambda df, name: seen.setdefault(name, write(df, name)))
+    seen, write = {}, ordered.written
+    monkeypatch.setattr(ordered, "written", lambda df, name: seen.setdefault(name, write(df, name)))
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
         out = ordered.asof_join(a, b, "k", "t", "rt", ["v"], "v")
