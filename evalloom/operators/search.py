@@ -33,15 +33,15 @@ def build_index(docs: DataFrame, key: str, text: str) -> TextIndex:
     """Index all whole texts. Null texts and those without words count as documents but are in no postings; rows that share a key are
     one document. Null keys are left out, for they name none.
 
-    Words are counted in the task that reads a text, so a term's rows in a document are one before the shuffle. A term that all
-    documents have is cut into buckets of documents, as is any other: no row and no task holds all postings of a term.
+    Texts are shuffled once, by document, and postings once, by term and bucket. A term that all documents have is cut into buckets of documents, as is any other: no row and no task holds all postings of a term.
     """
-    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("doc"), words(F.coalesce(F.col(text), F.lit(""))).alias("w"))
+    # dealt by document once: words, lengths and counts of a document are then where its text is
+    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("doc"), F.col(text).alias("text")).repartition("doc")
+    rows = rows.select("doc", words(F.coalesce(F.col("text"), F.lit(""))).alias("w"))
     sizes = rows.groupBy("doc").agg(F.sum(F.size("w")).cast("bigint").alias("len"))
     n, total = sizes.agg(F.count("*"), F.coalesce(F.sum("len"), F.lit(0))).first()
     buckets = n // BLOCK + 1
     counts = rows.select("doc", F.explode("w").alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf"))
-    # a document's words are together in the window, so its length is known without a join
     counts = counts.withColumn("len", F.sum("tf").over(Window.partitionBy("doc"))).withColumn("bucket", F.pmod(F.xxhash64("doc"), F.lit(buckets)))
     blocks = counts.groupBy("term", "bucket").agg(F.count("*").alias("n"), F.max("tf").alias("most"), F.min("len").alias("least"), F.array_sort(F.collect_list(F.struct("doc", "tf", "len"))).alias("docs"))
     blocks = written(blocks, "blocks")

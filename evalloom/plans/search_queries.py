@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..operators import search
+from ..operators import search, vectors
 
 
 def _t(spark, sf, name):
@@ -15,4 +15,10 @@ def text_search(spark, sf):
     return search.best(index, _t(spark, sf, "benchmark"), "item_id", "text").withColumnRenamed("doc", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (text_search,)}
+def vector_search(spark, sf):
+    """The ten nearest vectors to each of those whose id is divisible by 50, among all. Not exact, so it has no SQL: recall is tested."""
+    rows = _t(spark, sf, "embeddings")
+    return vectors.nearest(rows, rows.where("vec_id % 50 = 0"), "vec_id", "embedding")
+
+
+QUERIES = {f.__name__: f for f in (text_search, vector_search)}

@@ -39,7 +39,8 @@ def test_query_is_its_sql(spark, duck, name):
 
 
 def test_every_query_has_sql():
-    assert set(queries.QUERIES) == set(sql.ORACLE)
+    # an index that finds most of what is near has no SQL; its recall is tested
+    assert set(queries.QUERIES) == set(sql.ORACLE) | {"vector_search"}
 
 
 def test_entry(spark):
@@ -70,8 +71,7 @@ def test_rest_works_without_the_text_operators(tmp_path, with_pipeline):
         shutil.copy(f"{root}/corpus_pipeline.py", tmp_path)
     shutil.copytree(f"{root}/tests", f"{tmp_path}/tests", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=tmp_path, capture_output=True, text=True)
-    n = str(len(queries.QUERIES))
-    assert out.stdout.split() == [n, n], out.stderr
+    assert out.stdout.split() == [str(len(queries.QUERIES)), str(len(sql.ORACLE))], out.stderr
     tests = subprocess.run([sys.executable, "-m", "pytest", "-q", "tests/test_reference.py", "-k", "limits or paths or verdicts or outcomes"], cwd=tmp_path, capture_output=True, text=True)
     assert tests.returncode == 0, tests.stdout
 
