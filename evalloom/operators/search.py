@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.workspace import written
+from .relational import narrowed
 
 #: How fast a term's weight saturates, and how much a text's length counts.
 K1, B = 1.2, 0.75
@@ -29,9 +30,10 @@ class TextIndex:
         self.blocks, self.terms, self.documents, self.mean, self.buckets = blocks, terms, documents, mean, buckets
 
 
-def build_index(docs: DataFrame, key: str, text: str) -> TextIndex:
+def build_index(docs: DataFrame, key: str, text: str, asked: DataFrame | None = None) -> TextIndex:
     """Index all whole texts. Null texts and those without words count as documents but are in no postings; rows that share a key are
-    one document. Null keys are left out, for they name none.
+    one document. Null keys are left out, for they name none. With ``asked`` (a column of texts) only words of those texts are
+    indexed: what a known set of questions needs, at a fraction of the postings; lengths count all words.
 
     Texts are shuffled once, by document, and postings once, by term and bucket. A term that all documents have is cut into buckets of documents, as is any other: no row and no task holds all postings of a term.
     """
@@ -41,8 +43,11 @@ def build_index(docs: DataFrame, key: str, text: str) -> TextIndex:
     sizes = rows.groupBy("doc").agg(F.sum(F.size("w")).cast("bigint").alias("len"))
     n, total = sizes.agg(F.count("*"), F.coalesce(F.sum("len"), F.lit(0))).first()
     buckets = n // BLOCK + 1
-    counts = rows.select("doc", F.explode("w").alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf"))
-    counts = counts.withColumn("len", F.sum("tf").over(Window.partitionBy("doc"))).withColumn("bucket", F.pmod(F.xxhash64("doc"), F.lit(buckets)))
+    rows = rows.withColumn("len", F.sum(F.size("w")).over(Window.partitionBy("doc")))
+    said = rows.select("doc", "len", F.explode("w").alias("term"))
+    if asked is not None:
+        said = narrowed(said, "term", asked.select(F.explode(words(F.col(asked.columns[0]))).alias("term")).distinct())
+    counts = said.groupBy("doc", "term").agg(F.count("*").alias("tf"), F.max("len").alias("len")).withColumn("bucket", F.pmod(F.xxhash64("doc"), F.lit(buckets)))
     blocks = counts.groupBy("term", "bucket").agg(F.count("*").alias("n"), F.max("tf").alias("most"), F.min("len").alias("least"), F.array_sort(F.collect_list(F.struct("doc", "tf", "len"))).alias("docs"))
     blocks = written(blocks, "blocks")
     terms = written(blocks.groupBy("term").agg(F.sum("n").alias("df"), F.max("most").alias("most"), F.min("least").alias("least")), "terms")

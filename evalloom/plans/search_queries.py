@@ -11,8 +11,9 @@ def _t(spark, sf, name):
 
 def text_search(spark, sf):
     """The ten best documents for each benchmark item, over all whole texts."""
-    index = search.build_index(_t(spark, sf, "documents"), "doc_id", "text")
-    return search.best(index, _t(spark, sf, "benchmark"), "item_id", "text").withColumnRenamed("doc", "doc_id")
+    questions = _t(spark, sf, "benchmark")
+    index = search.build_index(_t(spark, sf, "documents"), "doc_id", "text", questions.select("text"))
+    return search.best(index, questions, "item_id", "text").withColumnRenamed("doc", "doc_id")
 
 
 def vector_search(spark, sf):

@@ -48,9 +48,11 @@ def test_the_best_documents_are_those_of_brute_force(spark, monkeypatch, block,
     questions = [(i, say(random.randrange(1, 8))) for i in range(12)] + [(50, "the"), (51, "rare the w0"), (52, "unknown"), (53, None), (54, copy), (None, "the"), (50, "w1")]
     d = spark.createDataFrame([(a, b, 1) for a, b in docs], "id bigint, t string, tf int").repartition(3)
     q = spark.createDataFrame([(a, b, 2) for a, b in questions], "q bigint, t string, df int").repartition(2)
-    found = search.best(search.build_index(d, "id", "t"), q.withColumnRenamed("q", "ask"), "ask", "t", k)
-    assert found.columns == ["ask", "doc", "score", "place"]
-    assert {(r["ask"], r["doc"]): (r["score"], r["place"]) for r in found.collect()} == plain_best(docs, questions, k)
+    want = plain_best(docs, questions, k)
+    for asked in (None, q.select("t")):
+        found = search.best(search.build_index(d, "id", "t", asked), q.withColumnRenamed("q", "ask"), "ask", "t", k)
+        assert found.columns == ["ask", "doc", "score", "place"]
+        assert {(r["ask"], r["doc"]): (r["score"], r["place"]) for r in found.collect()} == want
 
 
 def test_an_index_of_nothing(spark):
