@@ -11,7 +11,7 @@ from ..functions import text as X
 from ..functions import verdicts as V
 from ..operators import citations, compare, metrics, profile, relational, runs
 from ..sources.constants import lookup
-from . import ordered_queries, scoring_queries, search_queries, stream_queries, table_queries
+from . import analytic_queries, ordered_queries, scoring_queries, search_queries, stream_queries, table_queries
 
 #: Needles of the keyword queries, on URLs.
 NEEDLES = [("example.com", "com", 0), ("example.net", "net", 1), ("/en/", "english", 2), ("utm_source", "campaign", 3)]
@@ -279,4 +279,4 @@ QUERIES = {
         first_pages_concat, multi_run_union_compare, explorer_filter_sort, payload_runs, text_profile, corpus_totals, kinds_by_domain, domain_gaps,
         axis_headroom, escaped,
     )
-} | scoring_queries.QUERIES | stream_queries.QUERIES | ordered_queries.QUERIES | table_queries.QUERIES | search_queries.QUERIES
+} | scoring_queries.QUERIES | stream_queries.QUERIES | ordered_queries.QUERIES | table_queries.QUERIES | search_queries.QUERIES | analytic_queries.QUERIES

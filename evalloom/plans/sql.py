@@ -1,6 +1,6 @@
 """DuckDB SQL for each of ``queries.QUERIES``."""
 
-from . import ordered_sql, scoring_sql, search_sql, stream_sql, table_sql
+from . import analytic_sql, ordered_sql, scoring_sql, search_sql, stream_sql, table_sql
 
 _VERDICTS = "SELECT doc_id, (quality = 1 AND toxic <> 1) AS relevant, (toxic = 1) AS hallucination, (quality + toxic = 0) AS refusal FROM labels"
 _RESULTS = f"""SELECT d.doc_id, d.lang, d.source, v.relevant, v.hallucination, v.refusal, d.n_chars::DOUBLE AS latency_ms,
@@ -121,4 +121,4 @@ SELECT event_type, CASE WHEN max(value) <= 100 THEN least(100, max(value) * 1.28
   15.0::DOUBLE AS none FROM events GROUP BY event_type""",
     "escaped": """
 SELECT page_id, md5(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;')) AS md5 FROM pages""",
-} | scoring_sql.ORACLE | stream_sql.ORACLE | ordered_sql.ORACLE | table_sql.ORACLE | search_sql.ORACLE
+} | scoring_sql.ORACLE | stream_sql.ORACLE | ordered_sql.ORACLE | table_sql.ORACLE | search_sql.ORACLE | analytic_sql.ORACLE
