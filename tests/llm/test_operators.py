@@ -1,6 +1,7 @@
 """Each operator against brute force on small rows, with nulls, empty and long texts, ties, repeated rows, empty tables, odd columns."""
 
 import base64
+import bisect
 import functools
 import hashlib
 import io
@@ -24,7 +25,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from evalloom.llm import bpe, common, components, decontaminate, minhash, ngram_lm, secrets, simhash, token_counts, toxicity, url_filter, warc_zip
+from evalloom.llm import bpe, common, components, decontaminate, minhash, ngram_lm, secret_null, secrets, simhash, token_counts, toxicity, url_filter, warc_zip
 from evalloom.llm.queries import URL_RULES, vocabulary
 
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
@@ -293,6 +294,51 @@ def test_identifiers_are_no_secrets():
         assert found >= (0.75 if n < 28 else 0.95) * len(made), (n, found)
 
 
+OTHER_WORDS = "cat river bread window mountain silver yellow garden winter kitchen pepper orange doctor bridge castle turtle planet rocket guitar violin pencil cotton thunder whisper harvest lantern".split()
+
+
+def found_by_scan(strings):
+    """Which of the strings a corpus of them, one a text, has reported."""
+    scans = [secrets.scan(s)[1] for s in strings]
+    limits = secrets.cut_offs([(g, b, n) for (g, b), n in Counter((g, b) for found in scans for _, _, g, b in found).items()])
+    return [any(b < limits[g] for _, _, g, b in found) for found in scans]
+
+
+@pytest.mark.parametrize("n", [20, 24, 32, 40])
+@pytest.mark.parametrize("share", [0.01, 0.02, 0.1, 0.5])
+def test_few_secrets_among_identifiers_are_found(n, share):
+    """Identifiers of words that the table of changes wasn't made from; random base62 strings as they come, those without digits too."""
+    rng = random.Random(n)
+    made = [secret_null.random_string(rng, "base62", n) for _ in range(200)]
+    plain = secret_null.candidates(rng, OTHER_WORDS, n, int(len(made) * (1 - share) / share))
+    out = found_by_scan(made + plain)
+    found, false = sum(out[: len(made)]), sum(out[len(made) :])
+    assert found >= 0.9 * len(made) and false <= 0.12 * (found + false)
+
+
+@pytest.mark.parametrize("n", [20, 24, 32])
+def test_a_secret_alone_is_found(n):
+    rng = random.Random(n + 1)
+    made = [secret_null.random_string(rng, "base62", n) for _ in range(1000)]
+    found = sum(found_by_scan([s])[0] for s in made)
+    assert found >= 0.9 * len(made)
+
+
+def test_changes_of_letters_are_their_definition():
+    assert [list(row) for row in secrets.CHANGES] == secret_null.table()
+    rng = random.Random(6)
+    for name in secrets.ALPHABETS:
+        letters = secrets.ALPHABETS[name]
+        share = [sum(secrets.KINDS_OF_LETTERS[c] == k for c in letters) / len(letters) for k in range(6)]
+        score = lambda s: sum(math.log(share[secrets.KINDS_OF_LETTERS[b]] / secrets.CHANGES[secrets.KINDS_OF_LETTERS[a]][secrets.KINDS_OF_LETTERS[b]]) for a, b in zip(s, s[1:]))
+        some = [secret_null.random_string(rng, name, 32) for _ in range(3000)]
+        drawn = sorted(map(score, some))
+        for s in some[:60]:  # its rank among random strings
+            assert secrets.changes_like_text(s, name) == pytest.approx(bisect.bisect_right(drawn, score(s)) / len(drawn), abs=0.04)
+            assert secrets.changes_like_text(s + "=", name) == secrets.changes_like_text(s, name)
+        assert sum(secrets.changes_like_text(s, name) < secrets.LEAST_P for s in some) <= 0.006 * len(some)
+
+
 @pytest.mark.parametrize("s", ["Zx81kLmP0qRsT9uVwXyZ12", "Section12ofTheGreatBook", "0a1b2c3d4e5f60718293a4b5", "a" * 19 + "1", "AAAA-bbbb_1111" * 9])
 def test_battery_is_its_definition(s):
     name = secrets.encoding(s)
