@@ -32,6 +32,7 @@ def sf_dir(spark, tmp_path_factory):
     spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(300)], "doc_id bigint, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     spark.createDataFrame([(0, ITEM)], "item_id bigint, text string").write.parquet(f"{folder}/benchmark.parquet")
     spark.createDataFrame([(i, f"http://a.net/{i}", f"<p>{i % 3}</p>") for i in range(30)], "page_id bigint, url string, html string").write.parquet(f"{folder}/pages.parquet")
+    spark.createDataFrame([(i // 4, i % 4, "user" if i % 2 == 0 else "assistant", f"turn {i}.") for i in range(80)], "conv_id bigint, turn int, role string, text string").write.parquet(f"{folder}/conversations.parquet")
     return folder
 
 
@@ -77,4 +78,4 @@ def test_empty_pipeline(spark, sf_dir, tmp_path):
 @pytest.mark.parametrize("name", list(queries.QUERIES))
 def test_queries_run_over_whole_tables(spark, sf_dir, name):
     n = queries.QUERIES[name](spark, sf_dir).count()
-    assert n == {"op1_decontamination": 1, "op4_warc": 30, "op6_url_filter": 30}.get(name, 307)
+    assert n == {"op1_decontamination": 1, "op4_warc": 30, "op6_url_filter": 30, "op12_conversations": 20}.get(name, 307)
