@@ -27,7 +27,8 @@ class _Attempts(StatefulProcessor):
     def _wait(self, until: int) -> None:
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
-        self.handle.registerTimer(until)
+        # the watermark is a millisecond behind the latest attempt, and so is the timer
+        self.handle.registerTimer(until - 1)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         found = self.state.get() if self.state.exists() else (0, None, None, False)
@@ -81,10 +82,13 @@ def outcomes(stream: DataFrame, tries: int = 3, patience_days: int = 365, keep_d
     all that comes after the record. Ids with a record are forgotten ``keep_days`` later, so state is bounded by the ids of that
     time. Null ids, times and outcomes of a call are left out, for they name no attempt.
 
-    All times are the events' own, so a stream that starts again, or other batches, give the same records.
+    All times are the events' own, so a stream that starts again, or other batches, give the same records; batches may part what is
+    of one instant, but an attempt exactly ``patience_days`` after the last finds its id given up if that instant was in a batch before.
     """
     day = 86_400_000
-    rows = stream.where("id IS NOT NULL AND at IS NOT NULL AND seq IS NOT NULL AND ok IS NOT NULL").withWatermark("at", "0 seconds")
+    rows = stream.where("id IS NOT NULL AND at IS NOT NULL AND seq IS NOT NULL AND ok IS NOT NULL")
+    # rows at the watermark itself are dropped: those of the latest instant may still come in the next batch
+    rows = rows.withWatermark("at", "1 millisecond")
     rows = rows.select("id", "at", F.unix_millis("at").alias("at_ms"), "seq", "ok", "answer")
     # what an id's attempts are for is its state, so they are handled by key; one id has few of them
     return rows.groupBy("id").transformWithStateInPandas(_Attempts(tries, patience_days * day, keep_days * day), outputStructType=OUTCOMES, outputMode="Append", timeMode="EventTime")

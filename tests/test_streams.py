@@ -140,3 +140,24 @@ def test_ids_are_forgotten_after_their_time(spark, tmp_path):
         found, query = attempts.with_rocks(windows.to_table)(attempts.outcomes(stream, 3, 10, keep_days=20), "outcomes", f"file://{tmp_path}/ck", f"file://{tmp_path}/out")
     assert sorted((r["id"], r["answer"]) for r in found.collect()) == [("a", "x"), ("a", "z"), ("b", "y")]
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") != attempts.ROCKS
+
+
+def test_batches_may_part_attempts_of_one_instant(spark, tmp_path):
+    """Both batches hold attempts of the latest instant; what was last tried exactly the patience before it is given up."""
+    late = START + dt.timedelta(days=10)
+    rows = [("a", late, 1, False, "x"), ("b", START, 1, False, "x"), ("c", late, 1, True, "y")], [("a", late, 2, True, "z"), ("d", late, 1, True, "w"), ("c", late, 1, True, "y")]
+    os.mkdir(f"{tmp_path}/in")
+    for k, part in enumerate(rows):
+        spark.createDataFrame(part, ATTEMPTS).coalesce(1).write.parquet(f"file://{tmp_path}/in/{k}")
+        found, _ = run(spark.readStream.schema(ATTEMPTS).parquet(f"file://{tmp_path}/in/*"), f"file://{tmp_path}/out", f"file://{tmp_path}/ck")
+    want = plain_outcomes(rows[0] + rows[1], 3, dt.timedelta(days=10), late)
+    assert len(found) == 4 and dict(found) == want == {"a": ("answered", 2, "z"), "b": ("given up", 1, None), "c": ("answered", 1, "y"), "d": ("answered", 1, "w")}
+
+
+def test_an_id_that_may_still_be_tried_has_no_record(spark):
+    """Two failures and the stream ends within the patience: no one has given up yet, a further attempt would count."""
+    rows = [("a", START, 1, False, "x"), ("a", START + dt.timedelta(days=3), 2, False, "x"), ("b", START + dt.timedelta(days=5), 1, True, "y")]
+    df = spark.createDataFrame(rows, ATTEMPTS).withColumn("arrival", F.col("at"))
+    stream = windows.landed_stream(spark, *windows.land(df, "arrival", 2), df.schema).drop("arrival")
+    found, _ = attempts.with_rocks(windows.to_table)(attempts.outcomes(stream, 3, 10), "outcomes")
+    assert [tuple(r) for r in found.collect()] == [("b", "answered", 1, "y")]
