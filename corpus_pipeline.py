@@ -21,8 +21,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal or similar texts: the one with the least id. Rows without an id stay; rows that share an id
-    are told apart by their texts."""
+    """One row of each group of equal or similar texts (by SimHash fingerprints, confirmed, and an index of shingles for what these
+    don't show): the one with the least id. Rows without an id stay; rows that share an id are told apart by their texts."""
     with_id = docs.where("doc_id IS NOT NULL")
     groups = simhash.similar_groups(with_id, words=5, similarity=0.8)
     rows = materialize(groups.groupBy("component", "doc_id", "text_hash").agg(F.count("*").alias("n")), "rows")

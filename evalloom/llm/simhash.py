@@ -1,4 +1,4 @@
-"""SimHash near-duplicates: fingerprints, deletion-variant signatures of their segments, links; groups of similar texts by their shingles."""
+"""SimHash near-duplicates: fingerprints, deletion-variant signatures of their segments, links; groups of similar texts by these and by their shingles."""
 
 from __future__ import annotations
 
@@ -379,12 +379,30 @@ def similar_pairs(pairs: DataFrame, rows: DataFrame, words: int, similarity: flo
     return out
 
 
+def fingerprint_pairs(rows: DataFrame) -> DataFrame:
+    """``a, b``: pairs of nodes (different texts) whose fingerprints differ in two bits at most.
+
+    They are enough to connect all such nodes: of those with one fingerprint each goes with the least, and by ``links`` the
+    least ones of near fingerprints go together.
+    """
+    known = materialize(fingerprints(rows, text="_text", key="_node").distinct(), "fingerprints")
+    each = materialize(known.groupBy("fp").agg(F.min("_node").alias("least"), F.count("*").alias("n_rows")), "distinct")
+    nodes = each.agg(F.coalesce(F.sum("n_rows"), F.lit(0))).first()[0]
+    same = hot_lookup(known, each, "fp", nodes, "inner").select(F.col("_node").alias("x"), F.col("least").alias("y"))
+    side = lambda c, x: each.select(F.col("fp").alias(c), F.col("least").alias(x))
+    near = links(each.select("fp")).join(side("a", "x"), "a").join(side("b", "y"), "b").select("x", "y")
+    out = materialize(same.unionByName(near).where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "pairs")
+    discard(known, each)
+    return out
+
+
 def similar_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``key, root, text_hash, component`` of every row: rows whose sets of shingles have this Jaccard similarity or more are
     linked, and linked rows are one ``component``. ``root`` is its least key.
 
     Nodes are different texts, by hash, so equal texts are one and rows that share a key without being similar stay apart.
-    Of the shingles of a text, ordered from rare to frequent, as many go into the index as one must be shared by any
+    Texts whose SimHash fingerprints differ in two bits at most (``links``) are compared by their whole sets first. What 64 bits
+    don't show, an index finds, in which texts that are in one group by then need no comparison: of the shingles of a text, ordered from rare to frequent, as many go into the index as one must be shared by any
     similar text (a fifth of them, at 0.8). Texts that meet there and can be similar by their sizes and places are compared by
     their whole sets: no similar pair is lost and no other is linked. Passages that many texts share are frequent, come last
     and fill no entry. Null, empty and blank texts are equal to each other; null keys are put in no group and get a null root.
@@ -452,9 +470,13 @@ def similar_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, text:
         discard(pairs, similar, *([] if before is None else [before]))
         return out
 
+    groups = linked(fingerprint_pairs(rows_in))
     packed = rows_in.select("_node", "_text").mapInArrow(entries, "shard bigint, rows binary")
     met = materialize(packed.groupBy("shard").applyInArrow(match, "shard bigint, a bigint, b bigint, rest binary"), "met")
-    groups = linked(materialize(met.where("a IS NOT NULL").select("a", "b").distinct(), "pairs"))
+    # texts whose fingerprints have brought them together aren't compared once more
+    side = lambda x: groups.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
+    apart = met.where("a IS NOT NULL").select("a", "b").distinct().join(side("a"), "a", "left").join(side("b"), "b", "left")
+    groups = linked(materialize(apart.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"), "pairs"), groups)
     rest = met.where("rest IS NOT NULL").select("shard", "rest")
     if rest.head(1):
         left = rest.mapInArrow(spread, "shard bigint, entry bigint, id bigint, at int, n int")

@@ -623,6 +623,29 @@ def test_every_pair_at_the_threshold_is_found(spark):
     assert got == {i: i - i % 2 for i in range(len(texts))}
 
 
+def test_fingerprints_group_first_and_the_index_does_the_rest(spark, monkeypatch):
+    """Near copies by SimHash are confirmed by their whole sets and never compared again; the index adds what is over two bits off."""
+    draw = random.Random(5)
+    say = lambda: " ".join(f"x{draw.getrandbits(40)}" for _ in range(300))
+    distance = lambda x, y: (int.__xor__(*simhash.exact_fingerprints(pa.array([x, y]), 3, 42).tolist())).bit_count()
+    close, far = [], []
+    while len(close) < 5 or len(far) < 5:
+        t = say()
+        pair = (t, f"{t} tail")
+        (close if distance(*pair) <= 2 else far).append(pair)
+    # one fingerprint, and little in common: a line that fills both
+    line = say() + "\n"
+    filled = (line * 40 + say(), line * 40 + say())
+    texts = [t for pair in [*close[:5], *far[:5], filled] for t in pair]
+    assert distance(*filled) <= 2 and jaccard(*filled) < 0.8 <= min(jaccard(*p) for p in close + far)
+    asked, compare = [], simhash.similar_pairs
+    monkeypatch.setattr(simhash, "similar_pairs", lambda pairs, *more: (asked.append({tuple(r) for r in pairs.collect()}), compare(pairs, *more))[1])
+    got = {r["doc_id"]: r for r in simhash.similar_groups(table(spark, texts)).collect()}
+    assert [got[i]["root"] for i in range(22)] == [i - i % 2 for i in range(20)] + [20, 21]
+    pairs = [tuple(sorted((got[i]["text_hash"], got[i + 1]["text_hash"]), reverse=True)) for i in range(0, 22, 2)]
+    assert asked[0] == {*pairs[:5], pairs[10]} and set(pairs[5:10]) <= asked[1] and not set(pairs[:5]) & asked[1]
+
+
 def test_similar_groups_with_shared_keys(spark):
     texts = [BASE[2], BASE[2] + " tail", fresh_words(50), fresh_words(60), fresh_words(70)]
     got = {r["text_hash"]: r for r in simhash.similar_groups(table(spark, texts, [3, 5, 5, 5, 3])).collect()}
