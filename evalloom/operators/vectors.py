@@ -16,6 +16,8 @@ RECALL = 0.97
 #: Vectors, and queries, that are multiplied at a time.
 BLOCK, QUERIES = 4096, 256
 _ROUNDS = 8
+#: Upper bits of an id's hash by which rows are counted before a sample of them is taken.
+_HASH = 14
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -43,12 +45,32 @@ class Cells:
         self.centres, self.probes = centres, probes
 
 
+def sampled(rows: DataFrame, sample: int) -> DataFrame:
+    """``v`` of the ``sample`` rows with the least hashes of their ids, in that order.
+
+    Sorting for the first rows sends as many from each partition to the driver. So rows are counted by their hashes' upper bits,
+    and only those that can be in the sample are sorted: little more than it has, whatever the number of partitions. Where an
+    id that many rows share makes them many, the first ones are chosen by a task and not by the driver.
+    """
+    order = [F.xxhash64("id"), F.col("id")]
+    upper = F.shiftright(order[0], 64 - _HASH)
+    last, held = None, 0
+    for last, n in sorted(rows.groupBy(upper.alias("upper")).count().collect()):
+        held += n
+        if held >= sample:
+            break
+    first = rows.where(upper <= F.lit(last)).orderBy(*order).limit(sample)
+    if held > 2 * sample:
+        first = written(first, "sample").orderBy(*order)
+    return first.select("v")
+
+
 def fit(rows: DataFrame, n: int, k: int = 10, sample: int = SAMPLE) -> Cells:
     """Centres by spherical k-means, as many as the root of ``n`` (``CELLS`` at most), from ``sample`` rows at most: those with the least
     hashes of their ids. How many cells to look into is measured there too: the least number that finds ``RECALL`` of the ``k``
     nearest of ``TRIALS`` rows. What lies near in the sample is farther than what lies near in the whole, so that is the safe side.
     """
-    held = rows.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toPandas()["v"]
+    held = sampled(rows, sample).toPandas()["v"]
     x = _unit(np.array(held.tolist(), dtype=np.float64))
     cells = max(1, min(CELLS, int(n**0.5), len(x)))
     centres = x[:: max(1, len(x) // cells)][:cells].copy()
@@ -127,7 +149,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: in
                 ok = found > -9
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, order.shape[1])[ok.ravel()]), pa.array(ids[order][ok]), pa.array(found[ok])], ["query", "id", "similarity"])
 
-    pairs = held.join(asked, "cell").select("ids", "vs", "q_ids", "q_vs").mapInArrow(run, "query bigint, id bigint, similarity double")
+    # a query's vector lies in its file once for all its cells, so the file looks small enough to broadcast; its lists aren't
+    pairs = held.join(asked.hint("merge"), "cell").select("ids", "vs", "q_ids", "q_vs").mapInArrow(run, "query bigint, id bigint, similarity double")
     once = pairs.groupBy("query", "id").agg(F.max("similarity").alias("similarity"))
     best = Window.partitionBy("query").orderBy(F.desc("similarity"), "id")
     return once.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).select("query", F.col("id").alias(key), "similarity", "place")

@@ -6,6 +6,8 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import functions as F
 
 from evalloom.operators import search, vectors
 
@@ -110,6 +112,55 @@ def test_recall_of_near_vectors(spark, monkeypatch, kind):
     assert all(abs(r["similarity"] - unit[r["query"]] @ unit[r["id"]]) < 1e-6 for r in found)
 
 
+def sent_to_driver(spark, run):
+    """Bytes of results that tasks send to the driver while this runs, and what it gives."""
+    sc = spark.sparkContext._jsc.sc()
+    before = set(stages(sc))
+    out = run()
+    sc.listenerBus().waitUntilEmpty()
+    return sum(size for i, size in stages(sc).items() if i not in before), out
+
+
+def stages(sc):
+    store, kept = sc.statusStore(), {}
+    jobs = store.jobsList(None)
+    for i in range(jobs.size()):
+        ids = jobs.apply(i).stageIds()
+        for k in range(ids.size()):
+            try:
+                kept[ids.apply(k)] = store.lastStageAttempt(ids.apply(k)).resultSize()
+            except Py4JJavaError:  # an older stage that the store has let go
+                continue
+    return kept
+
+
+def test_no_partition_sends_a_sample_of_its_own(spark):
+    """2,000 vectors of 64 numbers, 50 in each of 40 partitions, of which 50 are the sample."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(2000, 64))
+    df = table(spark, [(i, x[i]) for i in range(2000)]).repartition(40).localCheckpoint()
+    want = [r["v"] for r in df.orderBy(F.xxhash64("id"), "id").limit(50).collect()]
+    size, cells = sent_to_driver(spark, lambda: vectors.fit(df, 2000, 10, 50))
+    # 50 vectors are 25 KB; those of all partitions would be 1 MB
+    assert size < 300_000 and len(cells.centres) == 44
+    assert [r["v"] for r in vectors.sampled(df, 50).collect()] == want
+    # one id on all rows: none can be told from another by its hash
+    hot = df.withColumn("id", F.lit(7).cast("bigint"))
+    size, cells = sent_to_driver(spark, lambda: vectors.fit(hot, 2000, 10, 50))
+    assert size < 300_000 and len(cells.centres) == 44
+    assert vectors.sampled(df.where("id < 20"), 50).count() == 20
+
+
+def test_lists_of_queries_are_not_broadcast(spark):
+    """A thousand queries that look into many cells: their vectors go to the cells by shuffle, and not by the driver."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(1000, 24))
+    df = table(spark, [(i, x[i]) for i in range(1000)])
+    size, found = sent_to_driver(spark, lambda: vectors.nearest(df, df, "id", "v").agg(F.count("*")).first()[0])
+    # 1,000 vectors of 24 numbers are 0.2 MB, and so much once for each cell that is looked into
+    assert found == 10_000 and size < 1_000_000
+
+
 def test_odd_vectors(spark):
     rows = [(1, [1, 0]), (2, [2, 0]), (3, [0, 0]), (4, None), (5, []), (6, [1, 2, 3]), (7, [float("nan"), 1]), (8, [float("inf"), 1]), (None, [1, 1]), (9, [0, 1])]
     df = table(spark, rows)
