@@ -161,3 +161,23 @@ def test_an_id_that_may_still_be_tried_has_no_record(spark):
     stream = windows.landed_stream(spark, *windows.land(df, "arrival", 2), df.schema).drop("arrival")
     found, _ = attempts.with_rocks(windows.to_table)(attempts.outcomes(stream, 3, 10), "outcomes")
     assert [tuple(r) for r in found.collect()] == [("b", "answered", 1, "y")]
+
+
+def test_ids_of_a_bucket_share_a_state_and_a_timer(spark):
+    """Three hundred ids in four buckets over three batches, some with many attempts and repeated deliveries in one: the state has a
+    row a bucket, not a row an id, and each id ends by its own time."""
+    rows = []
+    for i in range(300):
+        at = START + dt.timedelta(days=random.randrange(40))
+        for s in range(random.choice([1, 1, 2, 3, 12])):
+            rows.append((f"q{i}", at, s, random.random() < 0.2, f"a{s}"))
+            at += dt.timedelta(hours=random.choice([0, 1, 30, 300]))
+    rows.append(("open", max(r[1] for r in rows), 1, False, "x"))
+    df = spark.createDataFrame(rows + rows[::5], ATTEMPTS).withColumn("arrival", F.col("at")).repartition(3)
+    stream = windows.landed_stream(spark, *windows.land(df, "arrival", 3), df.schema).drop("arrival")
+    found, query = attempts.with_rocks(windows.to_table)(attempts.outcomes(stream, 3, 10, keep_days=10**5, buckets=4), "outcomes")
+    got = [(r["id"], (r["outcome"], r["attempts"], r["answer"])) for r in found.collect()]
+    want = plain_outcomes(rows, 3, dt.timedelta(days=10), max(r[1] for r in rows))
+    assert len(got) == len(want) and dict(got) == want and len({o for o, _, _ in want.values()}) == 3 and "open" not in want
+    states = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert len(states) > 3 and max(states) == 4
