@@ -8,6 +8,9 @@ from pyspark.sql import types as T
 
 from ..sources.workspace import folder
 
+#: True in rows that only fill up a slice's files; files of others don't have the column.
+FILLER = "_filler"
+
 
 def late(time: str, arrival: str, minutes: int) -> Column:
     """Whether a row came more than ``minutes`` after its event. A row without a time is late: no window can hold it."""
@@ -17,8 +20,9 @@ def late(time: str, arrival: str, minutes: int) -> Column:
 def land(df: DataFrame, arrival: str, slices: int = 5) -> tuple[str, int]:
     """Write rows as they came, slice of time by slice, into a fresh shared folder; the folder and the files of a slice.
 
-    Each slice is a folder of as many files, so a stream that takes so many files at a time takes one slice a batch. The rows are
-    dealt into slices once; each is then moved by reading no other.
+    Each slice is a folder of as many files, so a stream that takes so many files at a time takes one slice a batch. A slice with too
+    few rows for so many gets files of one filler row, or a batch would take part of the next slice and leave its other rows behind.
+    The rows are dealt into slices once; each is then moved by reading no other.
     """
     spark = df.sparkSession
     files = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -29,12 +33,16 @@ def land(df: DataFrame, arrival: str, slices: int = 5) -> tuple[str, int]:
     kept = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("_slice", T.IntegerType())])).parquet(staged)
     for i in range(slices):
         kept.where(F.col("_slice") == i).drop("_slice").repartition(files).write.parquet(f"{landed}/{i}")
+        lacking = files - len(spark.read.schema(df.schema).parquet(f"{landed}/{i}").inputFiles())
+        if lacking > 0:  # a file for each partition of one row
+            spark.range(0, lacking, 1, lacking).select(F.lit(True).alias(FILLER)).write.mode("append").parquet(f"{landed}/{i}")
     return landed, files
 
 
 def landed_stream(spark, path: str, files: int, schema) -> DataFrame:
     """The files of ``land`` as a stream, a slice a batch, oldest first."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{path}/*")
+    with_filler = T.StructType([*schema.fields, T.StructField(FILLER, T.BooleanType())])
+    return spark.readStream.schema(with_filler).option("maxFilesPerTrigger", files).parquet(f"{path}/*").where(F.col(FILLER).isNull()).drop(FILLER)
 
 
 def on_time(stream: DataFrame, time: str, arrival: str, minutes: int) -> DataFrame:

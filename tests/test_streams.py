@@ -181,3 +181,20 @@ def test_ids_of_a_bucket_share_a_state_and_a_timer(spark):
     assert len(got) == len(want) and dict(got) == want and len({o for o, _, _ in want.values()}) == 3 and "open" not in want
     states = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
     assert len(states) > 3 and max(states) == 4
+
+
+def test_a_batch_parts_no_slice_of_few_rows(spark):
+    """Slices of twenty attempts under 24 partitions, so fewer rows than a batch takes files, and an id's attempts an hour apart:
+    each slice is a batch, and no attempt comes before an earlier one of its id."""
+    rows = [(f"q{i}", START + dt.timedelta(days=5 * (i // 5), hours=s), s, s == i % 5, f"a{s}") for i in range(20) for s in range(4)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    try:
+        df = spark.createDataFrame(rows, ATTEMPTS).withColumn("arrival", F.col("at")).repartition(3)
+        stream = windows.landed_stream(spark, *windows.land(df, "arrival", 4), df.schema).drop("arrival")
+        found, query = attempts.with_rocks(windows.to_table)(attempts.outcomes(stream, 3, 10), "outcomes")
+        got = {r["id"]: (r["outcome"], r["attempts"], r["answer"]) for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == plain_outcomes(rows, 3, dt.timedelta(days=10), max(r[1] for r in rows))
+    assert len([p for p in query.recentProgress if p["numInputRows"]]) == 4
